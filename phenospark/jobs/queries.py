@@ -2,12 +2,469 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.crops import HARALICK
+from ..operators import classify, cluster, density, features, motion, segmentation, separation, shape, texture, timeseries, tracks, viewer
+from ..operators.timeseries import LEVELS, STATS, TAP
+from . import stand_ins as data
+
 FLAGSHIP = "cell_variables"
+MIN_FRAMES = 20
+Q = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Q] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Q], Q]:
+    """Register a function as a query by its name, with its SQL if that can express it."""
+
+    def add(f: Q) -> Q:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
+    """Doubles rounded so that sums taken in another order agree; no negative zero."""
+    return df.withColumns({c: F.round(F.col(c), to) + F.lit(0.0) for c in columns})
+
+
+def R(expression: str, name: str, to: int = 6) -> str:
+    """The same in SQL."""
+    return f"round({expression}, {to}) + 0.0 AS {name}"
+
+
+def _doubles(df: DataFrame) -> list[str]:
+    return [c for c, t in df.dtypes if t == "double"]
+
+
+# --- tracks
+
+LONG = f"""{data.EVENT_TRACKS}, long AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY CellID) AS n FROM tracks) WHERE n >= {MIN_FRAMES})"""
+
+
+def long_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.keep_long_tracks(tracks.by_track(data.event_tracks(spark, sf_dir)), MIN_FRAMES)
+
+
+@query(f"WITH {LONG} SELECT FrameID, CellID, FrameID || '-' || CellID AS ROI_filename, {R('Volume', 'Volume')}, {R('xpos', 'xpos')}, {R('ypos', 'ypos')} FROM long")
+def tracks_min_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tracks.in_order(tracks.require_columns(long_tracks(spark, sf_dir)))
+    return rounded(out.select("FrameID", "CellID", "ROI_filename", "Volume", "xpos", "ypos"), "Volume", "xpos", "ypos")
+
+
+MOVED = """, steps AS (
+  SELECT *, coalesce(sqrt((xpos - lag(xpos) OVER w) ** 2 + (ypos - lag(ypos) OVER w) ** 2), 0) AS step,
+         sqrt((xpos - first_value(xpos) OVER w) ** 2 + (ypos - first_value(ypos) OVER w) ** 2) AS Dis, FrameID - lag(FrameID, 1, 0) OVER w AS gap
+  FROM {table} WINDOW w AS (PARTITION BY CellID ORDER BY FrameID)),
+summed AS (SELECT *, sum(step) OVER (PARTITION BY CellID ORDER BY FrameID ROWS UNBOUNDED PRECEDING) AS Trac FROM steps),
+moved AS (SELECT *, CASE WHEN Trac > 0 THEN Dis / Trac ELSE 0 END AS D2T, {rate} * step / nullif(gap, 0) AS Vel FROM summed)"""
+MOVEMENT_OUT = ", ".join(R(c, c) for c in features.MOVEMENT)
+
+
+@query(f"WITH {LONG}{MOVED.format(table='long', rate=0.0028)} SELECT CellID, FrameID, {MOVEMENT_OUT} FROM moved")
+def track_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = motion.movement(long_tracks(spark, sf_dir), framerate=0.0028)
+    return rounded(out.select("CellID", "FrameID", *features.MOVEMENT), *features.MOVEMENT)
+
+
+@query(f"WITH {data.SHIPPING_TRACKS}{MOVED.format(table='tracks', rate=1)} SELECT CellID, FrameID, {MOVEMENT_OUT} FROM moved")
+def track_movement_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = motion.movement(data.shipping_tracks(spark, sf_dir))
+    return rounded(out.select("CellID", "FrameID", *features.MOVEMENT), *features.MOVEMENT)
+
+
+@query(f"WITH {data.EVENT_TRACKS} SELECT FrameID, count(DISTINCT CellID) AS n_cells FROM tracks GROUP BY FrameID")
+def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.frame_cells(data.event_tracks(spark, sf_dir)).groupBy("FrameID").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@query(f"WITH {data.EVENT_TRACKS} SELECT CellID, FrameID, count(DISTINCT FrameID || '-' || CellID) AS n_outlines FROM tracks GROUP BY CellID, FrameID HAVING count(DISTINCT FrameID || '-' || CellID) > 1")
+def outline_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.several_outlines(data.event_tracks(spark, sf_dir))
+
+
+# --- time series
+
+FEATURES = ["Volume", *features.MOVEMENT]
+SERIES = f"""WITH {LONG}{MOVED.format(table="long", rate=0.0028)},
+whole AS (SELECT * FROM moved WHERE NOT (Vel IS NULL OR isnan(Vel))),
+series AS ({" UNION ALL ".join(f"SELECT CellID, FrameID, '{f}' AS feature, {f} AS value FROM whole" for f in FEATURES)})"""
+SUMMARY_SQL = """SELECT CellID, feature, avg(value) AS mean, stddev_samp(value) AS std,
+  CASE WHEN max(value) > 0 THEN CASE WHEN count(*) >= 3 AND var_pop(value) > 0 THEN skewness(value) END ELSE 0 END AS skew FROM series GROUP BY ALL"""
+ELEVATION_SQL = """SELECT CellID, feature, CASE WHEN count(d) > 0 THEN sum(CASE WHEN d > 0 THEN d ELSE 0 END) / (max(FrameID) - min(FrameID) + 1) END AS "asc",
+  CASE WHEN count(d) > 0 THEN sum(CASE WHEN d <= 0 THEN d ELSE 0 END) / (max(FrameID) - min(FrameID) + 1) END AS des, max(value) AS max
+  FROM (SELECT *, value - lag(value) OVER (PARTITION BY CellID, feature ORDER BY FrameID) AS d FROM series) GROUP BY ALL"""
+FILLED_SQL = """ahead AS (SELECT *, lead(FrameID) OVER w AS nf, lead(value) OVER w AS nv FROM series WINDOW w AS (PARTITION BY CellID, feature ORDER BY FrameID)),
+filled AS (SELECT CellID, feature, t::INT AS FrameID, CASE WHEN nf IS NULL THEN value ELSE value + (t - FrameID) * ((nv - value) / (nf - FrameID)) END AS value
+  FROM (SELECT *, unnest(generate_series(FrameID, coalesce(nf - 1, FrameID))) AS t FROM ahead))"""
+
+
+def _level_sql(level: int) -> str:
+    half, scale = 2 ** (level - 1), TAP * (TAP / 2**0.5) ** (level - 1)
+    return f"""l{level} AS (SELECT CellID, feature, CASE WHEN count(*) >= 2 THEN sum(CASE WHEN d > 0 THEN d ELSE 0 END) / count(*) END AS l{level}_asc,
+  CASE WHEN count(*) >= 2 THEN sum(CASE WHEN d <= 0 THEN d ELSE 0 END) / count(*) END AS l{level}_des, CASE WHEN count(*) >= 2 THEN max(d) END AS l{level}_max
+  FROM (SELECT CellID, feature, k // {2 * half} AS b, {scale!r} * sum(CASE WHEN k % {2 * half} < {half} THEN value ELSE -value END) AS d
+    FROM (SELECT *, FrameID - min(FrameID) OVER (PARTITION BY CellID, feature) AS k FROM filled) GROUP BY ALL HAVING count(*) = {2 * half}) GROUP BY ALL)"""
+
+
+LEVELS_SQL = ",\n".join(_level_sql(n) for n in range(1, LEVELS + 1))
+WAVELET_STATS = [s for s in STATS if s.startswith("l")]
+
+
+def _series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = motion.movement(long_tracks(spark, sf_dir), framerate=0.0028)
+    return tracks.complete_rows(moved.select("CellID", "FrameID", "xpos", "ypos", *FEATURES))
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.long_form(_series_rows(spark, sf_dir), FEATURES, ["CellID"])
+
+
+@query(f"{SERIES}, s AS ({SUMMARY_SQL}) SELECT CellID, feature, {R('mean', 'mean')}, {R('std', 'std')}, {R('skew', 'skew', 4)} FROM s")
+def cell_summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = timeseries.summary(_series(spark, sf_dir), ["CellID"])
+    return rounded(rounded(out, "mean", "std"), "skew", to=4)
+
+
+@query(f'{SERIES}, e AS ({ELEVATION_SQL}), a AS (SELECT CellID, (max(xpos) - min(xpos)) * (max(ypos) - min(ypos)) / (max(FrameID) - min(FrameID) + 1) AS area FROM whole GROUP BY CellID) SELECT CellID, feature, {R(chr(34) + "asc" + chr(34), chr(34) + "asc" + chr(34))}, {R("des", "des")}, {R("max", "max")}, {R("area", "trajArea")} FROM e JOIN a USING (CellID)')
+def cell_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _series_rows(spark, sf_dir)
+    out = timeseries.elevation(timeseries.long_form(rows, FEATURES, ["CellID"]), ["CellID"]).join(timeseries.trajectory_area(rows, ["CellID"]), "CellID")
+    return rounded(out, "asc", "des", "max", "trajArea")
+
+
+@query(f"{SERIES}, {FILLED_SQL} SELECT CellID, feature, FrameID, {R('value', 'value')} FROM filled")
+def cell_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(timeseries.fill_gaps(_series(spark, sf_dir), ["CellID"]), "value")
+
+
+@query(f"{SERIES}, {FILLED_SQL}, {LEVELS_SQL} SELECT CellID, feature, {', '.join(R(s, s) for s in WAVELET_STATS)} FROM (SELECT DISTINCT CellID, feature FROM series) {' '.join(f'LEFT JOIN l{n} USING (CellID, feature)' for n in range(1, LEVELS + 1))}")
+def cell_wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = timeseries.wavelets(timeseries.fill_gaps(_series(spark, sf_dir), ["CellID"]), ["CellID"])
+    return rounded(out, *WAVELET_STATS)
+
+
+def _variables_sql() -> str:
+    def column(f: str, s: str) -> str:
+        to = 4 if s == "skew" else 6
+        return R(f"max(CASE WHEN feature = '{f}' THEN \"{s}\" END)", f"{f}_{s}", to)
+
+    columns = ", ".join(column(f, s) for f in FEATURES for s in STATS)
+    joined = f"s JOIN e USING (CellID, feature) {' '.join(f'LEFT JOIN l{n} USING (CellID, feature)' for n in range(1, LEVELS + 1))}"
+    return f"""{SERIES}, {FILLED_SQL}, {LEVELS_SQL}, s AS ({SUMMARY_SQL}), e AS ({ELEVATION_SQL}), wide AS (SELECT CellID, {columns} FROM {joined} GROUP BY CellID),
+    a AS (SELECT CellID, {R("(max(xpos) - min(xpos)) * (max(ypos) - min(ypos)) / (max(FrameID) - min(FrameID) + 1)", "trajArea")} FROM whole GROUP BY CellID) SELECT * FROM wide JOIN a USING (CellID)"""
+
+
+def _rounded_variables(df: DataFrame) -> DataFrame:
+    skews = [c for c in df.columns if c.endswith("_skew")]
+    return rounded(rounded(df, *[c for c in _doubles(df) if c not in skews]), *skews, to=4)
+
+
+@query(_variables_sql())
+def cell_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: tracks of some length, their movement, all variables of each."""
+    return _rounded_variables(timeseries.track_variables(_series_rows(spark, sf_dir), FEATURES))
+
+
+@query(_variables_sql())
+def cell_variables_by_helper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the helper for wide tables."""
+    return _rounded_variables(timeseries.track_variables(_series_rows(spark, sf_dir), FEATURES, wide_from=1))
+
+
+# --- surroundings, viewer
+
+@query(f"WITH {data.EVENT_TRACKS}, near AS (SELECT a.FrameID, a.CellID, sum(1 / sqrt((a.xpos - b.xpos) ** 2 + (a.ypos - b.ypos) ** 2)) AS d FROM tracks a JOIN tracks b ON a.FrameID = b.FrameID AND sqrt((a.xpos - b.xpos) ** 2 + (a.ypos - b.ypos) ** 2) > 0 AND sqrt((a.xpos - b.xpos) ** 2 + (a.ypos - b.ypos) ** 2) < 6 * a.Rad GROUP BY ALL) SELECT FrameID, CellID, {R('xpos', 'xpos')}, {R('coalesce(d, 0)', 'dens')} FROM tracks LEFT JOIN near USING (FrameID, CellID)")
+def local_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = data.event_tracks(spark, sf_dir)
+    out = density.attach(found.drop("Rad"), density.local_density(found).select("CellID", "FrameID", "dens"))
+    return rounded(out.select("FrameID", "CellID", "xpos", "dens"), "xpos", "dens")
+
+
+@query(f"WITH {data.EVENT_TRACKS} SELECT DISTINCT FrameID, 'images' AS path_channel_1, format('video-{{:04d}}.tif', FrameID) AS filename_channel_1, 1 AS Image_Group_Number, FrameID AS Image_Group_Index FROM tracks")
+def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewer.frame_index(data.event_tracks(spark, sf_dir), "images", "video")
+
+
+@query(f"WITH {data.EVENT_TRACKS} SELECT FrameID, CellID, {', '.join(R(c, c) for c in ('Volume', 'Rad', 'xpos', 'ypos'))} FROM tracks")
+def object_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(viewer.object_table(data.event_tracks(spark, sf_dir)), "Volume", "Rad", "xpos", "ypos")
+
+
+LINKS = f"WITH {data.EVENT_TRACKS}, ahead AS (SELECT a.FrameID AS f, a.CellID AS c, min(b.FrameID) AS g FROM tracks a JOIN tracks b ON a.CellID = b.CellID AND a.FrameID < b.FrameID GROUP BY ALL)"
+
+
+@query(f"{LINKS} SELECT 1 AS relationship_type_id, f AS image_number1, c AS object_number1, g AS image_number2, c AS object_number2 FROM ahead")
+def frame_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewer.next_frame_links(data.event_tracks(spark, sf_dir))
+
+
+@query(f"{LINKS} SELECT f AS image_number1, c AS object_number1, g AS image_number2, c AS object_number2, 1 AS module_number, 'Parent' AS relationship, 'cell' AS object_name1, 'cell' AS object_name2 FROM ahead")
+def link_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewer.link_view(viewer.next_frame_links(data.event_tracks(spark, sf_dir)), viewer.relationship_types(spark))
+
+
+# --- separation
+
+E64 = [f"e{i}" for i in range(64)]
+SCORES = f"""WITH long AS (SELECT label, 'e' || (generate_subscripts(embedding, 1) - 1) AS VarName, generate_subscripts(embedding, 1)::INT AS VarIndex, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IN (0, 1)),
+stats AS (SELECT VarName, VarIndex, count(v) FILTER (label = 0) AS n1, count(v) FILTER (label = 1) AS n2, avg(v) FILTER (label = 0) AS m1, avg(v) FILTER (label = 1) AS m2, var_samp(v) FILTER (label = 0) AS v1, var_samp(v) FILTER (label = 1) AS v2 FROM long GROUP BY ALL),
+means AS (SELECT *, (n1 * m1 + n2 * m2) / (n1 + n2) AS m FROM stats),
+scores AS (SELECT VarIndex, VarName, (n1 * (m1 - m) ** 2 + n2 * (m2 - m) ** 2) / ((n1 - 1) * v1 + (n2 - 1) * v2) AS score FROM means)"""
+ELBOW = """, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, VarIndex) AS i, count(*) OVER () AS n, max(score) OVER () AS hi, min(score) OVER () AS lo FROM scores),
+below AS (SELECT *, hi + (lo - hi) * (i - 1) / (n - 1) - score AS below FROM ranked),
+best AS (SELECT score AS elbow FROM below ORDER BY below DESC, i LIMIT 1)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separation.separation_scores(data.vectors(spark, sf_dir).drop("vec_id"), "label", 0, 1, E64)
+
+
+@query(f"{SCORES} SELECT VarIndex, VarName, {R('score', 'SepScore', 9)} FROM scores")
+def separation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_scores(spark, sf_dir), "SepScore", to=9)
+
+
+@query(f"{SCORES}{ELBOW} SELECT VarIndex, VarName, {R('score', 'SepScore', 9)} FROM scores, best WHERE score > elbow")
+def separation_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(separation.elbow(_scores(spark, sf_dir)), "SepScore", to=9)
+
+
+ABOVE = 0.005
+
+
+@query(f"{SCORES} SELECT vec_id, label, VarName, {R('v', 'value')} FROM (SELECT vec_id, label, 'e' || (generate_subscripts(embedding, 1) - 1) AS VarName, unnest(embedding)::DOUBLE AS v FROM embeddings) JOIN scores USING (VarName) WHERE score >= {ABOVE}")
+def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings' columns with a score from a threshold up; as rows, for the names depend on the data."""
+    chosen = tracks.select_features(data.vectors(spark, sf_dir), _scores(spark, sf_dir).where(F.col("SepScore") >= ABOVE), ["vec_id", "label"])
+    names = [c for c in chosen.columns if c.startswith("e")]
+    long = chosen.unpivot(["vec_id", "label"], names, "VarName", "value") if names else chosen.select("vec_id", "label", F.lit("").alias("VarName"), F.lit(0.0).alias("value")).limit(0)
+    return rounded(long, "value")
+
+
+@query(f"WITH long AS (SELECT vec_id, 'e' || (generate_subscripts(embedding, 1) - 1) AS name, unnest(embedding)::DOUBLE AS v FROM embeddings), z AS (SELECT vec_id, name, (v - avg(v) OVER (PARTITION BY name)) / stddev_samp(v) OVER (PARTITION BY name) AS z FROM long) SELECT vec_id, name, {R('z', 'z')} FROM z")
+def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = separation.zscore(data.vectors(spark, sf_dir).drop("label"), E64)
+    return rounded(out.unpivot(["vec_id"], E64, "name", "z"), "z")
+
+
+# --- texture
+
+NORMAL = f"WITH {data.PIXELS}, ranges AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM pixels GROUP BY 1), normal AS (SELECT vec_id, x, y, CASE WHEN hi > lo THEN v * (255.0::DOUBLE / (hi - lo)) + (255.0::DOUBLE - 255.0::DOUBLE / (hi - lo) * hi) END AS v FROM pixels JOIN ranges USING (vec_id))"
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texture.pixel_table(data.images(spark, sf_dir), ["vec_id"])
+
+
+def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texture.normalise(_pixels(spark, sf_dir), ["vec_id"])
+
+
+@query(f"{NORMAL} SELECT vec_id, x, y, {R('v', 'intensity')} FROM normal")
+def image_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_normal(spark, sf_dir).drop("region"), "intensity")
+
+
+@query(f"{NORMAL} SELECT vec_id, {R('avg(v)', 'FOmean')}, {R('stddev_samp(v)', 'FOsd')}, {R('skewness(v)', 'FOskew')} FROM normal GROUP BY vec_id")
+def first_order_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(texture.first_order(_normal(spark, sf_dir), ["vec_id"]), "FOmean", "FOsd", "FOskew")
+
+
+HAAR = f"""{NORMAL}, h1 AS (SELECT vec_id, (x - 1) // 2 AS bx, (y - 1) // 2 AS "by", avg(v) * {2 * TAP * TAP!r} AS v FROM normal GROUP BY ALL),
+h2 AS (SELECT vec_id, bx // 2 AS bx, "by" // 2 AS "by", avg(v) * {2 * TAP * TAP!r} AS v FROM h1 GROUP BY ALL)"""
+
+
+@query(f'{HAAR} SELECT vec_id, 1 AS level, bx::INT AS bx, "by"::INT AS "by", {R("v", "value")} FROM h1 UNION ALL SELECT vec_id, 2, bx::INT, "by"::INT, {R("v", "value")} FROM h2')
+def haar_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _normal(spark, sf_dir)
+    one, two = (texture.haar(p, ["vec_id"], n).select("vec_id", F.lit(n).alias("level"), "bx", "by", "value") for n in (1, 2))
+    return rounded(one.unionByName(two), "value")
+
+
+COOC = f"""{HAAR}, three AS (SELECT n.vec_id, n.v AS v0, h1.v AS v1, h2.v AS v2 FROM normal n JOIN h1 ON n.vec_id = h1.vec_id AND (n.x - 1) // 2 = h1.bx AND (n.y - 1) // 2 = h1."by"
+  JOIN h2 ON n.vec_id = h2.vec_id AND (n.x - 1) // 4 = h2.bx AND (n.y - 1) // 4 = h2."by"),
+levels AS (SELECT vec_id, {", ".join(f"floor((v{k} - min(v{k}) OVER w) * 10 / nullif(max(v{k}) OVER w - min(v{k}) OVER w, 0) + 1e-6)::INT AS q{k}" for k in range(3))} FROM three WINDOW w AS (PARTITION BY vec_id)),
+pairs AS ({" UNION ALL ".join(f"SELECT vec_id, '{a}{b}' AS pair, q{a} AS i, q{b} AS j, count(*) AS n FROM levels WHERE q{a} > 0 AND q{b} > 0 GROUP BY ALL" for a, b in ((0, 1), (1, 2), (0, 2)))})"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leveled = texture.with_levels(_normal(spark, sf_dir), ["vec_id"])
+    out = None
+    for a, b in ((0, 1), (1, 2), (0, 2)):
+        one = texture.cooccurrence(leveled, ["vec_id"], f"q{a}", f"q{b}").select("vec_id", F.lit(f"{a}{b}").alias("pair"), "i", "j", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"{COOC} SELECT vec_id, pair, i, j, n FROM pairs")
+def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir)
+
+
+HARALICK_SQL = f"""{COOC}, p AS (SELECT vec_id, pair, i, j, n / sum(n) OVER (PARTITION BY vec_id, pair) AS p FROM pairs),
+m AS (SELECT *, sum(j * p) OVER k AS mx, sum(i * p) OVER k AS my, sum(p) OVER (PARTITION BY vec_id, pair, j) AS px, sum(p) OVER (PARTITION BY vec_id, pair, i) AS py,
+  sum(p) OVER (PARTITION BY vec_id, pair, i + j) AS ps, sum(p) OVER (PARTITION BY vec_id, pair, abs(i - j)) AS pd FROM p WINDOW k AS (PARTITION BY vec_id, pair)),
+e AS (SELECT *, -sum(p * log10(ps)) OVER k AS sen, -sum(p * log10(pd)) OVER k AS den, -sum(p * (log10(px) + log10(py))) OVER k AS hxy2 FROM m WINDOW k AS (PARTITION BY vec_id, pair)),
+a AS (SELECT vec_id, pair, sum(p * p) AS "ASM", sum((i - j) ** 2 * p) AS Con, sum(p / (1 + (i - j) ** 2)) AS IDM, -sum(p * log10(p)) AS Ent, sum((i - mx) * (j - my) * p) AS c, sum((j - mx) ** 2 * p) * sum((i - my) ** 2 * p) AS vv,
+  sum((i - (mx + my) / 2) ** 2 * p) AS Var, sum((i + j) * p) AS Sav, first(sen) AS Sen, first(den) AS Den, first(hxy2) AS hxy2, sum((abs(i - j) - den) ** 2 * p) AS Dva, sum((i + j - sen) ** 2 * p) AS Sva,
+  sum((i + j - mx - my) ** 3 * p) AS Sha, sum((i + j - mx - my) ** 4 * p) AS Pro FROM e GROUP BY ALL),
+f AS (SELECT *, CASE WHEN vv > 1e-24 THEN c / sqrt(vv) ELSE 0 END AS Cor, sqrt(greatest(1 - exp(-2 * abs(hxy2 - Ent)), 0)) AS f13 FROM a)
+SELECT vec_id, pair, {", ".join(R(f'"{h}"', f'"{h}"', 5) for h in HARALICK)} FROM f"""
+
+
+@query(HARALICK_SQL)
+def haralick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(texture.haralick(_pairs(spark, sf_dir), ["vec_id", "pair"]), *HARALICK, to=5)
+
+
+# --- crops and outlines
+
+@query()
+def crop_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the objects in painted frames: masks, shapes, textures, intensity dispersion, movement, density."""
+    detections, outlines, frames = data.painted_frames(spark, sf_dir)
+    out = features.extract_features(detections, outlines, frames)
+    return rounded(out, *_doubles(out))
+
+
+IQ = """thresholds AS (SELECT vec_id, unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS t, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9], 1)::INT AS k FROM pixels GROUP BY vec_id),
+above AS (SELECT p.vec_id, k, x, y FROM pixels p JOIN thresholds USING (vec_id) WHERE v >= t),
+d AS (SELECT a.vec_id, a.k, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM above a JOIN above b ON a.vec_id = b.vec_id AND a.k = b.k AND (a.y, a.x) < (b.y, b.x))"""
+
+
+@query(f"WITH {data.PIXELS}, {IQ} SELECT vec_id, k, {R('var_samp(d) / avg(d)', 'IQ')} FROM d GROUP BY ALL")
+def intensity_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IQ1..IQ9 of the embeddings as images, all pixels interior."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions import crops
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for vec_id, v in zip(pdf["vec_id"], pdf["pixels"], strict=True):
+                image = np.asarray(v, dtype=float).reshape(-1, 8)
+                rows += [(vec_id, k + 1, q) for k, q in enumerate(crops.intensity_quantiles(image, np.ones(image.shape, bool)))]
+            yield pd.DataFrame(rows, columns=["vec_id", "k", "IQ"])
+
+    out = data.images(spark, sf_dir).select("vec_id", "pixels").mapInPandas(run, "vec_id long, k int, IQ double")
+    return rounded(out, "IQ")
+
+
+@query(f"WITH {data.OUTLINES}, c AS (SELECT *, avg(x) OVER (PARTITION BY vec_id) AS cx, avg(y) OVER (PARTITION BY vec_id) AS cy FROM points), d AS (SELECT vec_id, cx, cy, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS d FROM c) SELECT vec_id, {R('avg(d)', 'Rad')}, {R('var_samp(d)', 'VfC')}, {R('first(cx)', 'xpos')}, {R('first(cy)', 'ypos')} FROM d GROUP BY vec_id")
+def outline_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shape.centre(shape.radius(data.outlines(spark, sf_dir)))
+    return rounded(out.drop("coords"), "Rad", "VfC", "xpos", "ypos")
+
+
+@query(f"WITH {data.OUTLINES}, three AS (SELECT p.vec_id, p.x, p.y, b.x AS bx, b.y AS b_y, a.x AS ax, a.y AS ay FROM points p JOIN points b ON p.vec_id = b.vec_id AND b.i = (p.i + 60) % 64 JOIN points a ON p.vec_id = a.vec_id AND a.i = (p.i + 4) % 64) SELECT vec_id, {R('avg(sqrt((x - bx) ** 2 + (y - b_y) ** 2) + sqrt((x - ax) ** 2 + (y - ay) ** 2) - sqrt((ax - bx) ** 2 + (ay - b_y) ** 2))', 'Curv')} FROM three GROUP BY vec_id")
+def outline_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(shape.curvature(data.outlines(spark, sf_dir)).drop("coords"), "Curv")
+
+
+BOX = f"""WITH {data.OUTLINES}, far AS (SELECT a.vec_id, atan2(a.y - b.y, a.x - b.x) AS t FROM points a JOIN points b ON a.vec_id = b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 DESC, b.i, a.i) = 1),
+turned AS (SELECT vec_id, cos(t) * x + sin(t) * y AS u, cos(t) * y - sin(t) * x AS w FROM points JOIN far USING (vec_id)),
+ext AS (SELECT vec_id, max(u) - min(u) AS len, max(w) - min(w) AS wid, 1000.0 AS area FROM turned GROUP BY vec_id)"""
+
+
+@query(f"{BOX} SELECT vec_id, {R('len', 'Len', 4)}, {R('wid', 'Wid', 4)}, {R('area / (64 * 64)', 'A2B')}, {R('len * wid / area', 'Box')}, {R('greatest(len, wid) / (len + wid)', 'Rect')} FROM ext")
+def outline_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents and ratios of the outlines, for an area of 1000."""
+    out = shape.ratios(shape.box(data.outlines(spark, sf_dir)).withColumn("Area", F.lit(1000)))
+    return rounded(rounded(out.drop("coords", "Area"), "A2B", "Box", "Rect"), "Len", "Wid", to=4)
+
+
+@query()
+def outline_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shape.polygon(data.outlines(spark, sf_dir)).drop("coords")
+    return rounded(out, "poly1", "poly2", "poly3", "poly4")
+
+
+# --- segmentation errors
+
+@query()
+def seg_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both classes after oversampling the smaller one."""
+    errors, correct, _ = data.judged_documents(spark, sf_dir)
+    few, many, small, large = segmentation.training_set(errors, correct, "doc_id")
+    return few.withColumn("class", F.lit(small)).unionByName(many.withColumn("class", F.lit(large)))
+
+
+@query()
+def seg_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rows of the larger class as the smaller one has."""
+    errors, correct, _ = data.judged_documents(spark, sf_dir)
+    return segmentation.undersample(correct, errors.count(), draw=1)
+
+
+@query()
+def seg_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.segmentation_errors(*data.judged_documents(spark, sf_dir), "doc_id", trees=5)
+
+
+@query()
+def seg_errors_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.segmentation_errors_ensemble(*data.judged_documents(spark, sf_dir), "doc_id", trees=4, repeats=2)
+
+
+@query()
+def seg_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors, correct, rows = data.judged_documents(spark, sf_dir)
+    return tracks.drop_listed(rows, segmentation.segmentation_errors(errors, correct, rows, "doc_id", trees=5), "doc_id")
+
+
+# --- populations
+
+def _populations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = data.vectors(spark, sf_dir).withColumn("population", F.concat(F.lit("p"), F.col("label"))).drop("label")
+    return rows.where("population in ('p0', 'p1')"), rows
+
+
+@query()
+def classify_lda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _populations(spark, sf_dir)
+    return classify.lda(train, test.drop("population"), "population", E64).select("vec_id", "LDA")
+
+
+@query()
+def classify_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _populations(spark, sf_dir)
+    return classify.random_forest(train, test.drop("population"), "population", E64).select("vec_id", "RF")
+
+
+@query()
+def classify_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _populations(spark, sf_dir)
+    return classify.rbf_svm(train, test.drop("population"), "population", E64).select("vec_id", "SVM")
+
+
+@query()
+def classify_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _populations(spark, sf_dir)
+    return classify.classify(train, test, "population", E64, "p0", "p1")
+
+
+@query()
+def cluster_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.heterogeneous_clusters(data.vectors(spark, sf_dir).drop("label"), "vec_id", 10)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Q]:
+    """Every query by name."""
+    return dict(_queries)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of those that SQL can express."""
+    return dict(_sql)
