@@ -80,7 +80,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: t
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", F.lit(n.get(0, 0)).cast("long").alias("n0"), F.lit(n.get(1, 0)).cast("long").alias("n1"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (8000, 4000), features: Features = Features(), least_rows: int = 3, penalty: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (6000, 3000), features: Features = Features(), least_rows: int = 3, penalty: float = 0.1) -> Model:
     """Fit on a sample of `labels`, at most per_class[0] rows of class 0 and per_class[1] of class 1 (a documented
     bound; which rows depends on hashes of doc_id alone). Sampling one class more thinly than the other is made up
     for in the intercept. Without labelled rows of both classes the model is constant: the share of class 1, or 0.
@@ -109,8 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tup
     return Model(features, np.frombuffer(model["w"], dtype="<f4"), model["bias"])
 
 
-def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int, penalty: float) -> tuple[np.ndarray, float]:
-    """Weights on ratio-scaled presence, multiplied out, and intercept; by L-BFGS."""
+def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int, penalty: float, least_ratio: float = 0.7) -> tuple[np.ndarray, float]:
+    """Weights on ratio-scaled presence, multiplied out, and intercept; by L-BFGS.
+
+    Buckets in fewer than least_rows rows, or with a log-count ratio below least_ratio either way, get no weight.
+    """
     if len(y) == 0 or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
         return np.zeros(width), float(np.log(share / (1 - share)))
@@ -120,9 +123,11 @@ def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int,
     zeros = np.bincount(ids[y[at] == 0], minlength=width)
     ratio = np.log((ones + 1.0) / (y.sum() + 2.0)) - np.log((zeros + 1.0) / (len(y) - y.sum() + 2.0))
     ratio[(ones + zeros) < least_rows] = 0.0
+    ratio[np.abs(ratio) < least_ratio] = 0.0
     use = ratio[ids] != 0.0
     ids, at = ids[use], at[use]
-    used, ids = np.unique(ids, return_inverse=True)
+    used = np.flatnonzero(ratio)
+    ids = (np.cumsum(ratio != 0.0) - 1)[ids]
     r, n = ratio[used], len(y)
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
@@ -139,7 +144,7 @@ def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int,
     return out, float(v[-1])
 
 
-def lbfgs(loss, x: np.ndarray, steps: int = 60, memory: int = 8) -> np.ndarray:
+def lbfgs(loss, x: np.ndarray, steps: int = 25, memory: int = 8) -> np.ndarray:
     """Minimise a smooth function that returns its value and gradient."""
     f, g = loss(x)
     s, t = [], []
