@@ -69,7 +69,7 @@ def _emit(keys: np.ndarray, more: np.ndarray | None, at: np.ndarray, rids: np.nd
     key = (bucket << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
     order = np.argsort(key, kind="stable") if more is None else np.lexsort((more, key))
     key, at = key[order], at[order].astype(np.uint32)
-    more = None if more is None else more[order]
+    more = None if more is None else more[order].astype(np.uint32)
     first = np.ones(len(key), dtype=bool)
     first[1:] = key[1:] != key[:-1]
     if more is not None:
@@ -83,7 +83,7 @@ def _emit(keys: np.ndarray, more: np.ndarray | None, at: np.ndarray, rids: np.nd
     of = (key >> np.uint64(32)).astype(np.int64)
     edges = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else [], len(of)).astype(np.int64)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        yield 0, int(of[lo]), batch, (key[lo:hi] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), b"" if more is None else more[lo:hi].astype("<u8").tobytes(), at[lo:hi].tobytes()
+        yield 0, int(of[lo]), batch, (key[lo:hi] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), b"" if more is None else more[lo:hi].astype("<u4").tobytes(), at[lo:hi].tobytes()
     if len(key):
         yield 2, batch % buckets, batch, rids.astype("<i8").tobytes(), b"", starts.astype("<u4").tobytes()
 
@@ -93,8 +93,26 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "bucket", "batch", "keys", "more", "at"])
 
 
-def _recurring(emitted: DataFrame) -> DataFrame:
-    """(rid, at): for each document, the word positions (uint32, ascending) whose keys occur at least twice anywhere."""
+def runs(at: np.ndarray, before: int) -> np.ndarray:
+    """The positions from `before` ahead of each of `at` (ascending) up to it, as (first, last + 1) of each run."""
+    first, last = np.maximum(at - before, 0), at + 1
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = first[1:] > last[:-1]
+    return np.column_stack([first[new], last[np.append(new[1:], True)]])
+
+
+def marked(found: bytes, n: int, more: int) -> np.ndarray:
+    """Which of n words lie in runs that are lengthened by `more`."""
+    edge = np.zeros(n + 1, dtype=np.int32)
+    r = np.frombuffer(found, "<u4").astype(np.int64).reshape(-1, 2)
+    np.add.at(edge, np.minimum(r[:, 0], n), 1)
+    np.add.at(edge, np.minimum(r[:, 1] + more, n), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _recurring(emitted: DataFrame, before: int) -> DataFrame:
+    """(rid, found): for each document the word positions whose keys occur at least twice anywhere, as runs (uint32 pairs),
+    each with the `before` positions ahead of it."""
 
     def compare(table: pa.Table) -> pa.Table:
         kind, batch = table.column("kind").to_numpy(), table.column("batch").to_numpy()
@@ -106,7 +124,7 @@ def _recurring(emitted: DataFrame) -> DataFrame:
             p = np.concatenate([np.frombuffer(at[i], "<u4") for i in own])
             b = np.repeat(own, [len(at[i]) // 4 for i in own])
             if any(more[i] for i in own):
-                m = np.concatenate([np.frombuffer(more[i], "<u8") for i in own])
+                m = np.concatenate([np.frombuffer(more[i], "<u4") for i in own])
                 order = np.lexsort((m, k))
                 m = m[order]
             else:
@@ -136,20 +154,21 @@ def _recurring(emitted: DataFrame) -> DataFrame:
             edges = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(p))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 rid.append(int(names[0][of[lo]]))
-                out.append((p[lo:hi] - names[1][of[lo]]).astype("<u4").tobytes())
-        return pa.table([pa.array(rid, pa.int64()), pa.array(out, pa.binary())], ["rid", "at"])
+                out.append(runs(p[lo:hi].astype(np.int64) - int(names[1][of[lo]]), before).astype("<u4").tobytes())
+        return pa.table([pa.array(rid, pa.int64()), pa.array(out, pa.binary())], ["rid", "found"])
 
     compared = emitted.groupBy("bucket").applyInArrow(compare, "kind byte, batch long, keys binary, at binary")
-    found = compared.groupBy("batch").applyInArrow(gather, "rid long, at binary")
-    # rows that repeat have one rid and the same places
-    return found.groupBy("rid").agg(F.min("at").alias("at"))
+    found = compared.groupBy("batch").applyInArrow(gather, "rid long, found binary")
+    # rows that repeat have one rid and the same runs
+    return found.groupBy("rid").agg(F.min("found").alias("found"))
 
 
 def repeated_windows(docs: DataFrame, length: int = 35, period: int = 21, batch_words: int = 1 << 20, per_bucket: int = 1 << 20) -> DataFrame:
-    """(rid, at): the starts of all windows of `length` words that start anywhere else too.
+    """(rid, found): the starts of all windows of `length` words that start anywhere else too, as runs (uint32 pairs).
 
-    docs: rid, text, read from files (a task that runs again must see its rows in the same order). Compares anchors by 32 bits and their bucket (what they let through by chance is only compared
-    again), windows by 96 bits and their bucket. A passage of a third of all documents is one key of its bucket, sent
+    docs: __rid, __text (bytes) and whatever else, read from files (a task that runs again must see its rows in the same
+    order). Compares anchors by 32 bits inside their bucket (what they let through by chance is only compared again), and
+    windows by 64 bits inside theirs. A passage of a third of all documents is one key of its bucket, sent
     once by each batch of about `batch_words` words. Keys are dealt into as many buckets as hold `per_bucket` each on
     average. Memory of a task: one batch, or one bucket.
     """
@@ -158,14 +177,14 @@ def repeated_windows(docs: DataFrame, length: int = 35, period: int = 21, batch_
     cover = np.zeros(period, dtype=bool)
     cover[list(COVERS[period])] = True
     anchor = length - period + 1
-    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    chars = docs.agg(F.sum(F.octet_length("__text")).alias("n")).first()["n"] or 0
     buckets = max(32, int(chars / 6 * len(COVERS[period]) / period / per_bucket) + 1)
 
-    def batches_of(batches: Iterator[pa.RecordBatch], second: bool, columns: int) -> Iterator[tuple]:
+    def batches_of(batches: Iterator[pa.RecordBatch], second: bool, *columns: str) -> Iterator[list]:
         hashes = WordHashes(second=second)
         held, size = [], 0
         for b in slices(batches):
-            for row in zip(*(b.column(i).to_pylist() for i in range(columns)), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 words = (row[1] or b"").split()
                 if len(words) >= length:
                     held.append((row[0], hashes(words), *row[2:]))
@@ -184,30 +203,25 @@ def repeated_windows(docs: DataFrame, length: int = 35, period: int = 21, batch_
         return np.array([x[0] for x in held], dtype=np.int64), starts, inside, left
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in batches_of(batches, False, 2):
+        for held in batches_of(batches, False, "__rid", "__text"):
             rids, starts, inside, left = starts_of(held)
             at = np.flatnonzero(cover[inside % period] & (left >= anchor))
             keys = window_hashes(np.concatenate([x[1] for x in held]), anchor)[at]
             yield _record(list(_emit(keys, None, at, rids, starts, buckets)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in batches_of(batches, True, 3):
+        for held in batches_of(batches, True, "__rid", "__text", "found"):
             rids, starts, inside, left = starts_of(held)
-            touched = np.zeros(len(inside) + 1, dtype=np.int32)
-            for (_, _, found), start in zip(held, starts, strict=True):
-                a = np.frombuffer(found, "<u4").astype(np.int64)
-                np.add.at(touched, start + np.maximum(a - (length - anchor), 0), 1)
-                np.add.at(touched, start + a + 1, -1)
-            at = np.flatnonzero((np.cumsum(touched[:-1]) > 0) & (left >= length))
+            possible = np.concatenate([marked(x[2], x[1].shape[-1], 0) for x in held])
+            at = np.flatnonzero(possible & (left >= length))
             if len(at):
                 both = [window_hashes(np.concatenate([x[1][i] for x in held]), length)[at] for i in (0, 1)]
                 yield _record(list(_emit(*both, at, rids, starts, buckets)))
 
-    texts = docs.select("rid", F.col("text").cast("binary").alias("text"))
-    candidates = cut(_recurring(texts.mapInArrow(anchors, _ROWS)))
+    candidates = cut(_recurring(docs.select("__rid", "__text").mapInArrow(anchors, _ROWS), length - anchor))
     # a merge join hands rows over sorted by rid: a task that runs again forms the same batches
-    rows = texts.join(candidates.hint("merge"), "rid").mapInArrow(windows, _ROWS)
-    return _recurring(rows)
+    rows = docs.join(candidates.withColumnRenamed("rid", "__rid").hint("merge"), "__rid").mapInArrow(windows, _ROWS)
+    return _recurring(rows, 0)
 
 
 def dedup_substrings(docs: DataFrame, length: int = 35, period: int = 21, text: str = "text", kept: str = "kept_text") -> DataFrame:
@@ -219,24 +233,21 @@ def dedup_substrings(docs: DataFrame, length: int = 35, period: int = 21, text:
     share. A 64-bit hash of doc_id and text stands for a row. Columns of these names in the input are replaced.
     """
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", kept)]
-    rows = docs.select(*rest, F.coalesce(text, F.lit("")).alias("__text"), row_hash("doc_id", text).alias("__rid"))
-    found = cut(repeated_windows(rows.select(F.col("__rid").alias("rid"), F.col("__text").alias("text")), length, period))
-    rows = rows.join(found.withColumnRenamed("rid", "__rid").hint("shuffle_hash"), "__rid", "left").select(*rest, F.col("__text").cast("binary"), "at")
+    rows = docs.select(*rest, F.coalesce(text, F.lit("")).cast("binary").alias("__text"), row_hash("doc_id", text).alias("__rid"))
+    # both joins of the texts ask for the same columns dealt by the same key, so that the texts are shuffled once
+    found = repeated_windows(rows, length, period).withColumnRenamed("rid", "__rid")
+    rows = rows.join(found.hint("shuffle_hash"), "__rid", "left").select(*rest, "__text", "__rid", "found")
     names = [*rest, "n_words", "n_removed", kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, removed, left = [], [], []
-            for x, at in zip(b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_pylist(), strict=True):
+            for x, found in zip(b.column("__text").to_pylist(), b.column("found").to_pylist(), strict=True):
                 words = x.split()
                 n.append(len(words))
-                if at:
-                    edge = np.zeros(len(words) + 1, dtype=np.int32)
-                    a = np.frombuffer(at, "<u4").astype(np.int64)
-                    np.add.at(edge, a, 1)
-                    np.add.at(edge, a + length, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                if found:
+                    gone = marked(found, len(words), length - 1)
+                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 removed.append(n[-1] - len(words))
                 left.append(b" ".join(words))
             arrays = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())]
