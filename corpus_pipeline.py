@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1024 tokens."""
-    return packing.pack(packing.pieces_of(docs, public_tokenizers.path("byte_bpe_50k.json"), room=1024, end=2), room=1024)
+    return packing.pack(packing.pieces_of(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, room=1024, end=2), room=1024)
 
 
 STAGES = [

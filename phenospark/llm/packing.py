@@ -24,7 +24,7 @@ from .tokens import encoder
 Pattern = tuple[tuple[int, ...], int]
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, pattern: str, room: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) for each document: its ids and the id `end`, and only where
     these are more than `room`, cut into pieces of `room`, of which the first takes what is over.
 
@@ -32,7 +32,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, w
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
+        encode, last = encoder(tokenizer, pattern), np.array([end], dtype="<u4").tobytes()
         for b in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -52,7 +52,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token ids and read back."""
     path = common.scratch(spark, "token-files")
-    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BPE), end=2)
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BPE), public_tokenizers.PATTERN, end=2)
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", token_files.crc32().alias("ids_crc32"))
 
 
@@ -69,7 +69,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
-    pieces = packing.pieces_of(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), room=1024, end=2)
+    pieces = packing.pieces_of(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), public_tokenizers.PATTERN, room=1024, end=2)
     return packing.pack(pieces, room=1024)
 
 

@@ -104,7 +104,7 @@ class Block:
         return self.ids[self.start(i) : self.start(i + 1)]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_bytes: int = 2, block_ids: int = 1 << 18, parts: int | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int = 2, id_bytes: int = 2, block_ids: int = 1 << 18, parts: int | None = None) -> None:
     """Encode every whole text, append the id `end`, and write the ids in ascending doc_id order.
 
     Null texts are empty; null doc_ids come first; rows of one doc_id are ordered by their text. Rows are dealt by ranges
@@ -117,7 +117,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
     rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
+        encode, last = encoder(tokenizer, pattern), np.array([end], dtype="<u4").tobytes()
         part, number, base, size = TaskContext.get().partitionId(), 0, 0, 0
         held: list[bytes] = []
         names: list[int | None] = []

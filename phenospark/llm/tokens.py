@@ -31,45 +31,66 @@ class _Known(dict):
     def __missing__(self, piece: str):
         if len(self) >= self.room:
             self.clear()
-        self[piece] = found = self.compute(" " + piece)
+        self[piece] = found = self.compute(piece)
         return found
 
 
+# Fixed value: how a byte-level BPE of this family splits ASCII text into pre-tokens.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
+
+
 class Encoder:
     """Ids of whole texts as the library gives them, without added special tokens.
 
-    Pieces that recur are encoded once (up to `room` of them are remembered). Texts that hold the string of a special
-    token go to the library whole.
+    Pieces that recur are encoded once, and so are the pre-tokens they consist of (up to `room` of each are remembered).
+    Pre-tokens are found here in Latin pieces alone; others, and texts that hold the string of a special token, go to the
+    library whole.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, pattern: str, room: int = 500_000):
+        import regex
+
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self._known = _Known(self._encode, room)
+        self.byte_names = byte_names(self.tok)
+        self._latin = regex.compile(pattern).findall
+        self._known = _Known(lambda piece: self._piece(" " + piece), room)
+        self._parts = _Known(self._merge, room)
 
-    def _encode(self, text: str) -> bytes:
+    def _library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _merge(self, pre: str) -> bytes:
+        merged = self.tok.model.tokenize("".join(map(self.byte_names.__getitem__, pre.encode())))
+        return b"".join([t.id.to_bytes(4, "little") for t in merged])
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii():
+            return b"".join(map(self._parts.__getitem__, _ASCII.findall(piece)))
+        if max(piece) < "\u0250":
+            return b"".join(map(self._parts.__getitem__, self._latin(piece)))
+        return self._library(piece)
+
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return self._encode(text)
+            return self._library(text)
         first, *rest = pieces(text)
-        return self._encode(first) + b"".join(map(self._known.__getitem__, rest))
+        return self._piece(first) + b"".join(map(self._known.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pattern: str) -> Encoder:
     """One encoder for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, pattern)
 
 
 class Counter:
     """Numbers of tokens of whole texts, with merging only where a pre-token isn't a token by itself."""
 
-    def __init__(self, path: str, pattern: str, room: int = 300_000):
+    def __init__(self, path: str, pattern: str, room: int = 500_000):
         import regex
 
         self.tok = Tokenizer.from_file(path)
@@ -77,7 +98,7 @@ class Counter:
         self.split = regex.compile(pattern).findall
         self.byte_names = byte_names(self.tok)
         self.whole = whole_tokens(self.tok, self.split, self.byte_names)
-        self._known = _Known(self._count, room)
+        self._known = _Known(lambda piece: self._count(" " + piece), room)
 
     def _count(self, text: str) -> int:
         n = 0
