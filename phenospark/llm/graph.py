@@ -9,7 +9,9 @@ from .common import cut
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node that an edge (a, b) names; component is the smallest node reachable.
+    """(node, component) for every node that edges (a, b) join to a smaller one; component is the smallest node reachable.
+
+    Nodes that are missing from the result are their own component's smallest.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), each a minimum by node (pre-aggregated before
     its shuffle) and a join, until the edges are stars around their smallest node. Every round is checkpointed, so the
@@ -42,9 +44,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
-def with_components(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
-    """Adds component to `nodes`: those without an edge are their own."""
-    found = components(edges).withColumnRenamed("node", node)
-    return nodes.join(found, node, "left").withColumn("component", F.coalesce("component", F.col(node)))
