@@ -14,6 +14,7 @@ from . import stand_ins as data
 
 FLAGSHIP = "cell_variables"
 MIN_FRAMES = 20
+OFFSET = 1.234e-9
 Q = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Q] = {}
 _sql: dict[str, str] = {}
@@ -32,13 +33,14 @@ def query(sql: str | None = None) -> Callable[[Q], Q]:
 
 
 def rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
-    """Doubles rounded so that sums taken in another order agree; no negative zero."""
-    return df.withColumns({c: F.round(F.col(c), to) + F.lit(0.0) for c in columns})
+    """Doubles rounded so that sums taken in another order agree; no negative zero. The offset keeps fractions that end
+    in the middle between two rounded values away from there."""
+    return df.withColumns({c: F.round(F.col(c) + OFFSET, to) + F.lit(0.0) for c in columns})
 
 
 def R(expression: str, name: str, to: int = 6) -> str:
     """The same in SQL."""
-    return f"round({expression}, {to}) + 0.0 AS {name}"
+    return f"round({expression} + {OFFSET!r}, {to}) + 0.0 AS {name}"
 
 
 def _doubles(df: DataFrame) -> list[str]:
@@ -297,12 +299,7 @@ pairs AS ({" UNION ALL ".join(f"SELECT vec_id, '{a}{b}' AS pair, q{a} AS i, q{b}
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leveled = texture.with_levels(_normal(spark, sf_dir), ["vec_id"])
-    out = None
-    for a, b in ((0, 1), (1, 2), (0, 2)):
-        one = texture.cooccurrence(leveled, ["vec_id"], f"q{a}", f"q{b}").select("vec_id", F.lit(f"{a}{b}").alias("pair"), "i", "j", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return texture.cooccurrences(texture.with_levels(_normal(spark, sf_dir), ["vec_id"]), ["vec_id"])
 
 
 @query(f"{COOC} SELECT vec_id, pair, i, j, n FROM pairs")

@@ -58,18 +58,22 @@ def haar(pixels: DataFrame, keys: list[str], level: int = 1) -> DataFrame:
 
 def with_levels(pixels: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     """Adds q0, q1, q2: the pixel's level, from 0 to n, in the image and in its two approximations, each scaled by the
-    whole bounding box; null for a constant one."""
-    out = pixels
-    for level in (1, 2):
-        block = [F.floor((F.col(c) - 1) / 2**level).cast("int").alias(b) for c, b in (("x", "bx"), ("y", "by"))]
-        out = out.select("*", *block).join(haar(pixels, keys, level).withColumnRenamed("value", f"l{level}"), [*keys, "bx", "by"]).drop("bx", "by")
+    whole bounding box; null for a constant one.
+
+    Approximations are means over blocks, taken by windows, so nothing is joined back: the table is dealt by crop once.
+    Those of the second level are means of blocks of the first, each of which weighs the same however many pixels it has.
+    """
+    half, quarter = ([F.floor((F.col(c) - 1) / 2**level) for c in ("x", "y")] for level in (1, 2))
+    one, two = W.partitionBy(*keys, *half), W.partitionBy(*keys, *quarter)
+    out = pixels.repartition(*keys).withColumns({"l1": F.avg("intensity").over(one) * (2 * TAP * TAP), "__w": 1.0 / F.count(F.lit(1)).over(one)})
+    out = out.withColumn("l2", F.sum(F.col("l1") * F.col("__w")).over(two) / F.sum("__w").over(two) * (2 * TAP * TAP))
     w = W.partitionBy(*keys)
 
     def scaled(c: str):
         lo, hi = F.min(c).over(w), F.max(c).over(w)
         return F.floor(F.try_divide((F.col(c) - lo) * n, hi - lo) + 1e-6).cast("int")
 
-    return out.withColumns({"q0": scaled("intensity"), "q1": scaled("l1"), "q2": scaled("l2")}).drop("l1", "l2")
+    return out.withColumns({"q0": scaled("intensity"), "q1": scaled("l1"), "q2": scaled("l2")}).drop("l1", "l2", "__w")
 
 
 def cooccurrence(leveled: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -77,6 +81,13 @@ def cooccurrence(leveled: DataFrame, keys: list[str], a: str, b: str) -> DataFra
     return cell_pixels(leveled).where((F.col(a) > 0) & (F.col(b) > 0)).groupBy(*keys, F.col(a).alias("i"), F.col(b).alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def cooccurrences(leveled: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pair, i, j, n for the three pairs of images 01, 12 and 02, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(f"{a}{b}").alias("pair"), F.col(f"q{a}").alias("i"), F.col(f"q{b}").alias("j")) for a, b in ((0, 1), (1, 2), (0, 2))])
+    each = cell_pixels(leveled).select(*keys, F.inline(pairs)).where("i > 0 and j > 0")
+    return each.groupBy(*keys, "pair", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+
+
 def haralick(counts: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
     """The fourteen features of each co-occurrence table (keys, i, j, n), named prefix + name.
 

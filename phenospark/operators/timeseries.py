@@ -31,14 +31,30 @@ def feature_names(df: DataFrame, keys: list[str]) -> list[str]:
 
 
 def long_form(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    """A row for each track, frame and feature."""
-    return df.select(*keys, "FrameID", *[F.col(c).cast("double").alias(c) for c in features]).unpivot([*keys, "FrameID"], features, "feature", "value")
+    """A row for each track, frame and feature. Exploding keeps how the rows are dealt, which an unpivot loses."""
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
+    return df.select(*keys, "FrameID", F.inline(each))
+
+
+def _summary_columns() -> list[Column]:
+    skew = F.when(F.max("value") > 0, skewness("value")).otherwise(F.lit(0.0))
+    return [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), skew.alias("skew")]
+
+
+def _elevation_columns() -> list[Column]:
+    span = (F.max("FrameID") - F.min("FrameID") + 1).cast("double")
+    part = {n: F.when(F.count("d") > 0, F.sum(F.when(c, F.col("d")).otherwise(0.0)) / span) for n, c in (("asc", F.col("d") > 0), ("des", F.col("d") <= 0))}
+    return [part["asc"].alias("asc"), part["des"].alias("des"), F.max("value").alias("max")]
+
+
+def _with_rises(series_: DataFrame, keys: list[str]) -> DataFrame:
+    order = W.partitionBy(*keys, "feature").orderBy("FrameID")
+    return series_.withColumn("d", F.col("value") - F.lag("value").over(order))
 
 
 def summary(series_: DataFrame, keys: list[str]) -> DataFrame:
     """mean, std, skew over observed rows; skew is 0 unless some value is above 0."""
-    skew = F.when(F.max("value") > 0, skewness("value")).otherwise(F.lit(0.0))
-    return series_.groupBy(*keys, "feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), skew.alias("skew"))
+    return series_.groupBy(*keys, "feature").agg(*_summary_columns())
 
 
 def elevation(series_: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,11 +63,12 @@ def elevation(series_: DataFrame, keys: list[str]) -> DataFrame:
     A linear fill splits a rise into rises of the same sum, so the gaps need no rows here. A track of one row has no rise
     or fall.
     """
-    order = W.partitionBy(*keys, "feature").orderBy("FrameID")
-    rises = series_.withColumn("d", F.col("value") - F.lag("value").over(order))
-    span = (F.max("FrameID") - F.min("FrameID") + 1).cast("double")
-    part = {n: F.when(F.count("d") > 0, F.sum(F.when(c, F.col("d")).otherwise(0.0)) / span) for n, c in (("asc", F.col("d") > 0), ("des", F.col("d") <= 0))}
-    return rises.groupBy(*keys, "feature").agg(part["asc"].alias("asc"), part["des"].alias("des"), F.max("value").alias("max"))
+    return _with_rises(series_, keys).groupBy(*keys, "feature").agg(*_elevation_columns())
+
+
+def observed(series_: DataFrame, keys: list[str]) -> DataFrame:
+    """summary and elevation in one pass."""
+    return _with_rises(series_, keys).groupBy(*keys, "feature").agg(*_summary_columns(), *_elevation_columns())
 
 
 def fill_gaps(series_: DataFrame, keys: list[str], max_gap: int | None = None) -> DataFrame:
@@ -126,7 +143,7 @@ def track_variables(df: DataFrame, features: list[str] | None = None, keys: list
     if len(features) >= wide_from:
         return _by_helper(rows, features, keys)
     long = long_form(rows, features, keys)
-    per_feature = summary(long, keys).join(elevation(long, keys), [*keys, "feature"]).join(wavelets(fill_gaps(long, keys), keys), [*keys, "feature"])
+    per_feature = observed(long, keys).join(wavelets(fill_gaps(long, keys), keys), [*keys, "feature"])
     return widen(per_feature, features, keys, STATS).join(trajectory_area(rows, keys), keys)
 
 
