@@ -54,22 +54,34 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.byte_names = byte_names(self.tok)
         self._latin = regex.compile(pattern).findall
-        self._known = _Known(lambda piece: self._piece(" " + piece), room)
-        self._parts = _Known(self._merge, room)
+        self._written = "".join(self.byte_names[b] for b in range(256))
+        self._bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self._known = _Known(self._piece, room)  # by piece, without the blank that belongs in front of it
+        self._inner = _Known(self._merge, room // 4)  # by pre-token, of those without one
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _merge(self, pre: str) -> bytes:
-        merged = self.tok.model.tokenize("".join(map(self.byte_names.__getitem__, pre.encode())))
-        return b"".join([t.id.to_bytes(4, "little") for t in merged])
+        """The ids that the merges leave of one pre-token."""
+        merged = self.tok.model.tokenize(pre.encode().decode("latin-1").translate(self._written))
+        return b"".join([self._bytes[t.id] for t in merged])
 
     def _piece(self, piece: str) -> bytes:
+        """The ids of a piece behind its blank."""
         if piece.isascii():
-            return b"".join(map(self._parts.__getitem__, _ASCII.findall(piece)))
-        if max(piece) < "\u0250":
-            return b"".join(map(self._parts.__getitem__, self._latin(piece)))
-        return self._library(piece)
+            return self._merge(" " + piece) if piece.isalpha() else self._parts(_ASCII.findall(" " + piece))
+        return self._parts(self._latin(" " + piece)) if max(piece) < "\u0250" else self._library(" " + piece)
+
+    def _parts(self, pre: list[str]) -> bytes:
+        if len(pre) == 1:
+            return self._merge(pre[0])
+        first, *rest = pre
+        start = self._known[first[1:]] if len(first) > 1 and first[0] == " " and first[1] != " " else self._merge(first)
+        return start + b"".join(map(self._inner.__getitem__, rest))
+
+    def _first(self, piece: str) -> bytes:
+        return self._library(piece) if piece else b""
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -78,7 +90,7 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._library(text)
         first, *rest = pieces(text)
-        return self._piece(first) + b"".join(map(self._known.__getitem__, rest))
+        return self._first(first) + b"".join(map(self._known.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
