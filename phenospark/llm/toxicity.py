@@ -80,7 +80,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: t
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", F.lit(n.get(0, 0)).cast("long").alias("n0"), F.lit(n.get(1, 0)).cast("long").alias("n1"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (6000, 3000), features: Features = Features(), least_rows: int = 3, penalty: float = 0.1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (4000, 2000), features: Features = Features(), least_rows: int = 3, penalty: float = 0.1) -> Model:
     """Fit on a sample of `labels`, at most per_class[0] rows of class 0 and per_class[1] of class 1 (a documented
     bound; which rows depends on hashes of doc_id alone). Sampling one class more thinly than the other is made up
     for in the intercept. Without labelled rows of both classes the model is constant: the share of class 1, or 0.
@@ -117,18 +117,20 @@ def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int,
     if len(y) == 0 or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
         return np.zeros(width), float(np.log(share / (1 - share)))
-    ids = np.concatenate(rows)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ones = np.bincount(ids[y[at] == 1], minlength=width)
-    zeros = np.bincount(ids[y[at] == 0], minlength=width)
+    ones, zeros = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.int64)
+    for own, label in zip(rows, y, strict=True):
+        (ones if label == 1 else zeros)[own] += 1  # a row's buckets are distinct
     ratio = np.log((ones + 1.0) / (y.sum() + 2.0)) - np.log((zeros + 1.0) / (len(y) - y.sum() + 2.0))
-    ratio[(ones + zeros) < least_rows] = 0.0
-    ratio[np.abs(ratio) < least_ratio] = 0.0
-    use = ratio[ids] != 0.0
-    ids, at = ids[use], at[use]
+    ratio[((ones + zeros) < least_rows) | (np.abs(ratio) < least_ratio)] = 0.0
     used = np.flatnonzero(ratio)
-    ids = (np.cumsum(ratio != 0.0) - 1)[ids]
-    r, n = ratio[used], len(y)
+    number, r, n = np.cumsum(ratio != 0.0) - 1, ratio[used], len(y)
+    ids, lengths = [], []
+    for own in rows:
+        own = own[ratio[own] != 0.0]
+        ids.append(number[own])
+        lengths.append(len(own))
+    ids = np.concatenate(ids)
+    at = np.repeat(np.arange(n), lengths)
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = v[:-1], v[-1]
@@ -177,20 +179,20 @@ def lbfgs(loss, x: np.ndarray, steps: int = 25, memory: int = 8) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Adds `out`, from 0 to 1, higher where class 1 is likelier, for every whole text; null and empty texts are scored
-    by the intercept. Nothing but the text goes into it. Rows stay where they are read. `keep`: the columns that go
-    along (all, unless given); a column of the name `out` is replaced.
+    by the intercept. Nothing but the text goes into it, and only the score comes back from Python. `keep`: the columns
+    that go along (all, unless given); a column of the name `out` is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
-    rows = docs.select(*kept, F.col(text).alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features, w, bias = shared.value
         seen = np.zeros(1 << features.bits, dtype=np.int32)
-        for b in slices(batches):
-            z = np.array([bias + w[features.of(x, seen)].sum(dtype=np.float64) for x in b.column(len(kept)).to_pylist()])
-            p = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(p, pa.float64())], [*kept, out])
+        for b in batches:
+            z = np.empty(len(b))
+            for i in range(len(b)):  # one text at a time is a Python object
+                z[i] = bias + w[features.of(b[i].as_py(), seen)].sum(dtype=np.float64)
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))))
 
-    return rows.mapInArrow(run, schema)
+    return docs.select(*kept, scores(F.col(text)).alias(out))
