@@ -4,7 +4,8 @@ Each tree gives every vector a long string of bits, the signs of random projecti
 strings. A query descends every tree to its longest matching prefix and then ascends all trees together, one bit at a
 time, until the vectors below it are enough; these it compares exactly. The arrays are cut at a short common prefix, the
 deepest that still leaves about `per_cell` vectors to a cell, so that each cell is one sorted array in one task; cells
-with more vectors, however alike their strings, are split further, and queries visit all parts.
+with more vectors, however alike their strings, are split further, and queries visit all parts. A query whose cells hold
+too few ascends past their border, by the cells' counted sizes, and visits all cells below the shorter prefix.
 """
 
 from __future__ import annotations
@@ -68,18 +69,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
 
     cell = F.shiftright("key", BITS - prefix) if prefix else F.lit(0).cast("long")
     place = points.select("id", F.posexplode("keys").alias("tree", "key")).withColumn("cell", cell)
-    sizes = place.groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / (2.0 * per_cell)).cast("int").alias("parts"))
-    sizes = cut(sizes)
-    place = place.join(sizes, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sizes = place.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("held"))
+    sizes = cut(sizes.withColumn("parts", F.ceil(F.col("held") / (2.0 * per_cell)).cast("int")))
+    # every cell below each of its shorter prefixes: queries whose cells hold too few ascend past the cell's border
+    ladder = sizes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(prefix)))).withColumn("above", F.expr(f"shiftright(cell, {prefix} - level)"))
+    totals = ladder.groupBy("tree", "level", "above").agg(F.sum("held").alias("total"))
+    totals = ladder.join(totals, ["tree", "level", "above"]).groupBy("tree", "cell").agg(*[F.max(F.when(F.col("level") == d, F.col("total"))).alias(f"d{d}") for d in range(prefix + 1)])
+    place = place.join(sizes.drop("held"), ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     place = cut(place.select("tree", "cell", "part", "id", "key"))
-    visits = visiting.select("id", F.posexplode("keys").alias("tree", "key")).withColumn("cell", cell).join(sizes, ["tree", "cell"])
-    visits = cut(visits.select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "key"))
+    own = cut(visiting.select("id", F.posexplode("keys").alias("tree", "key")).withColumn("cell", cell))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    visits = own.join(sizes, ["tree", "cell"]).select("tree", "cell", part, "id", "key")
 
     def arrays(*parts: DataFrame) -> DataFrame:
         both = parts[0].withColumn("asks", F.lit(0)).unionByName(parts[1].withColumn("asks", F.lit(1)), allowMissingColumns=True)
         return both.repartition("tree", "cell", "part").sortWithinPartitions("tree", "cell", "part", "asks", "key", "id")
 
-    depths = list(range(prefix, BITS + 1))
+    depths = list(range(prefix + 1, BITS + 1))
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs_of_groups(batches, ["tree", "cell", "part"]):
@@ -97,13 +103,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
 
     below = arrays(place, visits).mapInArrow(descend, "id long, below array<long>")
     below = below.groupBy("id").agg(*[F.sum(F.col("below")[c]).alias(f"d{d}") for c, d in enumerate(depths)])
-    depth = F.coalesce(*[F.when(F.col(f"d{d}") >= enough, F.lit(d)) for d in reversed(depths)], F.lit(prefix))
-    below = cut(below.select("id", depth.alias("depth")))
+    above = own.join(totals, ["tree", "cell"]).groupBy("id").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(prefix + 1)])
+    depth = F.coalesce(*[F.when(F.col(f"d{d}") >= enough, F.lit(d)) for d in reversed(range(BITS + 1))], F.lit(0))
+    below = below.join(above, "id").select("id", depth.alias("depth"))
+    visits = own.join(below, "id").withColumn("level", F.least("depth", F.lit(prefix))).withColumn("above", F.expr(f"shiftright(cell, {prefix} - level)"))
+    visits = cut(visits.drop("cell").join(ladder, ["tree", "level", "above"]).select("tree", "cell", part, "id", "key", "depth"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs_of_groups(batches, ["tree", "cell", "part"]):
             asks, key, ids = (table.column(c).to_numpy() for c in ("asks", "key", "id"))
-            depth = table.column("depth").fill_null(prefix).to_numpy()
+            depth = table.column("depth").fill_null(0).to_numpy()
             for i, j in zip(bounds[:-1], bounds[1:], strict=True):
                 m = i + int(np.searchsorted(asks[i:j], 1))
                 if m in (i, j):
@@ -126,7 +135,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "found", "score"])
 
     vs = points.select("id", "v")
-    hits = arrays(place.join(vs, "id"), visits.join(vs, "id").join(below, "id")).mapInArrow(search, "id long, found long, score double")
+    hits = arrays(place.join(vs, "id"), visits.join(vs, "id")).mapInArrow(search, "id long, found long, score double")
     hits = hits.groupBy("id", "found").agg(F.max("score").alias("score"))
     order = W.partitionBy("id").orderBy(F.col("score").desc(), "found")
     hits = cut(hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("id", "found", "score"))

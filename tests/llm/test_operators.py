@@ -423,5 +423,19 @@ def test_nearest(spark):
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_ascends_past_the_cells(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(640, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(df, asked, least=0, per_cell=16).collect():  # a prefix of 6: the 12 cells hold 0.2 of all
+        got[r["query_id"]].append(r["vec_id"])
+    true = {q: [int(i) for i in np.argsort(-(v @ v[q]), kind="stable") if i != q][:20] for q in range(0, 640, 20)}
+    assert sum(len(set(got[q]) & set(true[q])) for q in true) / (20 * len(true)) >= 0.85
+    whole = nearest.nearest(df, asked, share=12, per_cell=16).orderBy("query_id", "rank").collect()  # up to the root: exact
+    assert [(r["query_id"], r["vec_id"]) for r in whole] == [(q, i) for q in sorted(true) for i in true[q]]
+
+
 def test_digest_is_of_utf8():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
