@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,52 +23,71 @@ def labelled(errors: DataFrame, correct: DataFrame, id_column: str) -> DataFrame
 
 
 def nearest_same_class(minority: DataFrame, features: list[str], k: int, most: int) -> DataFrame:
-    """__id, features, and __near: the features of the k nearest other rows.
+    """__h, features, __n, and __near: each different row once, how many rows are equal to it, and the features of the k
+    nearest other rows of one of them: its copies, then others by distance, ties by __id.
 
-    Up to `most` rows (the size is counted) the table is broadcast and compared in blocks; a larger one is joined through
-    locality-sensitive hashing, whose nearest are approximate.
+    Exact at every size: blocks of at most about `most` different rows are compared with all blocks, each pair of blocks in
+    a task of its own, and the k best of all blocks kept. Distances that aren't numbers count as the largest.
     """
-    if minority.count() <= most:
-        rows = minority.select("__id", *features).orderBy("__id").collect()
-        shared = minority.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), -1)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, table = shared.value
-            for b in batches:
-                own, v = b.column(0).to_numpy(), np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(features))])
-                near = []
-                for lo in range(0, len(own), 256):
-                    d = ((v[lo : lo + 256, None] - table[None]) ** 2).sum(axis=2)
-                    d[ids[None] == own[lo : lo + 256, None]] = np.inf
-                    near += [table[o[: min(k, len(ids) - 1)]].tolist() for o in np.argsort(d, axis=1, kind="stable")]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.list_(pa.list_(pa.float64())))], ["__id", *features, "__near"])
-
-        return minority.select("__id", *features).mapInArrow(run, "__id long, " + ", ".join(f"`{f}` double" for f in features) + ", __near array<array<double>>")
-    vectors = VectorAssembler(inputCols=features, outputCol="__v").transform(minority)
-    scale = sum(r or 0 for r in minority.agg(*[F.stddev_samp(f) for f in features]).first()) or 1.0
-    hashing = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", bucketLength=scale / 4, numHashTables=6, seed=1).fit(vectors)
-    pairs = hashing.approxSimilarityJoin(vectors, vectors, float("inf"), "__d").where("datasetA.__id != datasetB.__id")
-    ranked = pairs.select(F.col("datasetA.__id").alias("__id"), vector_to_array("datasetB.__v").alias("n"), "__d", F.col("datasetB.__id").alias("o"))
-    ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("__id").orderBy("__d", "o"))).where(F.col("r") <= k)
-    near = ranked.groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "n"))), lambda x: x["n"]).alias("__near"))
-    return minority.select("__id", *features).join(near, "__id")
+    points = minority.groupBy(*features).agg(F.count(F.lit(1)).alias("__n")).withColumn("__h", F.xxhash64(*features)).withColumn("__id", F.xxhash64("__h", F.lit(1)))
+    points = points.persist()
+    different = points.count()
+    tables = max(1, -(-different // most))
+    asking = max(tables, min(16, -(-different // 1000)))  # small tables have few blocks, but tasks enough
+    block = [F.pmod("__h", F.lit(n)).cast("int") for n in (asking, tables)]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (asking, tables)]
+    # under other names: the same columns on both sides of a cogroup are ambiguous
+    asked = [f"__v{i}" for i in range(len(features))]
+    asks = points.select(F.col("__id").alias("__q"), *[F.col(f).alias(v) for f, v in zip(features, asked, strict=True)], block[0].alias("__a"), every[1].alias("__b"))
+    held = points.select("__id", "__n", *features, block[1].alias("__b"), every[0].alias("__a"))
+
+    def matrix(t: pa.Table, names: list[str]) -> np.ndarray:
+        return np.column_stack([t.column(f).to_numpy().astype(float) for f in names])
+
+    def pair(asks: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.sort_by("__id")
+        ids, own, v, table = held.column("__id").to_numpy(), asks.column("__q").to_numpy(), matrix(asks, asked), matrix(held, features)
+        found = []
+        step = max(1, 4_000_000 // max(1, len(ids)))
+        for lo in range(0, len(own) if len(ids) else 0, step):
+            d = np.zeros((len(own[lo : lo + step]), len(ids)))
+            for f in range(len(features)):
+                d += (v[lo : lo + step, f, None] - table[None, :, f]) ** 2
+            d = np.nan_to_num(d, copy=False, nan=np.finfo(float).max, posinf=np.finfo(float).max)
+            d[ids[None] == own[lo : lo + step, None]] = np.inf
+            border = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            row, at = np.nonzero((d <= border[:, None]) & np.isfinite(d))
+            order = np.lexsort((at, d[row, at], row))
+            row, at = row[order], at[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((own[lo + row[keep]], d[row[keep], at[keep]], at[keep]))
+        one, far, at = (np.concatenate(c) if found else np.empty(0, t) for c, t in zip(list(zip(*found, strict=True)) or [()] * 3, (np.int64, float, np.int64), strict=True))
+        near = held.take(pa.array(at, pa.int64()))
+        of = pa.array(table[at].tolist(), pa.list_(pa.float64()))
+        return pa.table([pa.array(one, pa.int64()), pa.array(far, pa.float64()), near.column("__id"), near.column("__n"), of], ["__id", "__d", "__o", "__c", "__f"])
+
+    near = asks.groupBy("__a", "__b").cogroup(held.groupBy("__a", "__b")).applyInArrow(pair, "__id long, __d double, __o long, __c long, __f array<double>")
+    near = near.withColumn("__r", F.row_number().over(W.partitionBy("__id").orderBy("__d", "__o"))).where(F.col("__r") <= k)
+    near = near.groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("__r", "__c", "__f"))).alias("__others"))
+    others = F.coalesce(F.flatten(F.transform("__others", lambda o: F.array_repeat(o["__f"], F.least(o["__c"], F.lit(k)).cast("int")))), F.array().cast("array<array<double>>"))
+    copies = F.array_repeat(F.array(*features), F.least(F.col("__n") - 1, F.lit(k)).cast("int"))
+    return points.join(near, "__id", "left").select("__h", *features, "__n", F.slice(F.concat(copies, others), 1, k).alias("__near"))
 
 
 def oversample(minority: DataFrame, features: list[str], times: int = 1, k: int = 3, seed: int = 0, most: int = 20_000) -> DataFrame:
     """Synthetic rows between each row and one of its k nearest of the same class, `times` for each row.
 
-    Neighbour and place are drawn by a hash of the row, so that the result doesn't depend on partitions. A class of one row
-    has no neighbours and gives none.
+    Neighbour and place are drawn by a hash of the row, so that the result doesn't depend on partitions. Equal rows are
+    numbered by their count, not by a window. A class of one row has no neighbours and gives none.
     """
     rows = minority.select(*[F.col(f).cast("double").alias(f) for f in features])
-    ids = F.row_number().over(W.partitionBy("__h").orderBy(*features))
-    rows = rows.withColumn("__h", F.xxhash64(*features)).withColumn("__id", F.xxhash64("__h", ids)).drop("__h")
     near = nearest_same_class(rows, features, k, most).where(F.size("__near") > 0)
+    near = near.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).withColumn("__id", F.xxhash64("__h", "__i"))
     drawn = near.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(times)))) if times > 0 else near.withColumn("__copy", F.lit(0)).where(F.lit(False))
     pick = F.pmod(F.xxhash64("__id", "__copy", F.lit(seed)), F.size("__near")) + 1
     place = F.pmod(F.xxhash64("__id", "__copy", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = drawn.withColumns({"__n": F.element_at("__near", pick.cast("int")), "__u": place})
-    return drawn.select(*[(F.col(f) + F.col("__u") * (F.get("__n", F.lit(i)) - F.col(f))).alias(f) for i, f in enumerate(features)])
+    drawn = drawn.withColumns({"__to": F.element_at("__near", pick.cast("int")), "__u": place})
+    return drawn.select(*[(F.col(f) + F.col("__u") * (F.get("__to", F.lit(i)) - F.col(f))).alias(f) for i, f in enumerate(features)])
 
 
 def training_set(errors: DataFrame, correct: DataFrame, id_column: str = "CellID", times: int = 1, seed: int = 0) -> tuple[DataFrame, DataFrame, str, str]:

@@ -174,6 +174,17 @@ def test_oversampling_stays_between_neighbours_and_ignores_partitions(spark):
     assert 0 < len(through_hashes) <= 4
 
 
+def test_oversampling_is_whole_and_exact_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.normal(size=(40, 3)), rng.normal(size=(5, 3)) * 1e6, np.ones((20, 3))])  # far rows and copies
+    df = spark.createDataFrame(v.tolist(), "a double, b double, c double")
+    one, blocks = (sorted(tuple(r) for r in segmentation.oversample(df, ["a", "b", "c"], times=2, most=m).collect()) for m in (1000, 7))
+    assert one == blocks and len(one) == 2 * len(v)
+    for r in segmentation.nearest_same_class(df, ["a", "b", "c"], 3, 7).collect():
+        d = np.sort(np.linalg.norm(v - np.array([r["a"], r["b"], r["c"]]), axis=1))[1:4]
+        assert [np.linalg.norm(np.array(n) - [r["a"], r["b"], r["c"]]) for n in r["__near"]] == pytest.approx(d)
+
+
 def test_undersampling_is_exact(spark):
     df = groups(spark).select("a", "b")
     one = segmentation.undersample(df, 7, 1).collect()
