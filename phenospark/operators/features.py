@@ -20,13 +20,13 @@ TEXTURE = ["FOmean", "FOsd", "FOskew", *[f"Cooc{m}{h}" for m in ("01", "12", "02
 MOVEMENT = ["Dis", "Trac", "D2T", "Vel"]
 
 
-def crop_features(image: np.ndarray, x: np.ndarray, y: np.ndarray, gap: int = 4) -> list[float | None]:
-    """SHAPE, TEXTURE, xpos and ypos of one outline in a normalised frame."""
+def crop_features(image: np.ndarray | None, x: np.ndarray, y: np.ndarray, gap: int = 4) -> list[float | None]:
+    """SHAPE, TEXTURE, xpos and ypos of one outline in a normalised frame; TEXTURE is null without an image, and where the
+    outline reaches over its edge."""
     cx, cy = float(x.mean()), float(y.mean())
     left, top = int(x.min()), int(y.min())
     bx, by = (x - left).astype(int), (y - top).astype(int)
     width, height = bx.max() + 1, by.max() + 1
-    part = image[top : top + height, left : left + width]
     m = crops.mask(bx, by, width, height)
     inside, n = m >= 0, len(x)
     away = np.hypot(x - cx, y - cy)
@@ -35,6 +35,9 @@ def crop_features(image: np.ndarray, x: np.ndarray, y: np.ndarray, gap: int = 4)
     length, wide = outlines.extents(x, y)
     area = float(inside.sum())
     shape = [away.mean(), away.var(ddof=1) if n > 1 else None, curv, length, wide, area, area / n**2, length * wide / area, max(length, wide) / (length + wide), *outlines.polygon_features(x, y)]
+    if image is None or top + height > image.shape[0] or left + width > image.shape[1]:
+        return [*shape, *[None] * len(TEXTURE), cx, cy]
+    part = image[top : top + height, left : left + width]
     v = part[inside]
     one = crops.halve(part, TAP)
     two = crops.enlarge(crops.halve(one, TAP), 4, part.shape)
@@ -51,7 +54,7 @@ def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame,
 
     A frame's image goes once to its objects, not to each of them: images and outlines are dealt by frame and group of about
     `per_group` outlines and meet there. So a crowded frame is shared by several tasks, and its image moved as often.
-    An outline that reaches over the image's edge, and a constant image, give nulls in place of textures.
+    An outline that reaches over the image's edge, and a constant or missing image, give nulls in place of textures.
     """
     keys = keys or ["CellID"]
     shapes = large_enough(clamp(outlines_.join(detections.select(*keys, "FrameID", "ROI_filename").distinct(), "ROI_filename")))
@@ -62,16 +65,15 @@ def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame,
     names = [*SHAPE, *TEXTURE, "xpos", "ypos"]
 
     def crop(image: pd.DataFrame, objects: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        rows, grid = [], None
         if len(image):
             first = image.iloc[0]
             grid = np.asarray(first["pixels"], dtype=float).reshape(first["height"], first["width"])
             lo, hi = grid.min(), grid.max()
-            grid = (grid - lo) * 255.0 / (hi - lo) if hi > lo else np.full(grid.shape, np.nan)
-            for o in objects.itertuples(index=False):
-                x, y = outlines.points(list(o.coords))
-                if x.max() < grid.shape[1] and y.max() < grid.shape[0] and hi > lo:
-                    rows.append([*[getattr(o, k) for k in keys], o.FrameID, *crop_features(grid, x, y)])
+            grid = (grid - lo) * 255.0 / (hi - lo) if hi > lo else None
+        for o in objects.itertuples(index=False):
+            x, y = outlines.points(list(o.coords))
+            rows.append([*[getattr(o, k) for k in keys], o.FrameID, *crop_features(grid, x, y)])
         return pd.DataFrame(rows, columns=[*keys, "FrameID", *names])
 
     types = dict(shapes.dtypes)

@@ -142,6 +142,21 @@ def test_all_features_of_a_painted_frame(spark, tmp_path):
     assert r["dens"] == pytest.approx(1 / 25.0) and len(r) == 3 + 4 + 13 + 54 + 3
 
 
+def test_detections_without_textures_are_kept(spark):
+    x, y = square()
+    image = np.random.default_rng(1).integers(0, 255, 1600).astype(float).tolist()
+    frames = spark.createDataFrame([(1, 40, 40, image), (2, 40, 40, [7.0] * 1600)], "frame_id int, height int, width int, pixels array<double>")
+    names = [(1, 1, "in"), (1, 2, "over"), (2, 1, "in"), (3, 1, "in")]  # inside, over the edge, constant frame, no frame
+    detections = spark.createDataFrame(names, "FrameID int, CellID int, ROI_filename string")
+    shapes = [("in", list(zip(x.tolist(), y.tolist(), strict=True))), ("over", list(zip((x + 34).tolist(), y.tolist(), strict=True)))]
+    outlines_ = spark.createDataFrame(shapes, "ROI_filename string, coords array<struct<x:int,y:int>>")
+    got = {(r["FrameID"], r["CellID"]): r for r in features.extract_features(detections, outlines_, frames).collect()}
+    assert sorted(got) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+    for at, r in got.items():
+        assert r["Area"] == 100 and r["xpos"] is not None and r["dens"] is not None
+        assert all((r[c] is None) == (at != (1, 1)) for c in ("FOmean", "FOsd", "IQ1"))
+
+
 def test_tracking_tables(spark, tmp_path):
     phase = tmp_path / "p.csv"
     phase.write_text("Banner text\nFrame,Tracking ID,Volume (µm³),Sphericity (),Other\n1,7,100.5,0.90,x\n2,7,101.5,0.91,x\n1,8,90.0,0.80,x\n", encoding="utf-8")
