@@ -99,10 +99,43 @@ def training_set(errors: DataFrame, correct: DataFrame, id_column: str = "CellID
     return real.unionByName(oversample(real, features, times, seed=seed)), many.select(*as_double), small, large
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """Different rows with __w, how many are equal to each."""
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__w"))
+
+
+def lowest(majority: DataFrame, n: int, draw: int, seed: int = 0, few: int = 10_000) -> DataFrame:
+    """Of folded rows those that undersample() draws, with __w of each that are drawn.
+
+    Rows are counted by ranges of their hashes, and the range that holds the n-th row is cut again until it has at most
+    `few` different rows or one hash; only these are put in order.
+    """
+    columns = [c for c in majority.columns if c != "__w"]
+    rows = majority.withColumn("__h", F.xxhash64(*columns, F.lit(draw), F.lit(seed)))
+    lo, hi, before = -(1 << 63), 1 << 63, 0
+    while True:
+        width = max(1, (hi - lo) >> 12)
+        # in decimals, as hashes reach over the whole range of a long
+        step = F.floor((F.col("__h").cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("int")
+        counts = rows.where(F.col("__h").between(lo, hi - 1)).groupBy(step.alias("s")).agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("c")).orderBy("s").collect()
+        for r in counts:
+            if before + r["w"] >= n:
+                break
+            before += r["w"]
+        else:  # fewer than n rows
+            return rows.drop("__h")
+        lo, hi = lo + r["s"] * width, min(hi, lo + (r["s"] + 1) * width)
+        if r["c"] <= few or hi - lo == 1:
+            break
+    order = W.orderBy("__h", *columns).rowsBetween(W.unboundedPreceding, W.currentRow)
+    border = rows.where(F.col("__h").between(lo, hi - 1)).withColumn("__w", F.least("__w", F.lit(n - before) - F.sum("__w").over(order) + F.col("__w")))
+    return rows.where(F.col("__h") < lo).unionByName(border.where(F.col("__w") > 0)).drop("__h")
+
+
 def undersample(majority: DataFrame, n: int, draw: int, seed: int = 0) -> DataFrame:
     """Exactly n rows without replacement: those with the lowest hashes of their values, this draw's number and the seed."""
-    order = F.xxhash64(*majority.columns, F.lit(draw), F.lit(seed))
-    return majority.withColumn("__h", order).orderBy("__h", *majority.columns).limit(n).drop("__h")
+    drawn = lowest(folded(majority), n, draw, seed)
+    return drawn.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__w").cast("int")))).select(*majority.columns)
 
 
 def tree_votes(errors: DataFrame, correct: DataFrame, test: DataFrame, id_column: str = "CellID", trees: int = 10, times: int = 1, seed: int = 0, at_once: int = 4) -> DataFrame:
@@ -110,17 +143,18 @@ def tree_votes(errors: DataFrame, correct: DataFrame, test: DataFrame, id_column
     synthetic rows and as many rows of the majority. The test rows are scored in one pass by all trees."""
     features = [c for c in errors.columns if c != id_column]
     few, many, small, large = training_set(errors, correct, id_column, times, seed)
-    few, many = few.persist(), many.persist()
-    n, have = few.count(), many.count()
+    few, many = folded(few).persist(), folded(many).persist()
+    n, have = (t.agg(F.coalesce(F.sum("__w"), F.lit(0))).first()[0] for t in (few, many))
     if n > have:
         raise ValueError(f"cannot draw {n} of the {have} rows of the class {large!r} without replacement")
     assemble = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="skip")
 
     def fit(draw: int):
-        both = few.withColumn("__y", F.lit(float(small == ERROR))).unionByName(undersample(many, n, draw, seed).withColumn("__y", F.lit(float(large == ERROR))))
-        # rows in one fixed order and partition: the same tree in every run
-        data = assemble.transform(both.coalesce(1).sortWithinPartitions(*features, "__y"))
-        return DecisionTreeClassifier(impurity="entropy", labelCol="__y", featuresCol="__features", predictionCol=f"__p{draw}", rawPredictionCol=f"__r{draw}", probabilityCol=f"__q{draw}", seed=seed + draw).fit(data)
+        both = few.withColumn("__y", F.lit(float(small == ERROR))).unionByName(lowest(many, n, draw, seed).withColumn("__y", F.lit(float(large == ERROR))))
+        # as many partitions as the counted rows need, dealt by their values and sorted: the same tree in every run
+        parts = max(1, 2 * n // 100_000)
+        data = assemble.transform(both.repartition(parts, *features, "__y").sortWithinPartitions(*features, "__y"))
+        return DecisionTreeClassifier(impurity="entropy", labelCol="__y", weightCol="__w", featuresCol="__features", predictionCol=f"__p{draw}", rawPredictionCol=f"__r{draw}", probabilityCol=f"__q{draw}", seed=seed + draw).fit(data)
 
     try:
         with ThreadPoolExecutor(at_once) as pool:  # small fits: their latency overlaps

@@ -207,6 +207,17 @@ def test_undersampling_is_exact(spark):
     assert sorted(one) != sorted(segmentation.undersample(df, 7, 2).collect())
 
 
+def test_undersampling_in_ranges_without_a_global_limit(spark):
+    df = spark.range(3000).selectExpr("cast(case when id % 3 = 0 then 1 else id end as double) a", "id % 2 * 0.5 b")  # many copies
+    hashes = df.selectExpr("a", "b", "xxhash64(a, b, 1, 0) h").orderBy("h", "a", "b").collect()
+    for n in (0, 1, 700, 1500, 2999, 3000):
+        drawn = segmentation.undersample(df, n, 1)
+        assert sorted(tuple(r) for r in drawn.collect()) == sorted((r["a"], r["b"]) for r in hashes[:n])
+    assert "TakeOrdered" not in (plan := drawn._jdf.queryExecution().toString()) and "GlobalLimit" not in plan
+    ranges = segmentation.lowest(segmentation.folded(df), 1500, 1, few=1).agg({"__w": "sum"}).first()[0]
+    assert ranges == 1500
+
+
 def test_segmentation_votes(spark):
     df = groups(spark)
     errors, correct = (df.where(f"class = '{c}'").drop("class") for c in ("segerror", "correct"))
