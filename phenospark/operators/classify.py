@@ -74,10 +74,11 @@ def _named(prediction: str, names: list[str]) -> Column:
 
 
 def random_forest(train: DataFrame, test: DataFrame, label: str, features: list[str], trees: int = 200, tried: int = 5, seed: int = 1) -> DataFrame:
-    """`test` with RF: a forest of `trees`, each split tries `tried` features."""
+    """`test` with RF: a forest of `trees`, each split tries `tried` features; trees grow to the end, or to Spark's limit of
+    30 levels."""
     numbered, names = _numbered(train, label)
     assemble = VectorAssembler(inputCols=features, outputCol="__v")
-    model = RandomForestClassifier(labelCol="__y", featuresCol="__v", predictionCol="__p", numTrees=trees, featureSubsetStrategy=str(min(tried, len(features))), seed=seed).fit(assemble.transform(numbered))
+    model = RandomForestClassifier(labelCol="__y", featuresCol="__v", predictionCol="__p", numTrees=trees, maxDepth=30, minInstancesPerNode=1, featureSubsetStrategy=str(min(tried, len(features))), seed=seed).fit(assemble.transform(numbered))
     return model.transform(assemble.transform(test)).withColumn("RF", _named("__p", names)).drop("__v", "__p", "rawPrediction", "probability")
 
 

@@ -238,6 +238,14 @@ def test_classifiers_on_separable_groups(spark):
     assert [r["Ensemble"] for r in classify.majority(votes, "x", "y").collect()] == ["x", "y"]
 
 
+def test_forest_grows_beyond_32_leaves(spark):
+    label = np.random.default_rng(7).integers(0, 2, (16, 16))
+    rows = [(float(i), float(j), str(label[i, j])) for i in range(16) for j in range(16) for _ in range(4)]
+    df = spark.createDataFrame(rows, "a double, b double, y string")
+    got = classify.random_forest(df, df, "y", ["a", "b"], trees=20).select("y", "RF").collect()
+    assert sum(r["y"] == r["RF"] for r in got) / len(got) > 0.95
+
+
 def test_ward_clusters(spark):
     df = spark.range(90).selectExpr("id", "id % 3 * 10 + rand(1) a", "id % 3 * 7 + rand(2) b").cache()
     for exact in (1000, 10):
