@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -22,7 +23,8 @@ def pieces(text: str) -> list[str]:
 
 
 class _Known(dict):
-    """Piece to its result; computed when first asked for, all forgotten when more than `room` are known."""
+    """Piece to its result; computed when first asked for. Beyond `room` pieces the younger half is forgotten: what is
+    frequent comes early."""
 
     def __init__(self, compute, room: int):
         super().__init__()
@@ -30,34 +32,78 @@ class _Known(dict):
 
     def __missing__(self, piece: str):
         if len(self) >= self.room:
-            self.clear()
+            for old in list(islice(self, self.room // 2, None)):
+                del self[old]
         self[piece] = found = self.compute(piece)
         return found
 
 
-# Fixed value: how a byte-level BPE of this family splits ASCII text into pre-tokens.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
+class _Rows(dict):
+    """String to the number of its row in a ragged table of ids; strings asked for the first time wait in `new`."""
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.new = room, []
+        self.ids, self.ends = np.empty(1024, dtype="<u4"), np.zeros(1024, dtype=np.int64)
+
+    def __missing__(self, s: str) -> int:
+        self[s] = code = len(self)
+        self.new.append(s)
+        return code
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, strings), dtype=np.int64, count=len(strings))
+
+    def fill(self, rows: list[bytes]) -> None:
+        """Give the waiting strings their rows, in their order."""
+        at, n = len(self) - len(rows), len(self)
+        if n >= len(self.ends):
+            self.ends = np.resize(self.ends, 2 * n + 1)
+        ends = self.ends[at] + np.cumsum([len(r) // 4 for r in rows], dtype=np.int64)
+        top = int(ends[-1]) if len(ends) else 0
+        if top > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * top)
+        self.ids[self.ends[at] : top] = np.frombuffer(b"".join(rows), dtype="<u4")
+        self.ends[at + 1 : n + 1] = ends
+        self.new = []
+
+    def rows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows, one behind the other, and how many each has."""
+        first = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - first
+        last = np.cumsum(sizes)
+        at = np.repeat(first - (last - sizes), sizes)
+        at += np.arange(len(at))
+        return self.ids[at], sizes
+
+    def trim(self) -> None:
+        """Beyond `room` strings, forget the younger half: what is frequent comes early."""
+        if len(self) > self.room:
+            for s in list(islice(self, self.room // 2, None)):
+                del self[s]
 
 
 class Encoder:
     """Ids of whole texts as the library gives them, without added special tokens.
 
     Pieces that recur are encoded once, and so are the pre-tokens they consist of (up to `room` of each are remembered).
-    Pre-tokens are found here in Latin pieces alone; others, and texts that hold the string of a special token, go to the
-    library whole.
+    The new pieces of many texts are split together. Pre-tokens are found here in Latin pieces alone; other pieces, texts
+    that hold the string of a special token, and all texts if `pattern` isn't how this tokenizer splits, go to the library.
     """
 
-    def __init__(self, path: str, pattern: str, room: int = 500_000):
+    def __init__(self, path: str, pattern: str, room: int = 700_000):
         import regex
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.byte_names = byte_names(self.tok)
-        self._latin = regex.compile(pattern).findall
-        self._written = "".join(self.byte_names[b] for b in range(256))
+        self._split = regex.compile(pattern).findall
+        names = byte_names(self.tok)
+        self._written = "".join(names[b] for b in range(256))
         self._bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
-        self._known = _Known(self._piece, room)  # by piece, without the blank that belongs in front of it
-        self._inner = _Known(self._merge, room // 4)  # by pre-token, of those without one
+        self._pieces, self._pre = _Rows(room), _Rows(room // 2)
+        self._known = splits_so(self.tok, self._split, names)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -67,30 +113,67 @@ class Encoder:
         merged = self.tok.model.tokenize(pre.encode().decode("latin-1").translate(self._written))
         return b"".join([self._bytes[t.id] for t in merged])
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece behind its blank."""
-        if piece.isascii():
-            return self._merge(" " + piece) if piece.isalpha() else self._parts(_ASCII.findall(" " + piece))
-        return self._parts(self._latin(" " + piece)) if max(piece) < "\u0250" else self._library(" " + piece)
+    def _ids(self, pre: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        numbers = self._pre.numbers(pre)
+        self._pre.fill([self._merge(x) for x in self._pre.new])
+        return self._pre.rows(numbers)
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """The ids of pieces: those behind a blank, and the first of texts, marked by a tab."""
+        out: list[bytes] = [b""] * len(new)
+        inner = []
+        for i, key in enumerate(new):
+            if not (key.isascii() or max(key) < "\u0250"):
+                out[i] = self._library(key[1:] if key[0] == "\t" else " " + key)
+            elif key[0] == "\t":
+                out[i] = self._ids(self._split(key[1:]))[0].tobytes()
+            else:
+                inner.append(i)
+        if inner:
+            pre = self._split("".join([" " + new[i] for i in inner]))
+            last = np.cumsum(np.fromiter(map(len, pre), dtype=np.int64, count=len(pre)))
+            ends = np.cumsum([len(new[i]) + 1 for i in inner])
+            of = np.searchsorted(last, ends)  # the pre-token that ends each piece
+            ids, sizes = self._ids(pre)
+            edge = np.concatenate([[0], np.cumsum(sizes)[of]]) * 4
+            data = memoryview(ids.tobytes())
+            for i, lo, hi in zip(inner, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                out[i] = bytes(data[lo:hi])
+        return out
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; none for null."""
+        for table in (self._pieces, self._pre):
+            table.trim()
+        numbers, whole = [], {}
+        for i, text in enumerate(texts):
+            if text and (not self._known or any(s in text for s in self.special)):
+                whole[i], text = self._library(text), None
+            cut = pieces(text or "")
+            if cut[0]:
+                cut[0] = "\t" + cut[0]  # no other piece begins with white space
+            else:
+                del cut[0]
+            numbers.append(self._pieces.numbers(cut))
+        self._pieces.fill(self._encode(self._pieces.new))
+        ids, sizes = self._pieces.rows(np.concatenate([np.empty(0, np.int64), *numbers]))
+        after = np.concatenate([[0], np.cumsum(sizes)])
+        ends = 4 * after[np.cumsum([0, *map(len, numbers)])]
+        data = memoryview(ids.tobytes())
+        return [whole[i] if i in whole else bytes(data[ends[i] : ends[i + 1]]) for i in range(len(texts))]
 
-    def _parts(self, pre: list[str]) -> bytes:
-        if len(pre) == 1:
-            return self._merge(pre[0])
-        first, *rest = pre
-        start = self._known[first[1:]] if len(first) > 1 and first[0] == " " and first[1] != " " else self._merge(first)
-        return start + b"".join(map(self._inner.__getitem__, rest))
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
 
-    def _first(self, piece: str) -> bytes:
-        return self._library(piece) if piece else b""
 
-    def __call__(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._library(text)
-        first, *rest = pieces(text)
-        return self._first(first) + b"".join(map(self._known.__getitem__, rest))
+def splits_so(tok: Tokenizer, split, names: dict[int, str]) -> bool:
+    """Whether a tokenizer is a plain byte-level BPE that splits as `split` does, tried on every pair of kinds of Latin
+    characters: letters of both cases, digits, signs, kinds of white space, and contractions."""
+    if tok.normalizer is not None or type(tok.model).__name__ != "BPE" or tok.model.dropout or tok.pre_tokenizer is None:
+        return False
+    kinds = ["a", "Z", "é", "ª", "7", "²", "!", "_", "¿", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "'s", "'ll", "'D"]
+    probe = [a + b + c for a in kinds for b in kinds for c in ("", "b", " ", "\n")]
+    return all([p for p, _ in tok.pre_tokenizer.pre_tokenize_str(x)] == ["".join(names[b] for b in p.encode()) for p in split(x)] for x in probe)
 
 
 @lru_cache(maxsize=2)
