@@ -1,12 +1,26 @@
-"""Fast exact encoding with a byte-level BPE of the tokenizers library."""
+"""Fast exact encoding with a byte-level BPE of the tokenizers library.
+
+Its merges are those of a table of ranks wherever three things hold, which are proved when a tokenizer is loaded: merges
+come in the order of the ids they make; every token of the vocabulary, given alone, ends as that one token; and texts are
+split by the same expression. (Take the first step at which merging by pairs and merging by the rank of the result differ:
+it joins two parts c, d to a token t. What lies inside t's span was merged as if it stood alone, as nothing crossed the
+span's ends; so c, d are the two parts that t alone is made of last, and the pairs' rule joins them too.) Texts for which
+any of this isn't proved go to the library itself.
+"""
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
+import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 _CUT = re.compile(r" (?=\S)")
@@ -22,158 +36,132 @@ def pieces(text: str) -> list[str]:
     return text.split(" ") if _ODD.search(text) is None else _CUT.split(text)
 
 
-class _Known(dict):
-    """Piece to its result; computed when first asked for. Beyond `room` pieces the younger half is forgotten: what is
-    frequent comes early."""
+def byte_names(tok: Tokenizer) -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte, asked of the tokenizer's own alphabet.
 
-    def __init__(self, compute, room: int):
-        super().__init__()
-        self.compute, self.room = compute, room
+    Printable Latin-1 characters stand for themselves; the other bytes, in order, take the characters from U+0100.
+    """
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
-    def __missing__(self, piece: str):
-        if len(self) >= self.room:
-            for old in list(islice(self, self.room // 2, None)):
-                del self[old]
-        self[piece] = found = self.compute(piece)
-        return found
 
+def load(path: str) -> tuple[Tokenizer, list[str]]:
+    """A tokenizer that neither cuts nor pads, and the strings of its special tokens."""
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok, [t.content for t in tok.get_added_tokens_decoder().values()]
 
-class _Rows(dict):
-    """String to the number of its row in a ragged table of ids; strings asked for the first time wait in `new`."""
 
-    def __init__(self, room: int):
-        super().__init__()
-        self.room, self.new = room, []
-        self.ids, self.ends = np.empty(1024, dtype="<u4"), np.zeros(1024, dtype=np.int64)
-
-    def __missing__(self, s: str) -> int:
-        self[s] = code = len(self)
-        self.new.append(s)
-        return code
-
-    def numbers(self, strings: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, strings), dtype=np.int64, count=len(strings))
-
-    def fill(self, rows: list[bytes]) -> None:
-        """Give the waiting strings their rows, in their order."""
-        at, n = len(self) - len(rows), len(self)
-        if n >= len(self.ends):
-            self.ends = np.resize(self.ends, 2 * n + 1)
-        ends = self.ends[at] + np.cumsum([len(r) // 4 for r in rows], dtype=np.int64)
-        top = int(ends[-1]) if len(ends) else 0
-        if top > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * top)
-        self.ids[self.ends[at] : top] = np.frombuffer(b"".join(rows), dtype="<u4")
-        self.ends[at + 1 : n + 1] = ends
-        self.new = []
-
-    def rows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these rows, one behind the other, and how many each has."""
-        first = self.ends[numbers]
-        sizes = self.ends[numbers + 1] - first
-        last = np.cumsum(sizes)
-        at = np.repeat(first - (last - sizes), sizes)
-        at += np.arange(len(at))
-        return self.ids[at], sizes
-
-    def trim(self) -> None:
-        """Beyond `room` strings, forget the younger half: what is frequent comes early."""
-        if len(self) > self.room:
-            for s in list(islice(self, self.room // 2, None)):
-                del self[s]
+def is_plain(tok: Tokenizer, model: dict) -> bool:
+    """Whether texts reach the merges of a BPE through a byte-level splitter alone."""
+    settings = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    return model.get("type") == "BPE" and not any(model.get(s) for s in settings) and tok.normalizer is None and type(tok.pre_tokenizer).__name__ == "ByteLevel"
+
+
+def _goes_on(sizes: list[int], starts: np.ndarray) -> np.ndarray:
+    """Which parts, of a text in parts of these sizes, that begin at `starts` are longer than 1."""
+    n = np.array(sizes)
+    at = np.cumsum(n) - n
+    i = np.minimum(np.searchsorted(at, starts), len(at) - 1)
+    return (at[i] == starts) & (n[i] > 1)
+
+
+class SplitsAlike:
+    """Whether a text's characters are split alike by a tokenizer and by another way, tried on each block of 256 code points
+    when one of them first turns up.
+
+    What an expression does with a character depends on its class alone: a letter, a digit, white space or something else.
+    So each character is put behind an x, a 1 and a !, and `joins` tells which of these, at the given places of a text, its
+    pre-token joins with what follows. (The letters of contractions are in the first block, and tried by KINDS.)
+    """
+
+    KINDS = ["a", "Z", "é", "ª", "7", "²", "!", "_", "¿", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "'s", "'ll", "'D"]
+
+    def __init__(self, tok: Tokenizer, joins: Callable[[str, np.ndarray], np.ndarray]):
+        self.tok, self.joins, self.known = tok, joins, {}
+
+    @classmethod
+    def texts(cls) -> list[str]:
+        """Every kind of character before and after every other."""
+        return [a + b + c for a in cls.KINDS for b in cls.KINDS for c in ("", "b", " ", "\n")]
+
+    def others(self, number: int) -> frozenset[str]:
+        """The characters of a block whose class isn't the same in both."""
+        if number not in self.known:
+            points = [c for c in range(256 * number, 256 * number + 256) if not 0xD800 <= c < 0xE000]
+            text = "".join([f"{before}{chr(c)}\n" for c in points for before in "x1!"])
+            starts = np.arange(0, len(text), 3)
+            library = [hi - lo for _, (lo, hi) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+            odd = (_goes_on(library, starts) != self.joins(text, starts)).reshape(-1, 3).any(axis=1)
+            self.known[number] = frozenset(chr(c) for c, o in zip(points, odd.tolist(), strict=True) if o)
+        return self.known[number]
+
+    def __call__(self, text: str) -> bool:
+        if text.isascii():
+            return not self.others(0)
+        return not any([c in self.others(ord(c) >> 8) for c in set(text)])
 
 
 class Encoder:
     """Ids of whole texts as the library gives them, without added special tokens.
 
-    Pieces that recur are encoded once, and so are the pre-tokens they consist of (up to `room` of each are remembered).
-    The new pieces of many texts are split together. Pre-tokens are found here in Latin pieces alone; other pieces, texts
-    that hold the string of a special token, and all texts if `pattern` isn't how this tokenizer splits, go to the library.
+    Texts that hold the string of a special token, or characters that `pattern` splits in another way than this tokenizer, go
+    to the library; so do all texts if the module's three conditions aren't proved for it.
     """
 
-    def __init__(self, path: str, pattern: str, room: int = 700_000):
-        import regex
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self._split = regex.compile(pattern).findall
-        names = byte_names(self.tok)
-        self._written = "".join(names[b] for b in range(256))
-        self._bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
-        self._pieces, self._pre = _Rows(room), _Rows(room // 2)
-        self._known = splits_so(self.tok, self._split, names)
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _merge(self, pre: str) -> bytes:
-        """The ids that the merges leave of one pre-token."""
-        merged = self.tok.model.tokenize(pre.encode().decode("latin-1").translate(self._written))
-        return b"".join([self._bytes[t.id] for t in merged])
-
-    def _ids(self, pre: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        numbers = self._pre.numbers(pre)
-        self._pre.fill([self._merge(x) for x in self._pre.new])
-        return self._pre.rows(numbers)
-
-    def _encode(self, new: list[str]) -> list[bytes]:
-        """The ids of pieces: those behind a blank, and the first of texts, marked by a tab."""
-        out: list[bytes] = [b""] * len(new)
-        inner = []
-        for i, key in enumerate(new):
-            if not (key.isascii() or max(key) < "\u0250"):
-                out[i] = self._library(key[1:] if key[0] == "\t" else " " + key)
-            elif key[0] == "\t":
-                out[i] = self._ids(self._split(key[1:]))[0].tobytes()
-            else:
-                inner.append(i)
-        if inner:
-            pre = self._split("".join([" " + new[i] for i in inner]))
-            last = np.cumsum(np.fromiter(map(len, pre), dtype=np.int64, count=len(pre)))
-            ends = np.cumsum([len(new[i]) + 1 for i in inner])
-            of = np.searchsorted(last, ends)  # the pre-token that ends each piece
-            ids, sizes = self._ids(pre)
-            edge = np.concatenate([[0], np.cumsum(sizes)[of]]) * 4
-            data = memoryview(ids.tobytes())
-            for i, lo, hi in zip(inner, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                out[i] = bytes(data[lo:hi])
-        return out
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; none for null."""
-        for table in (self._pieces, self._pre):
-            table.trim()
-        numbers, whole = [], {}
-        for i, text in enumerate(texts):
-            if text and (not self._known or any(s in text for s in self.special)):
-                whole[i], text = self._library(text), None
-            cut = pieces(text or "")
-            if cut[0]:
-                cut[0] = "\t" + cut[0]  # no other piece begins with white space
-            else:
-                del cut[0]
-            numbers.append(self._pieces.numbers(cut))
-        self._pieces.fill(self._encode(self._pieces.new))
-        ids, sizes = self._pieces.rows(np.concatenate([np.empty(0, np.int64), *numbers]))
-        after = np.concatenate([[0], np.cumsum(sizes)])
-        ends = 4 * after[np.cumsum([0, *map(len, numbers)])]
-        data = memoryview(ids.tobytes())
-        return [whole[i] if i in whole else bytes(data[ends[i] : ends[i + 1]]) for i in range(len(texts))]
+    def __init__(self, path: str, pattern: str):
+        self.tok, self.special = load(path)
+        self._core = ranked(self.tok, pattern)
+        self._alike = SplitsAlike(self.tok, _joins_of_ranks(pattern)) if self._core else None
 
     def __call__(self, text: str | None) -> bytes:
-        return self.many([text])[0]
+        """Little-endian unsigned 32-bit ids of a text; none for null."""
+        if not text:
+            return b""
+        if self._core is None or any(s in text for s in self.special) or not self._alike(text):
+            return _bytes(self.tok.encode(text, add_special_tokens=False).ids)
+        return _bytes(self._core.encode_ordinary(text))
+
+
+def ranked(tok: Tokenizer, pattern: str) -> tiktoken.Encoding | None:
+    """The tokenizer as a table of ranks, or None where that isn't proved to be the same."""
+    model, vocab = json.loads(tok.to_str())["model"], tok.get_vocab(with_added_tokens=False)
+    if not is_plain(tok, model):
+        return None
+    made = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", ""), -1) for m in model["merges"]]
+    back = {c: b for b, c in byte_names(tok).items()}
+    if not (set(back) <= set(vocab) and len(vocab) == len(made) + 256 and all(x < y for x, y in pairwise([-1, *made]))):
+        return None
+    if any(c not in back for name in vocab for c in name) or any(len(tok.model.tokenize(name)) != 1 for name in vocab):
+        return None
+    core = _encoding(pattern, {bytes(map(back.__getitem__, name)): i for name, i in vocab.items()})
+    alike = all(core.encode_ordinary(x) == tok.encode(x, add_special_tokens=False).ids for x in SplitsAlike.texts())
+    return core if alike else None
 
 
-def splits_so(tok: Tokenizer, split, names: dict[int, str]) -> bool:
-    """Whether a tokenizer is a plain byte-level BPE that splits as `split` does, tried on every pair of kinds of Latin
-    characters: letters of both cases, digits, signs, kinds of white space, and contractions."""
-    if tok.normalizer is not None or type(tok.model).__name__ != "BPE" or tok.model.dropout or tok.pre_tokenizer is None:
-        return False
-    kinds = ["a", "Z", "é", "ª", "7", "²", "!", "_", "¿", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "'s", "'ll", "'D"]
-    probe = [a + b + c for a in kinds for b in kinds for c in ("", "b", " ", "\n")]
-    return all([p for p, _ in tok.pre_tokenizer.pre_tokenize_str(x)] == ["".join(names[b] for b in p.encode()) for p in split(x)] for x in probe)
+def _encoding(pattern: str, ranks: dict[bytes, int]) -> tiktoken.Encoding:
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _joins_of_ranks(pattern: str) -> Callable[[str, np.ndarray], np.ndarray]:
+    """What a table of ranks joins, seen through one whose only merges are of x, 1 and ! with the byte behind them."""
+    seen = [bytes([b]) for b in range(256)] + [a + bytes([b]) for a in (b"x", b"1", b"!") for b in range(256)]
+    toy = _encoding(pattern, {t: i for i, t in enumerate(seen)})
+
+    def joins(text: str, starts: np.ndarray) -> np.ndarray:
+        begins = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0 != 0x80)  # of characters
+        return _goes_on([len(seen[i]) for i in toy.encode_ordinary(text)], begins[starts])
+
+    return joins
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -182,17 +170,37 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+class _Known(dict):
+    """Piece to its result; computed when first asked for. Beyond `room` pieces the younger half is forgotten: what is
+    frequent comes early."""
+
+    def __init__(self, compute, room: int):
+        super().__init__()
+        self.compute, self.room = compute, room
+
+    def __missing__(self, piece: str):
+        if len(self) >= self.room:
+            for old in list(islice(self, self.room // 2, None)):
+                del self[old]
+        self[piece] = found = self.compute(piece)
+        return found
+
+
 class Counter:
-    """Numbers of tokens of whole texts, with merging only where a pre-token isn't a token by itself."""
+    """Numbers of tokens of whole texts, with merging only where a pre-token isn't a token by itself.
 
-    def __init__(self, path: str, pattern: str, room: int = 500_000):
-        import regex
+    As with Encoder, the library counts what isn't proved to be split as `pattern` does, or holds a special token's string.
+    """
 
-        self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.split = regex.compile(pattern).findall
+    def __init__(self, path: str, pattern: str, room: int = 500_000):
+        self.tok, self.special = load(path)
+        self.split = split = regex.compile(pattern).findall
         self.byte_names = byte_names(self.tok)
-        self.whole = whole_tokens(self.tok, self.split, self.byte_names)
+        self._alike = SplitsAlike(self.tok, lambda text, starts: _goes_on(list(map(len, split(text))), starts))
+        self.plain = is_plain(self.tok, json.loads(self.tok.to_str())["model"]) and all(
+            [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(x)] == ["".join(self.byte_names[b] for b in p.encode()) for p in split(x)] for x in SplitsAlike.texts()
+        )
+        self.whole = whole_tokens(self.tok, split, self.byte_names) if self.plain else frozenset()
         self._known = _Known(lambda piece: self._count(" " + piece), room)
 
     def _count(self, text: str) -> int:
@@ -208,22 +216,12 @@ class Counter:
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
-        if any(s in text for s in self.special):
+        if not self.plain or any(s in text for s in self.special) or not self._alike(text):
             return len(self.tok.encode(text, add_special_tokens=False).ids)
         first, *rest = pieces(text)
         return self._count(first) + sum(map(self._known.__getitem__, rest))
 
 
-def byte_names(tok: Tokenizer) -> dict[int, str]:
-    """The character that a byte-level vocabulary writes for each byte, asked of the tokenizer's own alphabet.
-
-    Printable Latin-1 characters stand for themselves; the other bytes, in order, take the characters from U+0100.
-    """
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
-
-
 def whole_tokens(tok: Tokenizer, split, names: dict[int, str]) -> frozenset[str]:
     """Strings of the vocabulary for which one token is proved: one pre-token, and its merges end in one token.
 

@@ -1,7 +1,6 @@
 """The ten operators on small tables with every odd case, against brute force."""
 
 import collections
-import hashlib
 import itertools
 import random
 import zlib
@@ -179,12 +178,25 @@ HARD = ["a  b", "a   b", " a", "a ", "a \n b", "\n\n a\n", "it's we'll I'M", "\x
 
 def test_encoder_and_counter_are_the_librarys():
     many = HARD + ["".join(draw.choice(" ab'sé1²\n\t! 日\x1c") for _ in range(draw.randrange(1, 40))) for _ in range(3000)]
-    encode, count = tokens.Encoder(BPE, PATTERN, room=50), tokens.Counter(BPE, PATTERN, room=50)
+    encode, count = tokens.Encoder(BPE, PATTERN), tokens.Counter(BPE, PATTERN, room=50)
     for text, ids in zip(many, library_ids(many), strict=True):
         assert np.frombuffer(encode(text), "<u4").tolist() == ids, repr(text)
         assert count(text) == len(ids), repr(text)
 
 
+def test_encoder_proves_what_it_merges_itself():
+    assert tokens.Encoder(BPE, PATTERN)._core is not None
+    other = tokens.Encoder(BPE, r"\s+|\S+")  # not how this tokenizer splits
+    assert other._core is None and not tokens.Counter(BPE, r"\s+|\S+").plain
+    words_ = public_tokenizers.path("word_bpe_49k.json")
+    assert tokens.Encoder(words_, PATTERN)._core is None
+    for text in HARD:
+        assert np.frombuffer(other(text), "<u4").tolist() == library_ids([text])[0] and tokens.Counter(BPE, r"\s+|\S+")(text) == len(library_ids([text])[0])
+        assert np.frombuffer(tokens.Encoder(words_, PATTERN)(text), "<u4").tolist() == Tokenizer.from_file(words_).encode(text, add_special_tokens=False).ids
+    alike = tokens.SplitsAlike(Tokenizer.from_file(BPE), lambda text, starts: np.array([c.isalpha() for c in text[1::3]]))  # wrong for 1 and !
+    assert not alike("a") and alike.others(0)
+
+
 def test_whole_tokens_are_proved():
     c = tokens.Counter(BPE, PATTERN)
     assert len(c.whole) > 40_000
@@ -202,12 +214,13 @@ def test_token_counts(spark, texts):
 def test_elias_fano():
     for values in ([], [0], [5], [0, 0, 0], [1, 1, 70, 70, 5000], sorted(draw.randrange(1 << 40) for _ in range(1000)), list(range(700))):
         v = np.array(values, dtype=np.int64)
-        width, low, high = tokens_sequence = token_files.EliasFano.encode(v)
-        ef = token_files.EliasFano(width, len(v), low, high)
-        assert ef.all().tolist() == values == [ef.select(i) for i in range(len(v))]
+        width, low, high, samples = token_files.EliasFano.encode(v)
+        ef = token_files.EliasFano(width, len(v), low, high, samples)
+        assert values == [ef.select(i) for i in range(len(v))]
+        for lo, hi in [(0, len(v)), (0, 0), *(sorted(draw.randrange(len(v) + 1) for _ in "ab") for _ in range(50))]:
+            assert ef.between(lo, hi).tolist() == values[lo:hi]
         if len(v) > 500:
-            assert len(low) + len(high) <= (2 + max(0, np.log2(v[-1] / len(v))) + 1) * len(v) / 8 + 16
-        assert tokens_sequence
+            assert len(low) + len(high) + len(samples) <= (2.5 + max(0, np.log2(v[-1] / len(v))) + 1) * len(v) / 8 + 16
     with pytest.raises(IndexError):
         ef.select(700)
 
@@ -227,6 +240,8 @@ def test_token_files_round_trip(spark, texts, tmp_path):
         own = np.array([*ids[i], 2], dtype="<u4").tobytes()
         assert (r["start"], r["n_tokens"], bytes(r["ids"])) == (at, len(own) // 4, own)
         at += len(own) // 4
+    some = token_files.find_documents(spark, path, [3, 9, 3, 10**9]).orderBy("start").collect()
+    assert some == [r for r in got if r["doc_id"] in (3, 9)] and token_files.find_documents(spark, path, []).count() == 0
     with pytest.raises(ValueError):
         token_files.Block(b"\0" * 64)
     empty = str(tmp_path / "none")
@@ -435,7 +450,3 @@ def test_nearest_ascends_past_the_cells(spark):
     assert sum(len(set(got[q]) & set(true[q])) for q in true) / (20 * len(true)) >= 0.85
     whole = nearest.nearest(df, asked, share=12, per_cell=16).orderBy("query_id", "rank").collect()  # up to the root: exact
     assert [(r["query_id"], r["vec_id"]) for r in whole] == [(q, i) for q in sorted(true) for i in true[q]]
-
-
-def test_digest_is_of_utf8():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
