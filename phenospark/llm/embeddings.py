@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,3 +28,11 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(flat)
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1 if n else 0)
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the lists of each length."""
+    lengths = column.value_lengths().to_numpy()
+    for d in np.unique(lengths):
+        own = np.flatnonzero(lengths == d)
+        yield own, matrix(column.take(pa.array(own)))

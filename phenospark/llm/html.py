@@ -1,19 +1,22 @@
 """Operator 7, HTML extraction: minimum-cut labelling.
 
-A page becomes a row of text blocks. What a block looks like and stands in gives it two costs, of calling it content and
-of calling it boilerplate: its capacities to the two terminals. Neighbouring blocks, and more so those of one parent
-element, are joined by edges whose capacities are the costs of labelling them differently. A maximum flow finds the
-labelling of least cost.
+A page becomes a row of text blocks. A logistic classifier, fitted on labelled pages, gives each block the chance to be
+content, from what it looks like and what it stands in; the costs of calling it boilerplate and of calling it content are
+its capacities to the two terminals. Blocks that follow each other are joined by edges whose capacities, larger the closer
+they stand in the document's tree, are the costs of labelling them differently. A maximum flow finds the labelling of least
+cost: a doubtful block goes with those around it.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,32 +24,64 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
+# A quote has its meaning only behind an equals sign; a stray one is part of an attribute's name.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.S)
+_WANTED = ("class", "id", "role", "hidden", "aria-hidden", "style", "itemprop")
 
 # Names of HTML elements.
 UNSEEN = frozenset("script style noscript template textarea title iframe object svg math select canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-OUTER = {"nav": 10.0, "footer": 8.0, "aside": 8.0, "form": 8.0, "dialog": 8.0, "menu": 8.0, "button": 8.0, "header": 5.0, "head": 10.0}
-INNER = {"article": 6.0, "main": 5.0}
+OUTER = frozenset("nav footer aside form dialog menu button head".split())
+INNER = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("p li ul ol dl dt dd pre blockquote figure figcaption caption table tbody thead tr td th".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in class, id and role that name boilerplate or content.
-BAD = re.compile(
-    r"(?:^|[\s_-])(ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed|s)?|promos?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|masthead|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|"
-    r"overlay|comments?|replies|disqus|respond|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widgets?|toolbar|pagination|pager|tags?|copyright|legal|disclaimer|skip|complementary|contentinfo)(?=$|[\s_-])",
-    re.I,
+#: Words of class, id and role: those that name boilerplate, content, and neither but the place of things.
+BAD = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense banner banners sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead cookie cookies "
+    "consent gdpr notice notices alert alerts popup popups modal overlay comment comments commentary reply replies disqus respond discussion reader readers share sharing social related recommended recommendations newsletter subscribe "
+    "subscription signup login search searchform widget widgets toolbar pagination pager tag tags copyright legal disclaimer skip complementary contentinfo teaser teasers".split()
 )
-GOOD = re.compile(r"(?:^|[\s_-])(article|articlebody|post|entry|content|main|story|body|text)(?=$|[\s_-])", re.I)
+GOOD = frozenset("article articlebody post entry content main story body text prose".split())
+PLACE = frozenset("list item items box area block section sections wrapper wrap container inner outer site page top bottom left right center global primary secondary links link bar panel row col column group header head form slot unit body the a js l c u".split())
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Phrases of notices, forms and page furniture.
+NOTICE = re.compile(r"cookies?\b|privacy|subscri|newsletter|sign (?:up|in)|log ?in\b|all rights reserved|terms of|advertis|sponsored|share (?:this|on)|follow us|read more|click here|copyright|©|related (?:posts|articles|stories)|leave a (?:comment|reply)|skip to", re.I)
+
+#: What the classifier looks at, with the weights that fit() finds for the labelled pages of the tests (tests/llm/pages.py).
+WEIGHTS = {
+    "always": 1.17, "boilerplate tag": -6.63, "page header": -5.38, "article": 0.90, "named": -8.15, "named in part": -0.04, "named content": 2.63,
+    "in links": -4.27, "length": 2.02, "under four words": -0.08, "ends a sentence": 1.29, "heading": 1.72, "notice": -4.32,
+}
+FEATURES = tuple(WEIGHTS)
 
 
 @dataclass
 class Element:
     tag: str
     parent: Element | None
-    bad: float  # evidence against content, of this element and those around it
-    good: float
-    hidden: bool
+    bad: float = 0.0  # the share of boilerplate words in its names
+    good: bool = False
+    hidden: bool = False
+    holds: bool = False  # an article, the main part or a first heading is inside: a frame around everything
+    _seen: tuple | None = None
+
+    def around(self) -> tuple[bool, bool, bool, bool, bool, bool]:
+        """Of this element and those around it: boilerplate tag, page header, article, named as boilerplate, named so in
+        part, named as content."""
+        path, e = [], self
+        while e is not None and e._seen is None:
+            path.append(e)
+            e = e.parent
+        up = e._seen if e is not None else (False,) * 6
+        for e in reversed(path):
+            own = not e.holds
+            header = e.tag == "header" and not up[2] and not e.good
+            up = (up[0] or (own and e.tag in OUTER), up[1] or (own and header), up[2] or e.tag in INNER, up[3] or (own and e.bad == 1), up[4] or (own and 0 < e.bad < 1), up[5] or e.good)
+            e._seen = up
+        return self._seen
 
 
 @dataclass
@@ -60,27 +95,47 @@ class TextBlock:
     def __post_init__(self):
         self.words = self.text.count(" ") + 1
 
+    def features(self) -> list[float]:
+        tag, header, article, named, partly, good = self.parent.around()
+        notices = len(NOTICE.findall(self.text[:2000]))
+        return [
+            1.0, tag, header, article, named, partly and not named, good, min(1.0, self.linked / max(1, len(self.text))), min(1.0, math.log2(1 + self.words) / 7), self.words < 4,
+            self.text[-1:] in ".!?:…。\"'”»", self.heading, min(notices, 2) / 2 if self.words < 60 else 0.0,
+        ]
+
+
+def named(names: str) -> tuple[float, bool]:
+    """(share of boilerplate words, whether there is a word for content) of class, id and role; places don't count. Of several
+    names the most telling counts, and none where one of them names content."""
+    worst, good = 0.0, False
+    for name in names.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        bad = sum(w in BAD for w in words)
+        other = sum(w not in BAD and w not in PLACE for w in words)
+        good |= any(w in GOOD for w in words) and not bad
+        worst = max(worst, bad / (bad + other) if bad else 0.0)
+    return worst, good
+
 
 def _element(tag: str, attributes: str, up: Element) -> Element:
-    bad, good, hidden = up.bad, up.good, up.hidden
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
-    names = " ".join(found.get(a, "") for a in ("class", "id", "role"))
-    if tag in OUTER and not (tag == "header" and up.good >= INNER["article"]):
-        bad += OUTER[tag]
-    if tag in INNER:
-        good += INNER[tag]
-    if names.strip() and tag not in ("html", "body"):
-        if BAD.search(names):
-            bad += 8.0
-        elif GOOD.search(names) or found.get("itemprop") == "articleBody":
-            good += 2.0
-    hidden = hidden or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        if (a := m[1].lower()) in _WANTED:
+            found.setdefault(a, m[2] or m[3] or m[4] or "")
+    names = " ".join([found[a] for a in ("class", "id", "role") if a in found])
+    bad, good = named(names) if names and tag not in ("html", "body") else (0.0, False)
+    good |= found.get("itemprop") == "articleBody"
+    hidden = up.hidden or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
+    if tag in INNER or tag == "h1":
+        e = up
+        while e is not None and not e.holds:
+            e.holds, e = tag != "h1" or e.tag not in ("header", "nav", "aside", "footer"), e.parent
     return Element(tag, up, bad, good, hidden)
 
 
 def blocks(page: str) -> list[TextBlock]:
     """The text blocks of a page in order: runs of text between block elements, white space runs as one blank."""
-    top = Element("", None, 0.0, 0.0, False)
+    top = Element("", None)
     here, out, parts, linked, link = top, [], [], 0, 0
     at, owner = 0, top
 
@@ -95,7 +150,7 @@ def blocks(page: str) -> list[TextBlock]:
                 linked += len(text.strip())
 
     def outer(e: Element) -> Element:
-        while e.tag in INLINE and e.parent is not None and e.bad == e.parent.bad:
+        while e.tag in INLINE and e.parent is not None and not e.bad:
             e = e.parent
         return e
 
@@ -104,7 +159,7 @@ def blocks(page: str) -> list[TextBlock]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(TextBlock(text, owner, min(linked, len(text)), owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                out.append(TextBlock(text, owner, min(linked, len(text)), owner.tag in HEADINGS))
             parts.clear()
         linked = 0
 
@@ -133,7 +188,7 @@ def blocks(page: str) -> list[TextBlock]:
                         link -= tag == "a" and link > 0
                 elif tag not in VOID:
                     inner = _element(tag, attributes, here)
-                    if inner.bad > here.bad:
+                    if inner.bad:
                         flush()
                     here = inner
                     link += tag == "a"
@@ -160,12 +215,58 @@ def blocks(page: str) -> list[TextBlock]:
     return out
 
 
-def costs(b: TextBlock) -> tuple[float, float]:
-    """Costs of calling the block boilerplate, and of calling it content."""
-    density = b.linked / max(1, len(b.text))
-    content = 0.6 + b.parent.good + min(2.5, b.words / 12) + (0.5 if b.text[-1:] in ".!?:…。\"'”" else 0.0) + (0.5 if b.heading else 0.0)
-    boiler = 0.5 + 1.7 * b.parent.bad + 4.0 * max(0.0, density - 0.3) + (1.0 if b.words < 4 else 0.0) + (3.0 if b.text[:1] in "©" else 0.0)
-    return content, boiler
+def chance(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The classifier's chance of content for rows of features."""
+    return 1.0 / (1.0 + np.exp(-np.clip(rows @ weights, -30, 30)))
+
+
+def fit(pages: list[tuple[str, list[str]]], penalty: float = 1.0, steps: int = 50) -> dict[str, float]:
+    """WEIGHTS from pages with the texts of their content blocks: logistic regression by Newton steps, on all blocks, those of a
+    page weighing 1 together."""
+    rows, labels, weight = [], [], []
+    for page, content in pages:
+        found, left = blocks(page), list(content)
+        for b in found:
+            rows.append(b.features())
+            labels.append(b.text in left)
+            weight.append(20.0 / len(found))
+            if labels[-1]:
+                left.remove(b.text)
+    x, y, m = np.array(rows, dtype=float), np.array(labels, dtype=float), np.array(weight)
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = chance(x, w)
+        w -= np.linalg.solve((x.T * (m * p * (1 - p))) @ x + penalty * np.eye(len(w)), x.T @ (m * (p - y)) + penalty * w)
+    return dict(zip(FEATURES, w.tolist(), strict=True))
+
+
+def costs(found: list[TextBlock], most: float = 6.0) -> list[tuple[float, float]]:
+    """Costs of calling each block boilerplate, and of calling it content: what the classifier's chances are against, in
+    natural logarithms, at most `most`."""
+    if not found:
+        return []
+    p = chance(np.array([b.features() for b in found], dtype=float), np.array([WEIGHTS[f] for f in FEATURES]))
+    return [(min(most, -math.log(max(1 - x, 1e-12))), min(most, -math.log(max(x, 1e-12)))) for x in p.tolist()]
+
+
+def edges(found: list[TextBlock], adjacency: float = 0.3, container: float = 1.2, near: float = 0.5) -> list[tuple[int, int, float]]:
+    """(block, block, cost of labelling them differently): neighbours cost `adjacency`; `container` more where the nearest
+    element around both that isn't a paragraph, list or table is one, or `near` where the next around these is. And blocks of one element are
+    joined over what stands between them."""
+    out, last = [], {}
+    for i, b in enumerate(found):
+        up = b.parent
+        while up.tag in LEAVES and up.parent is not None:
+            up = up.parent
+        over = up.parent or up
+        if i:
+            out.append((i - 1, i, adjacency))
+        if id(up) in last:
+            out.append((last[id(up)], i, container))
+        elif ("over", id(over)) in last:
+            out.append((last["over", id(over)], i, near))
+        last[id(up)] = last["over", id(over)] = i
+    return out
 
 
 def min_cut(content: list[float], boiler: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -234,20 +335,16 @@ def min_cut(content: list[float], boiler: list[float], edges: list[tuple[int, in
                 tried[u] += 1
 
 
-def main_text(page: str | None, adjacency: float = 0.4, siblings: float = 0.8) -> str:
+def labels(found: list[TextBlock]) -> list[bool]:
+    """Which blocks are content."""
+    both = costs(found)
+    return min_cut([c for c, _ in both], [x for _, x in both], edges(found))
+
+
+def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by line ends."""
     found = blocks(page or "")
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, adjacency))
-        parent = id(b.parent.parent)
-        if parent in last:
-            edges.append((last[parent], i, siblings))
-        last[parent] = i
-    both = [costs(b) for b in found]
-    content = min_cut([c for c, _ in both], [x for _, x in both], edges)
-    return "\n".join(b.text for b, c in zip(found, content, strict=True) if c)
+    return "\n".join(b.text for b, c in zip(found, labels(found), strict=True) if c)
 
 
 def extract_text(pages: DataFrame, html_column: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:

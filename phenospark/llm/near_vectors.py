@@ -7,6 +7,7 @@ cosines are computed in double precision.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_of_groups, cut, mix64, runs_of_groups, slices
-from .embeddings import hashed, matrix, takes_part
+from .embeddings import by_length, hashed, takes_part
 from .graph import components
 
 
@@ -31,7 +32,45 @@ def cells(unit: np.ndarray, tables: int, projections: int, width: float, seed: i
     return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, tables: int = 32, projections: int = 10, width: float = 2.0, block: int = 1024) -> DataFrame:
+def apart(keys: np.ndarray, least: int = 64) -> np.ndarray:
+    """The members of a block that needn't be together in one and the same earlier table; keys: their cells in these. The
+    others, the largest group that one earlier table has together, are compared there."""
+    n = len(keys)
+    best = np.arange(n)
+    for column in keys.T if n >= least else ():
+        cell, of, size = np.unique(column, return_inverse=True, return_counts=True)
+        if n - size.max() < len(best):
+            best = np.flatnonzero(of != size.argmax())
+            if not len(best):
+                break
+    return best
+
+
+def same_cell(distance: float, width: float) -> float:
+    """The chance that one quantised projection puts two points at this distance into one cell (Datar et al. 2004)."""
+    if distance == 0:
+        return 1.0
+    x = width / distance
+    return math.erf(x / math.sqrt(2)) - math.sqrt(2 / math.pi) / x * (1 - math.exp(-x * x / 2))
+
+
+def parameters(n: int, cosine: float, width: float, miss: float) -> tuple[int, int]:
+    """(tables, projections) for n different vectors: so many tables that a pair at the cosine itself shares a cell of none
+    with a chance of `miss` at most; and as many projections as make the work least.
+
+    The work for a vector in a table: one row dealt, about four times that and its keys' size for one that has company and so
+    moves as a whole, and a twentieth for each unrelated vector (at a right angle) in its cell.
+    """
+    near, far = (same_cell(math.sqrt(2 - 2 * c), width) for c in (cosine, 0.0))
+    best = (math.inf, 1, 1)
+    for k in range(1, 65):
+        others = n * far**k
+        tables = math.ceil(math.log(miss) / math.log1p(-(near**k))) if near < 1 else 1
+        best = min(best, (tables * (1 + (4 + tables / 40) * min(1.0, others) + others / 20), tables, k))
+    return best[1:]
+
+
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, miss: float = 0.001, width: float = 2.0, block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors`; other columns are left aside.
 
     n_links: other vectors with a cosine of at least `cosine` that were found; component_id: the smallest vec_id
@@ -39,23 +78,22 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     often as they come. Vectors of different lengths don't meet. Vectors that are null, zero or hold null or
     non-finite components, and rows without vec_id, have no links (component_id is their own vec_id, kept is true).
 
-    With these parameters a pair at a cosine of exactly 0.9 is in one cell of some table with a chance of 0.99, at 0.95
-    of 0.9999. More rows call for more projections, and these for more tables. A pair is counted in the first table
+    miss: the chance to lose a pair at the cosine itself; a closer one is lost more rarely (at 0.95 with 1e-6 or less). Tables
+    and projections follow from it and from the counted number of different vectors. A pair is counted in the first table
     that brings it together, so no list of pairs is made: each block of a cell gives one count and one link for each
-    member. Cells of any size are dealt into pairs of blocks of `block` members.
+    member. Cells of any size are dealt into pairs of blocks of `block` members; members of a block that an earlier table
+    has together too, as most of a group of near copies are, aren't compared again.
     """
     rows = cut(hashed(vectors, vec_id, embedding))
     classes = rows.groupBy("f1", "f2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
+    tables, projections = parameters(classes.count(), cosine, width, miss)
     reps = rows.join(classes, ["f1", "f2"]).where("vec_id = rep").dropDuplicates(["f1", "f2"])
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
             got = np.empty((b.num_rows, tables), dtype=np.int32)
-            lengths = np.array([len(x) for x in b.column(2)])
-            for d in np.unique(lengths):
-                own = np.flatnonzero(lengths == d)
-                v = matrix(b.column(2).take(pa.array(own)))
+            for own, v in by_length(b.column(2)):
                 v /= np.abs(v).max(axis=1, keepdims=True)  # keeps squares finite
                 got[own] = cells(v / np.linalg.norm(v, axis=1, keepdims=True), tables, projections, width)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, tables), pa.int32()), pa.array(got.reshape(-1)))
@@ -82,13 +120,19 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 v = flat[ends[i] - dim[i] : ends[j - 1]].reshape(j - i, -1)
                 v = v / np.abs(v).max(axis=1, keepdims=True)
                 v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                near = v @ v.T >= cosine
-                np.fill_diagonal(near, False)
+                ask = apart(keys[i:j, : t[i]])
+                near = v[ask] @ v.T >= cosine
+                near[np.arange(len(ask)), ask] = False
                 if lo[i] != hi[i]:
-                    near &= own[i:j, None] != own[None, i:j]
+                    near &= own[i + ask, None] != own[None, i:j]
                 x, y = np.nonzero(near)
                 if not len(x):
                     continue
+                x = ask[x]
+                once = np.ones(j - i, dtype=bool)
+                once[ask] = False
+                once = once[y]  # pairs seen from one side only
+                x, y = np.concatenate([x, y[once]]), np.concatenate([y, x[once]])
                 new = np.ones(len(x), dtype=bool)
                 for e in range(t[i]):
                     new &= keys[i + x, e] != keys[i + y, e]

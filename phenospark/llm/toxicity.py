@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,30 +61,36 @@ class Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> DataFrame:
-    """(text, label, n0, n1) of at most per_class[k] rows of each class k, those with the lowest hashes.
+    """(text, y, n0, n1) of at most per_class[k] rows of each class k, those with the lowest hashes of doc_id, then of text.
 
     labels: doc_id and `label` (0 or 1; others and nulls are left out; of several labels of one document the largest
-    holds). n0, n1: how many labelled documents there are of each class. The ids in the sample are bounded by
-    `per_class`, which is what allows the broadcast that keeps the texts in place.
+    holds). n0, n1: how many labelled documents there are of each class. Rows that agree in doc_id and text count once. As
+    the sample is bounded by `per_class`, however many rows share a doc_id, it may be broadcast, which keeps the texts in place.
     """
     one = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     one = cut(one.withColumn("h", F.xxhash64("doc_id", F.lit(11))))
     n = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = None
-    for k in (0, 1):
-        rows = one.where(F.col("y") == k)
-        if n.get(k, 0) > 2 * per_class[k]:  # leaves the sort few rows to look at
-            rows = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < int((1 << 30) * 2 * per_class[k] / n[k]))
-        rows = rows.orderBy("h", "doc_id").limit(per_class[k])
-        picked = rows if picked is None else picked.unionByName(rows)
-    ids = cut(picked.select("doc_id", "y"))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", F.lit(n.get(0, 0)).cast("long").alias("n0"), F.lit(n.get(1, 0)).cast("long").alias("n1"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (4000, 2000), features: Features = Features(), least_rows: int = 3, penalty: float = 0.1) -> Model:
+
+    def lowest(rows: DataFrame, *order: str) -> DataFrame:
+        picked = [rows.where(F.col("y") == k).orderBy(*order).limit(per_class[k]) for k in (0, 1)]
+        return cut(picked[0].unionByName(picked[1]))
+
+    def likely(k: int) -> Column:  # leaves the sort few rows to look at
+        return (F.col("y") != k) | (F.pmod(F.col("h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * per_class[k] / max(1, n.get(k, 0)))))
+
+    ids = lowest(one.where(likely(0) & likely(1)), "h", "doc_id")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    texts = own.select("doc_id", "t").join(F.broadcast(ids), "doc_id").distinct()
+    texts = lowest(texts, "h", "doc_id", "t").select("doc_id", "t", "y")
+    rows = own.join(F.broadcast(texts), ["doc_id", "t"]).groupBy("doc_id", "t", "y").agg(F.first("text").alias("text"))
+    return rows.select("text", "y", F.lit(n.get(0, 0)).cast("long").alias("n0"), F.lit(n.get(1, 0)).cast("long").alias("n1"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (4000, 2000), features: Features = Features(), least_rows: int = 3, penalty: float = 3.0) -> Model:
     """Fit on a sample of `labels`, at most per_class[0] rows of class 0 and per_class[1] of class 1 (a documented
-    bound; which rows depends on hashes of doc_id alone). Sampling one class more thinly than the other is made up
+    bound; which rows depends on hashes of doc_id and text alone). Sampling one class more thinly than the other is made up
     for in the intercept. Without labelled rows of both classes the model is constant: the share of class 1, or 0.
+    The fit runs in one task, on the distinct buckets of so many texts: 4 bytes for each, at most 2**bits for a text.
     """
     sample = training_sample(docs, labels, label, per_class)
 
@@ -109,10 +116,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tup
     return Model(features, np.frombuffer(model["w"], dtype="<f4"), model["bias"])
 
 
-def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int, penalty: float, least_ratio: float = 0.7) -> tuple[np.ndarray, float]:
-    """Weights on ratio-scaled presence, multiplied out, and intercept; by L-BFGS.
+def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int, penalty: float, at_once: int = 2_000_000) -> tuple[np.ndarray, float]:
+    """Weights on ratio-scaled presence, multiplied out, and intercept; by L-BFGS until it converges.
 
-    Buckets in fewer than least_rows rows, or with a log-count ratio below least_ratio either way, get no weight.
+    Buckets in fewer than least_rows rows get no weight; all others are scaled by their log-count ratio.
     """
     if len(y) == 0 or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
@@ -121,24 +128,26 @@ def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int,
     for own, label in zip(rows, y, strict=True):
         (ones if label == 1 else zeros)[own] += 1  # a row's buckets are distinct
     ratio = np.log((ones + 1.0) / (y.sum() + 2.0)) - np.log((zeros + 1.0) / (len(y) - y.sum() + 2.0))
-    ratio[((ones + zeros) < least_rows) | (np.abs(ratio) < least_ratio)] = 0.0
+    ratio[(ones + zeros) < least_rows] = 0.0
     used = np.flatnonzero(ratio)
-    number, r, n = np.cumsum(ratio != 0.0) - 1, ratio[used], len(y)
-    ids, lengths = [], []
-    for own in rows:
-        own = own[ratio[own] != 0.0]
-        ids.append(number[own])
-        lengths.append(len(own))
+    number, r = (np.cumsum(ratio != 0.0) - 1).astype(np.int32), ratio[used]
+    ids = [number[own[ratio[own] != 0.0]] for own in rows]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
     ids = np.concatenate(ids)
-    at = np.repeat(np.arange(n), lengths)
+    bounds = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + at_once, at_once)).clip(max=len(y)))  # rows, some buckets at once
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = v[:-1], v[-1]
-        z = np.bincount(at, weights=(w * r)[ids], minlength=n) + b
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
-        e = p - y
+        wr, z = w * r, np.empty(len(y))
+        for i, j in pairwise(bounds):
+            total = np.concatenate([[0.0], np.cumsum(wr[ids[ends[i] : ends[j]]])])
+            z[i:j] = b + np.diff(total[ends[i : j + 1] - ends[i]])
+        e = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))) - y
+        g = np.zeros(len(used))
+        for i, j in pairwise(bounds):
+            g += np.bincount(ids[ends[i] : ends[j]], weights=np.repeat(e[i:j], np.diff(ends[i : j + 1])), minlength=len(used))
         value = np.sum(np.logaddexp(0.0, z) - y * z) + 0.5 * penalty * w @ w
-        return value, np.append(r * np.bincount(ids, weights=e[at], minlength=len(used)) + penalty * w, e.sum())
+        return value, np.append(r * g + penalty * w, e.sum())
 
     v = lbfgs(loss, np.append(np.zeros(len(used)), np.log(y.mean() / (1 - y.mean()))))
     out = np.zeros(width)
@@ -146,7 +155,7 @@ def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int,
     return out, float(v[-1])
 
 
-def lbfgs(loss, x: np.ndarray, steps: int = 25, memory: int = 8) -> np.ndarray:
+def lbfgs(loss, x: np.ndarray, steps: int = 1000, memory: int = 8) -> np.ndarray:
     """Minimise a smooth function that returns its value and gradient."""
     f, g = loss(x)
     s, t = [], []
@@ -170,7 +179,7 @@ def lbfgs(loss, x: np.ndarray, steps: int = 25, memory: int = 8) -> np.ndarray:
             break
         if (g2 - g) @ (-size * d) > 1e-12:
             s, t = [*s, -size * d][-memory:], [*t, g2 - g][-memory:]
-        done = f - f2 <= 1e-6 * max(1.0, abs(f))
+        done = f - f2 <= 1e-8 * max(1.0, abs(f))
         x, f, g = x - size * d, f2, g2
         if done:
             break
