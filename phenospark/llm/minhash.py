@@ -126,7 +126,7 @@ def shingle_sets(docs: DataFrame, shingle: int, samples: int, sketch_bits: int)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, shingles array<long>, sketch array<long>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, samples: int = 512, sketch_bits: int = 2048, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, samples: int = 512, sketch_bits: int = 2048, block: int = 512, spokes: int = 2048) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
 
     Texts are lower-cased (A-Z) and cut into words at blanks, tabs, line ends, vertical tabs and form feeds. Linked are
@@ -145,14 +145,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     classes = cut(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     reps = some.join(classes, ["f1", "f2"]).where("doc_id = rep")
     banded = reps.select("rep", F.explode("keys").alias("key"))
-    hubs = cut(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub"))
+    hubs = cut(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("n")).where("hub < top").select("key", "hub", "n"))
     banded = cut(banded.join(hubs, "key").distinct())  # members of bands that have several
     sets = shingle_sets(docs.join(banded.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle, samples, sketch_bits)
     sets = cut(sets.dropDuplicates(["doc_id", "shingles"]))
 
-    stars = banded.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    for x in "ba":
-        stars = stars.join(sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"), F.col("sketch").alias(f"k{x}")), x)
+    stars = banded.where("rep != hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("n"))
+    # a hub of many is there once for each `spokes` of them, so that these are in several tasks
+    stars = stars.select("a", "b", F.pmod(F.xxhash64("b", F.lit(3)), F.ceil(F.col("n") / float(spokes))).cast("int").alias("salt"))
+    ends = {x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab"}
+    stars = stars.join(ends["b"], "b").join(stars.select("a", "salt").distinct().join(ends["a"], "a"), ["a", "salt"])
     odd = F.aggregate(F.zip_with("ka", "kb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = F.when(odd <= spread, 100 * shared >= percent * (F.size("sa") + F.size("sb") - shared))

@@ -9,6 +9,7 @@ their length. A sequence of the plan is thus packed from the whole corpus, not f
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,36 +52,54 @@ def pieces_of(docs: DataFrame, tokenizer: str, pattern: str, room: int = 1024, e
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def completions(rest: int, counts: np.ndarray, largest: int, widest: int, limit: int) -> list[tuple[int, ...]]:
-    """Fillings of `rest` by lengths that are left, least waste first, at most `limit`; dominated ones are left out.
+def lower_bound(counts: np.ndarray, room: int) -> int:
+    """Sequences that are needed at least (Martello and Toth 1990): for each k, lengths above room - k stand without any of k
+    or more, two above half the room never share one, and what of the lengths from k to half the room doesn't fit beside these
+    needs more. k = 0 is the waste bound, tokens over room."""
+    lengths = np.arange(room + 1)
+    n, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])  # of lengths below i
+    half = room // 2 + 1  # lengths from here on never share a sequence
+    k = np.arange(half)
+    high = np.maximum(room - k + 1, half)
+    alone, wide = n[-1] - n[high], n[high] - n[half]
+    free = wide * room - (total[high] - total[half])
+    return int((alone + wide + np.maximum(0, -(-(total[half] - total[k] - free) // room))).max())
+
+
+def completions(rest: int, counts: np.ndarray, largest: int, limit: int = 12, tries: int = 200) -> list[tuple[int, ...]]:
+    """Fillings of `rest` by lengths up to `largest` that are left, least waste first; dominated ones are left out.
 
     A filling to which another length could be added, or one of whose lengths could be replaced by a larger one that is
-    left, is dominated: the better filling leaves no less to the other sequences. widest: most lengths in a filling.
+    left, is dominated: the better filling leaves no less to the other sequences. The search stops at `limit` fillings or
+    after `tries` steps.
     """
-    have = [int(s) for s in np.flatnonzero(counts[: largest + 1])[::-1] if s <= rest]
+    have = [int(s) for s in np.flatnonzero(counts[: largest + 1])[::-1] if 0 < s <= rest]
+    rising = have[::-1]
     found: dict[tuple[int, ...], int] = {}
-    tries = 0
-
-    def grow(left: int, begin: int, chosen: tuple[int, ...]) -> None:
-        nonlocal tries
-        if len(found) >= limit or tries > 40 * limit:
-            return
-        tries += 1
-        fits = next((i for i in range(begin, len(have)) if have[i] <= left and chosen.count(have[i]) < counts[have[i]]), None)
-        if fits is None or len(chosen) == widest:
-            found[chosen] = left
-            return
-        if len(chosen) == widest - 1:
-            grow(left - have[fits], fits, (*chosen, have[fits]))
-            return
-        for i in range(fits, min(len(have), fits + limit)):
-            if have[i] <= left and chosen.count(have[i]) < counts[have[i]]:
-                grow(left - have[i], i, (*chosen, have[i]))
-                if found and min(found.values()) == 0 and len(found) >= 2:
+    spent = 0
+
+    def left_over(at: int, top: int, used: dict[int, int]) -> bool:
+        """Whether some length from rising[at] on, up to `top`, isn't used up."""
+        while at < len(rising) and rising[at] <= top:
+            if counts[rising[at]] > used.get(rising[at], 0):
+                return True
+            at += 1
+        return False
+
+    def grow(begin: int, room: int, used: dict[int, int]) -> None:
+        nonlocal spent
+        spent += 1
+        for i in range(max(begin, len(have) - bisect_right(rising, room)), len(have)):
+            s = have[i]
+            for m in range(min(room // s, int(counts[s])), 0, -1):
+                if len(found) >= limit or spent >= tries:
                     return
+                grow(i + 1, room - m * s, used | {s: m})
+        if not left_over(0, room, used) and not any(left_over(bisect_right(rising, x), x + room, used) for x in used):
+            found[tuple(s for s, m in used.items() for _ in range(m))] = room
 
-    grow(rest, 0, ())
-    return sorted(found, key=lambda c: (found[c], len(c), tuple(-x for x in c)))[:limit]
+    grow(0, rest, {})
+    return sorted(found, key=lambda c: (found[c], len(c), tuple(-x for x in c)))[:limit] or [()]
 
 
 def best_fit(counts: np.ndarray, room: int) -> list[Pattern]:
@@ -109,44 +128,42 @@ def best_fit(counts: np.ndarray, room: int) -> list[Pattern]:
     return [(tuple(a), b) for group in open_.values() for a, b in group]
 
 
-def plan(counts: np.ndarray, room: int, widest: int = 6, limit: int = 12, nodes: int = 400) -> list[Pattern]:
+def plan(counts: np.ndarray, room: int, limit: int = 12, tries: int = 200, nodes: int = 400) -> list[Pattern]:
     """Patterns that use up `counts` (counts[s]: pieces of length s) in as few sequences as were found.
 
     Branch and bound: a node is what is left; its branches are the undominated completions of the largest length left,
     each filled as often as the counts allow at once. Best-fit solutions of what is left are the incumbents; a branch
-    is cut when its sequences so far and ceil(tokens left / room), the waste bound, don't beat the best. The first
-    branch (least waste) is followed to its end, then others are tried, up to `nodes` nodes in all; it stops as soon as
-    the bound is met. The work depends on the number of lengths, not on the number of pieces.
+    is cut when its sequences so far and the lower bound of the rest don't beat the best. The first branch (least waste) is
+    followed to its end, then others are tried, those that leave it earliest last; it stops as soon as the best meets the
+    bound. limit, tries (see completions) and nodes bound the effort, never what is packed: all pieces are in every plan. The work
+    depends on the number of lengths, not on the number of pieces.
     """
     counts = np.asarray(counts, dtype=np.int64).copy()
-    lengths = np.arange(len(counts))
-    bound = -(-int(counts @ lengths) // room)
+    bound = lower_bound(counts, room)
     best = best_fit(counts, room)
     best_n = sum(k for _, k in best)
-    stack: list[tuple[np.ndarray, tuple[Pattern, ...], int, int]] = [(counts, (), 0, 0)]
+    stack: list[tuple[np.ndarray, tuple[Pattern, ...], int]] = [(counts, (), 0)]
     spent = 0
     while stack and best_n > bound and spent < nodes + 4 * room:
-        left, done, used, late = stack.pop()
+        left, done, used = stack.pop()
         here: list[Pattern] = list(done)
         while True:
             spent += 1
-            total = int(left @ lengths)
-            if used + -(-total // room) >= best_n:
+            if used + lower_bound(left, room) >= best_n:
                 break
-            if total == 0:
+            if not left.any():
                 best, best_n = here, used
                 break
             top = int(np.flatnonzero(left)[-1])
             without = left.copy()
             without[top] -= 1
-            options = completions(room - top, without, top, widest - 1, limit)
-            for other in options[1:3] if late < 3 and spent < nodes else ():
+            first, *others = completions(room - top, without, top, limit, tries)
+            for other in others if spent < nodes else ():
                 k = _times((top, *other), left)
-                stack.append((_less(left, (top, *other), k), (*here, ((top, *other), k)), used + k, late + 1))
-            lengths_here = (top, *options[0])
-            k = _times(lengths_here, left)
-            left, used = _less(left, lengths_here, k), used + k
-            here.append((lengths_here, k))
+                stack.append((_less(left, (top, *other), k), (*here, ((top, *other), k)), used + k))
+            k = _times((top, *first), left)
+            left, used = _less(left, (top, *first), k), used + k
+            here.append(((top, *first), k))
             if spent % 64 == 0:  # a best-fit end of this branch may already win
                 rest = best_fit(left, room)
                 if used + sum(n for _, n in rest) < best_n:
@@ -182,7 +199,7 @@ def places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "offset"), columns, strict=True))
 
 
-def pack(pieces: DataFrame, room: int = 1024, per_range: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, room: int = 1024, per_range: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` from 1 to `room`, and whatever other columns.
 
     Ranks within a length are distributed: a hash of the row gives it a range among those of its length (a length that a

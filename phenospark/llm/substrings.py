@@ -210,7 +210,7 @@ def repeated_windows(docs: DataFrame, length: int = 35, period: int = 21, batch_
             yield _record(list(_emit(keys, None, at, rids, starts, buckets)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in batches_of(batches, True, "__rid", "__text", "found"):
+        for held in batches_of(batches, True, "__rid", "__text", "__found"):
             rids, starts, inside, left = starts_of(held)
             possible = np.concatenate([marked(x[2], x[1].shape[-1], 0) for x in held])
             at = np.flatnonzero(possible & (left >= length))
@@ -220,7 +220,7 @@ def repeated_windows(docs: DataFrame, length: int = 35, period: int = 21, batch_
 
     candidates = cut(_recurring(docs.select("__rid", "__text").mapInArrow(anchors, _ROWS), length - anchor))
     # a merge join hands rows over sorted by rid: a task that runs again forms the same batches
-    rows = docs.join(candidates.withColumnRenamed("rid", "__rid").hint("merge"), "__rid").mapInArrow(windows, _ROWS)
+    rows = docs.join(candidates.select(F.col("rid").alias("__rid"), F.col("found").alias("__found")).hint("merge"), "__rid").mapInArrow(windows, _ROWS)
     return _recurring(rows, 0)
 
 
@@ -235,14 +235,14 @@ def dedup_substrings(docs: DataFrame, length: int = 35, period: int = 21, text:
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", kept)]
     rows = docs.select(*rest, F.coalesce(text, F.lit("")).cast("binary").alias("__text"), row_hash("doc_id", text).alias("__rid"))
     # both joins of the texts ask for the same columns dealt by the same key, so that the texts are shuffled once
-    found = repeated_windows(rows, length, period).withColumnRenamed("rid", "__rid")
-    rows = rows.join(found.hint("shuffle_hash"), "__rid", "left").select(*rest, "__text", "__rid", "found")
+    found = repeated_windows(rows, length, period).select(F.col("rid").alias("__rid"), F.col("found").alias("__found"))
+    rows = rows.join(found.hint("shuffle_hash"), "__rid", "left").select(*rest, "__text", "__rid", "__found")
     names = [*rest, "n_words", "n_removed", kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, removed, left = [], [], []
-            for x, found in zip(b.column("__text").to_pylist(), b.column("found").to_pylist(), strict=True):
+            for x, found in zip(b.column("__text").to_pylist(), b.column("__found").to_pylist(), strict=True):
                 words = x.split()
                 n.append(len(words))
                 if found:

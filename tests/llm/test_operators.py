@@ -358,6 +358,7 @@ def test_plan_is_optimal_on_small_cases_and_complete_on_large():
             assert sum(p) <= 20
             np.add.at(used, list(p), k)
         assert (used == counts).all() and sum(k for _, k in patterns) == fewest(lengths, 20)
+        assert packing.lower_bound(counts, 20) <= fewest(lengths, 20)
     counts = np.random.default_rng(1).integers(0, 10**6, 1025)
     counts[0] = 0
     patterns = packing.plan(counts, 1024)
@@ -365,11 +366,35 @@ def test_plan_is_optimal_on_small_cases_and_complete_on_large():
     assert total <= sum(k for _, k in patterns) <= total * 1.02 and len(patterns) < 20_000
 
 
+def test_completions_are_whole_and_undominated():
+    for _ in range(40):
+        counts = np.bincount([draw.randrange(1, 13) for _ in range(draw.randrange(1, 9))], minlength=21)
+        rest = draw.randrange(1, 20)
+        have = [s for s in range(1, rest + 1) for _ in range(counts[s])]
+        every = {tuple(sorted(c, reverse=True)) for n in range(len(have) + 1) for c in itertools.combinations(have, n) if sum(c) <= rest}
+
+        def better(c, rest=rest, counts=counts):
+            left = counts - np.bincount(c, minlength=21) if c else counts
+            waste = rest - sum(c)
+            return any(left[y] and y <= waste for y in range(1, 21)) or any(left[y] and x < y <= x + waste for x in c for y in range(x + 1, 21))
+
+        want = {c for c in every if not better(c)}
+        assert set(packing.completions(rest, counts, 20, limit=10**6, tries=10**6)) == (want or {()})
+
+
+def test_plans_meet_the_bound_where_large_pieces_decide():
+    rng = np.random.default_rng(2)
+    counts = np.bincount(np.clip(rng.lognormal(5.9, 0.8, 20_000), 1, 1024).astype(int), minlength=1025)
+    bound = packing.lower_bound(counts, 1024)
+    assert bound >= -(-int(counts @ np.arange(1025)) // 1024)
+    assert bound <= sum(k for _, k in packing.plan(counts, 1024)) <= bound * 1.001 + 1
+
+
 # 5
 
 @pytest.mark.parametrize(("length", "period"), [(35, 21), (13, 7), (13, 13)])
 def test_substrings(spark, texts, length, period):
-    docs = table(spark, texts).withColumn("n_words", F.lit("clash"))
+    docs = table(spark, texts).withColumn("n_words", F.lit("clash")).withColumn("found", F.lit("clash"))
     docs = docs.unionByName(docs.where("doc_id in (3, 12)"))
     every = [t for t in texts] + [texts[3], texts[12]]
     split = [(t or "").encode().split() for t in every]
@@ -492,7 +517,7 @@ def test_near_duplicates(spark, texts, shingle):
             many.append(" ".join(copy))
     docs = table(spark, many).withColumn("component_id", F.lit("clash"))
     docs = docs.unionByName(docs.where("doc_id = 2")).unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
-    got = [r for r in minhash.near_duplicates(docs, shingle, block=8).collect()]
+    got = [r for r in minhash.near_duplicates(docs, shingle, block=8, spokes=3).collect()]
     sets = [set_of(t, shingle) for t in many]
     edges = [(i, j) for i, j in itertools.combinations(range(len(many)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     component = smallest_reachable(len(many), edges)

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from phenospark.llm import mixing, queries
@@ -9,10 +10,13 @@ from phenospark.llm import mixing, queries
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def test_mix_against_sql(spark, sf):
-    documents = duckdb.sql(f"SELECT * FROM '{sf}/documents.parquet'")  # noqa: F841
-    want = duckdb.sql(queries.OP1_SQL)
-    got = entry.queries()["op1_mix_sources"](spark, sf).select(*want.columns).collect()
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_against_sql(spark, sf, name):
+    tables = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        tables.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = tables.sql(queries.oracle_sql()[name])
+    got = entry.queries()[name](spark, sf).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
@@ -42,6 +46,29 @@ def test_stages_on_small_tables(spark, sf, tmp_path):
     assert words == before.where("text is not null").count()
 
 
+def test_odd_rows_pass_all_stages(spark, sf, tmp_path):
+    """Repeated rows, a null doc_id, null, empty and long texts, and extra columns whose names the stages use themselves."""
+    plain = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    schema = plain.schema
+    odd = [(None, "a text without an id " * 9, None, None, 1), (900, None, "en", None, 0), (901, "", "en", "web", 0), (902, "long words " * 30_000, "en", "web", 330_000)]
+    docs = plain.unionByName(plain.where("doc_id < 10")).unionByName(spark.createDataFrame(odd, schema))
+    for c in ("n_words", "n_removed", "found", "kept", "size", "taken", "key", "score", "component_id", "row"):
+        docs = docs.withColumn(c, F.lit(c))
+    columns, known = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        assert {r[0] for r in docs.select("doc_id").collect()} <= known
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns and docs.select("found", "n_words").distinct().collect() == [("found", "n_words")]
+    assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
+
+
+def test_the_whole_run_leaves_one_folder_and_repeats(spark, sf):
+    one, two = (sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect())) for _ in range(2))
+    assert one == two and len(one) > 0
+
+
 def test_empty_documents_pass_all_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
