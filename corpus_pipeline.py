@@ -30,10 +30,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows of 35 that occur again; other texts stay as they are, and n_chars follows."""
-    out = substrings.dedup_substrings(docs, kept="__kept")
-    text = F.when(F.col("n_removed") > 0, F.col("__kept")).otherwise(F.col("text"))
-    n = F.when(F.col("n_removed") > 0, F.length("__kept")).otherwise(F.col("n_chars"))
-    return out.select(*[text.alias(c) if c == "text" else n.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # under a name of its own, so that none clashes
+    out = substrings.dedup_substrings(docs.select("doc_id", "text", F.struct(*rest).alias("__rest")), kept="__kept")
+    shorter = F.col("n_removed") > 0
+    own = {"doc_id": F.col("doc_id"), "text": F.when(shorter, F.col("__kept")).otherwise(F.col("text"))}
+    own |= {c: F.col(f"__rest.`{c}`") for c in rest}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(shorter, F.length("__kept")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = common.scratch(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
