@@ -88,9 +88,10 @@ def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.frame_cells(data.event_tracks(spark, sf_dir)).groupBy("FrameID").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-@query(f"WITH {data.EVENT_TRACKS} SELECT CellID, FrameID, count(DISTINCT FrameID || '-' || CellID) AS n_outlines FROM tracks GROUP BY CellID, FrameID HAVING count(DISTINCT FrameID || '-' || CellID) > 1")
+@query(f"{data.EVENT_NAMES} SELECT CellID, FrameID, count(DISTINCT ROI_filename) AS n_outlines FROM named GROUP BY CellID, FrameID HAVING count(DISTINCT ROI_filename) > 1")
 def outline_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.several_outlines(data.event_tracks(spark, sf_dir))
+    """Users who did several kinds of things in half a day, with an outline named after each."""
+    return tracks.several_outlines(data.event_names(spark, sf_dir))
 
 
 # --- time series
@@ -333,6 +334,36 @@ def crop_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, *_doubles(out))
 
 
+CROPS = """WITH RECURSIVE points AS (
+  SELECT vec_id, i, greatest(round(40 + (20 + 10 * e[i + 1]) * cos(2 * pi() * i / 64))::INT, 0) AS x, greatest(round(40 + (20 + 10 * e[i + 1]) * sin(2 * pi() * i / 64))::INT, 0) AS y
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(64)) AS i FROM embeddings)),
+box AS (SELECT vec_id, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM points GROUP BY vec_id HAVING max(x) - min(x) + 1 >= 8 AND max(y) - min(y) + 1 >= 8),
+edge AS (SELECT DISTINCT vec_id, x, y FROM points),
+down AS (SELECT vec_id, x, min(y) AS lo, max(y) AS hi FROM edge GROUP BY ALL),
+across AS (SELECT vec_id, y, min(x) AS lo, max(x) AS hi FROM edge GROUP BY ALL),
+grid AS (SELECT vec_id, x, unnest(range(t, b + 1))::INT AS y FROM (SELECT vec_id, t, b, unnest(range(l, r + 1))::INT AS x FROM box)),
+one AS (SELECT g.vec_id, g.x, g.y, CASE WHEN e.x IS NOT NULL THEN 0 WHEN d.lo IS NULL OR g.y < d.lo OR g.y > d.hi THEN -1 ELSE 1 END AS m
+  FROM grid g LEFT JOIN edge e ON g.vec_id = e.vec_id AND g.x = e.x AND g.y = e.y LEFT JOIN down d ON g.vec_id = d.vec_id AND g.x = d.x),
+two AS (SELECT o.vec_id, o.x, o.y, CASE WHEN o.m = 0 THEN 0 WHEN a.lo IS NULL THEN -o.m WHEN o.x < a.lo OR o.x > a.hi THEN -1 ELSE o.m END AS m
+  FROM one o LEFT JOIN across a ON o.vec_id = a.vec_id AND o.y = a.y),
+outside AS (SELECT vec_id, x, y FROM two WHERE m = -1
+  UNION SELECT n.vec_id, n.x, n.y FROM outside f, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dx, dy), two n WHERE n.vec_id = f.vec_id AND n.x = f.x + s.dx AND n.y = f.y + s.dy AND n.m = 1),
+inside AS (SELECT vec_id, x, y FROM two ANTI JOIN outside USING (vec_id, x, y)),
+painted AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings),
+pixels AS (SELECT vec_id, CASE WHEN hi > lo AND r < 96 AND b < 96 THEN (e[((y * 96 + x) * 7 + y) % 64 + 1] - lo) * 255.0::DOUBLE / (hi - lo) END AS v FROM inside JOIN painted USING (vec_id) JOIN box USING (vec_id)),
+filled AS (SELECT vec_id, count(*)::DOUBLE AS area, avg(v) AS mean, stddev_samp(v) AS sd, skewness(v) AS skew FROM pixels GROUP BY vec_id),
+away AS (SELECT vec_id, cx, cy, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS d FROM (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy FROM points WINDOW w AS (PARTITION BY vec_id))),
+round_ AS (SELECT vec_id, first(cx) AS cx, first(cy) AS cy, avg(d) AS rad, var_samp(d) AS vfc FROM away GROUP BY vec_id)"""
+
+
+@query(f"{CROPS} SELECT vec_id::INT AS FrameID, label AS CellID, {R('area', 'Area')}, {R('area / (64 * 64)', 'A2B')}, {R('rad', 'Rad')}, {R('vfc', 'VfC')}, {R('mean', 'FOmean')}, {R('sd', 'FOsd')}, {R('skew', 'FOskew', 4)}, {R('cx', 'xpos')}, {R('cy', 'ypos')} FROM filled JOIN round_ USING (vec_id) JOIN embeddings USING (vec_id)")
+def crop_mask_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same objects what SQL can follow: the mask filled from the outline, its area, and the pixels it holds."""
+    detections, outlines, frames = data.painted_frames(spark, sf_dir)
+    out = features.frame_crops(frames, detections, outlines).select("FrameID", "CellID", "Area", "A2B", "Rad", "VfC", "FOmean", "FOsd", "FOskew", "xpos", "ypos")
+    return rounded(rounded(out, "Area", "A2B", "Rad", "VfC", "FOmean", "FOsd", "xpos", "ypos"), "FOskew", to=4)
+
+
 IQ = """thresholds AS (SELECT vec_id, unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS t, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9], 1)::INT AS k FROM pixels GROUP BY vec_id),
 above AS (SELECT p.vec_id, k, x, y FROM pixels p JOIN thresholds USING (vec_id) WHERE v >= t),
 d AS (SELECT a.vec_id, a.k, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM above a JOIN above b ON a.vec_id = b.vec_id AND a.k = b.k AND (a.y, a.x) < (b.y, b.x))"""
@@ -341,21 +372,7 @@ d AS (SELECT a.vec_id, a.k, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM
 @query(f"WITH {data.PIXELS}, {IQ} SELECT vec_id, k, {R('var_samp(d) / avg(d)', 'IQ')} FROM d GROUP BY ALL")
 def intensity_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IQ1..IQ9 of the embeddings as images, all pixels interior."""
-    import numpy as np
-    import pandas as pd
-
-    from ..functions import crops
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for vec_id, v in zip(pdf["vec_id"], pdf["pixels"], strict=True):
-                image = np.asarray(v, dtype=float).reshape(-1, 8)
-                rows += [(vec_id, k + 1, q) for k, q in enumerate(crops.intensity_quantiles(image, np.ones(image.shape, bool)))]
-            yield pd.DataFrame(rows, columns=["vec_id", "k", "IQ"])
-
-    out = data.images(spark, sf_dir).select("vec_id", "pixels").mapInPandas(run, "vec_id long, k int, IQ double")
-    return rounded(out, "IQ")
+    return rounded(texture.intensity_dispersion(data.images(spark, sf_dir), ["vec_id"]), "IQ")
 
 
 @query(f"WITH {data.OUTLINES}, c AS (SELECT *, avg(x) OVER (PARTITION BY vec_id) AS cx, avg(y) OVER (PARTITION BY vec_id) AS cy FROM points), d AS (SELECT vec_id, cx, cy, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS d FROM c) SELECT vec_id, {R('avg(d)', 'Rad')}, {R('var_samp(d)', 'VfC')}, {R('first(cx)', 'xpos')}, {R('first(cy)', 'ypos')} FROM d GROUP BY vec_id")
@@ -412,7 +429,7 @@ def seg_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seg_errors_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.segmentation_errors_ensemble(*data.judged_documents(spark, sf_dir), "doc_id", trees=4, repeats=2)
+    return segmentation.segmentation_errors_ensemble(*data.judged_documents(spark, sf_dir), "doc_id", trees=4, repeats=3)
 
 
 @query()

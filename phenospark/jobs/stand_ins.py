@@ -28,6 +28,17 @@ EVENT_TRACKS = rf"""tracks AS (
   FROM events GROUP BY 1, 2)"""
 
 
+def event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FrameID, CellID, ROI_filename: the same objects, with an outline name for each kind of event in a frame."""
+    e = table(spark, sf_dir, "events")
+    frame = F.floor(F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)") / HOURS).cast("int") + 1
+    return e.select(frame.alias("FrameID"), F.col("user_id").alias("CellID"), F.concat_ws("-", frame, "user_id", "event_type").alias("ROI_filename"))
+
+
+EVENT_NAMES = f"""WITH named AS (
+  SELECT (date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) // {HOURS} + 1)::INT AS FrameID, user_id AS CellID, concat_ws('-', FrameID, user_id, event_type) AS ROI_filename FROM events)"""
+
+
 def shipping_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as objects, days as frames: FrameID, CellID, xpos (mean quantity), ypos (mean price in thousands)."""
     rows = table(spark, sf_dir, "lineitem").select(F.datediff("l_shipdate", F.lit("1992-01-01")).alias("FrameID"), F.col("l_suppkey").alias("CellID"), "l_quantity", "l_extendedprice")

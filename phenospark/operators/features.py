@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crops, outlines
+from ..functions.runs import bounds, runs_of_groups
 from .density import attach, local_density
+from .lineage import cut
 from .motion import movement
 from .timeseries import TAP
-from .tracks import clamp, large_enough
+from .tracks import LEAST, clamp
 
 SHAPE = ["Rad", "VfC", "Curv", "Len", "Wid", "Area", "A2B", "Box", "Rect", "poly1", "poly2", "poly3", "poly4"]
 TEXTURE = ["FOmean", "FOsd", "FOskew", *[f"Cooc{m}{h}" for m in ("01", "12", "02") for h in crops.HARALICK], *[f"IQ{i}" for i in range(1, 10)]]
@@ -49,46 +51,79 @@ def crop_features(image: np.ndarray | None, x: np.ndarray, y: np.ndarray, gap: i
     return [*shape, *texture, cx, cy]
 
 
-def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame, keys: list[str] | None = None, per_group: int = 256) -> DataFrame:
+def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame, keys: list[str] | None = None, missing: str = "error", per_group: int = 256) -> DataFrame:
     """keys, FrameID, SHAPE, TEXTURE, xpos, ypos for each detection with an outline of at least 8 x 8 pixels.
 
     A frame's image goes once to its objects, not to each of them: images and outlines are dealt by frame and group of about
     `per_group` outlines and meet there. So a crowded frame is shared by several tasks, and its image moved as often.
-    An outline that reaches over the image's edge, and a constant or missing image, give nulls in place of textures.
+    Each frame needs exactly one image, and each object in a frame exactly one outline name, or a ValueError fails the job;
+    with missing="null" a frame may lack its image. An outline that reaches over the image's edge, and a constant
+    or missing image, give nulls in place of textures.
     """
     keys = keys or ["CellID"]
-    shapes = large_enough(clamp(outlines_.join(detections.select(*keys, "FrameID", "ROI_filename").distinct(), "ROI_filename")))
-    shapes = shapes.select(*keys, "FrameID", "coords")
+    named = detections.select(*keys, "FrameID", "ROI_filename").distinct()
+    shapes = clamp(named.join(outlines_.select("ROI_filename", "coords"), "ROI_filename", "left")).select(*keys, "FrameID", "ROI_filename", "coords")
     groups = shapes.groupBy("FrameID").agg(F.ceil(F.count(F.lit(1)) / float(per_group)).cast("int").alias("__n"))
     shapes = shapes.join(groups, "FrameID").withColumn("__g", F.pmod(F.xxhash64(*keys), F.col("__n")).cast("int")).drop("__n")
-    images = frames.withColumnRenamed("frame_id", "FrameID").join(groups, "FrameID").withColumn("__g", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    images = frames.select(F.col("frame_id").alias("FrameID"), "height", "width", "pixels").join(groups, "FrameID")
+    images = images.withColumn("__g", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    both = images.withColumn("__kind", F.lit(0)).unionByName(shapes.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    # the number is given so that few bytes aren't put into few tasks: the work is in the arithmetic
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(parts, "FrameID", "__g").sortWithinPartitions("FrameID", "__g", "__kind", *keys, "ROI_filename")
     names = [*SHAPE, *TEXTURE, "xpos", "ypos"]
 
-    def crop(image: pd.DataFrame, objects: pd.DataFrame) -> pd.DataFrame:
-        rows, grid = [], None
-        if len(image):
-            first = image.iloc[0]
-            grid = np.asarray(first["pixels"], dtype=float).reshape(first["height"], first["width"])
-            lo, hi = grid.min(), grid.max()
-            grid = (grid - lo) * 255.0 / (hi - lo) if hi > lo else None
-        for o in objects.itertuples(index=False):
-            x, y = outlines.points(list(o.coords))
-            rows.append([*[getattr(o, k) for k in keys], o.FrameID, *crop_features(grid, x, y)])
-        return pd.DataFrame(rows, columns=[*keys, "FrameID", *names])
+    def crop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in runs_of_groups(batches, ["FrameID", "__g"]):
+            kind, frame = (table.column(c).to_numpy() for c in ("__kind", "FrameID"))
+            same = np.zeros(table.num_rows, dtype=bool)
+            same[bounds(table, ["FrameID", "__kind", *keys])[:-1]] = True  # the first row of each object
+            (px, py), ends = _points(table.column("coords").combine_chunks())
+            pixels = table.column("pixels").combine_chunks()
+            own, rows = [], []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                m = i + int(np.searchsorted(kind[i:j], 1))
+                if m == j:
+                    continue
+                if m - i > 1 or (m == i and missing != "null"):
+                    raise ValueError(f"frame {frame[i]} has {m - i} images, not one")
+                if not same[m:j].all():
+                    raise ValueError(f"an object in frame {frame[i]} has several outline names")
+                grid = None
+                if m > i:
+                    grid = pixels[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(table.column("height")[i].as_py(), -1)
+                    lo, hi = grid.min(), grid.max()
+                    grid = (grid - lo) * 255.0 / (hi - lo) if hi > lo else None
+                for k in range(m, j):
+                    x, y = px[ends[k] : ends[k + 1]], py[ends[k] : ends[k + 1]]
+                    if len(x) and min(np.ptp(x), np.ptp(y)) + 1 >= LEAST:
+                        own.append(k)
+                        rows.append(crop_features(grid, x, y))
+            if rows:
+                values = np.array(rows, dtype=float)  # None becomes NaN, and that a null
+                first = [table.column(c).combine_chunks().take(pa.array(own)) for c in (*keys, "FrameID")]
+                yield pa.RecordBatch.from_arrays([*first, *[pa.array(v, pa.float64(), from_pandas=True) for v in values.T]], [*keys, "FrameID", *names])
 
     types = dict(shapes.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"FrameID {types['FrameID']}", *[f"{n} double" for n in names]])
-    return images.groupBy("FrameID", "__g").cogroup(shapes.groupBy("FrameID", "__g")).applyInPandas(crop, schema)
+    return both.mapInArrow(crop, schema)
 
 
-def extract_features(detections: DataFrame, outlines_: DataFrame, frames: DataFrame, framerate: float = 1.0, keys: list[str] | None = None) -> DataFrame:
+def _points(coords: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
+    """x and y of all points of a column of outlines, and where each outline ends among them; null ones are empty."""
+    ends = np.concatenate([[0], np.cumsum(coords.value_lengths().fill_null(0).to_numpy())])
+    return [c.to_numpy(zero_copy_only=False).astype(float) for c in coords.flatten().flatten()], ends
+
+
+def extract_features(detections: DataFrame, outlines_: DataFrame, frames: DataFrame, framerate: float = 1.0, keys: list[str] | None = None, missing: str = "error") -> DataFrame:
     """The detections' columns, then Dis, Trac, D2T, Vel, SHAPE, TEXTURE, xpos, ypos, dens.
 
     detections: keys, FrameID, ROI_filename and other columns; outlines_: ROI_filename, coords; frames: frame_id, height, width,
-    pixels (row by row). Detections whose outline is missing or under 8 pixels are left out.
+    pixels (row by row). Detections whose outline is missing or under 8 pixels are left out. missing: see frame_crops. The crops are
+    computed once (see lineage.cut), as movement and density read them several times.
     """
     keys = keys or ["CellID"]
-    derived = frame_crops(frames, detections, outlines_, keys)
+    derived = cut(frame_crops(frames, detections, outlines_, keys, missing))
     moved = local_density(movement(derived, framerate, keys), keys)
     out = attach(detections, moved, keys)
     return out.select(*detections.columns, *MOVEMENT, *SHAPE, *TEXTURE, "xpos", "ypos", "dens")

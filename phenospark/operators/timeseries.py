@@ -6,14 +6,17 @@ same three of Haar detail coefficients at three levels, _l1_asc to _l3_max. And
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import series
+from ..functions.runs import runs_of_groups
 from ..functions.stats import skewness
 from .tracks import complete_rows
 
@@ -148,14 +151,20 @@ def track_variables(df: DataFrame, features: list[str] | None = None, keys: list
 
 
 def _by_helper(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """The same by NumPy on whole tracks, many of which reach it in one batch."""
     names = [f"{f}_{s}" for f in features for s in STATS]
 
-    def track(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("FrameID", kind="stable")
-        values = series.variables(pdf["FrameID"].to_numpy(), pdf[features].to_numpy(dtype=float), LEVELS, TAP)
-        area = series.box_area(pdf["FrameID"].to_numpy(), pdf["xpos"].to_numpy(float), pdf["ypos"].to_numpy(float))
-        return pd.DataFrame([[*pdf[keys].iloc[0], *values.T.reshape(-1), area]], columns=[*keys, *names, "trajArea"])
+    def tracks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in runs_of_groups(batches, keys):
+            frame, x, y = (table.column(c).to_numpy().astype(t) for c, t in (("FrameID", np.int64), ("xpos", float), ("ypos", float)))
+            values = np.column_stack([table.column(f).to_numpy().astype(float) for f in features])
+            out = np.empty((len(at) - 1, len(names) + 1))
+            for n, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                out[n, :-1] = series.variables(frame[i:j], values[i:j], LEVELS, TAP).T.reshape(-1)
+                out[n, -1] = series.box_area(frame[i:j], x[i:j], y[i:j])
+            own = [table.column(k).combine_chunks().take(pa.array(at[:-1])) for k in keys]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(v, pa.float64(), from_pandas=True) for v in out.T]], [*keys, *names, "trajArea"])
 
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], *[f"`{n}` double" for n in names], "trajArea double"])
-    return rows.groupBy(*keys).applyInPandas(track, schema)
+    return rows.sortWithinPartitions(*keys, "FrameID").mapInArrow(tracks, schema)

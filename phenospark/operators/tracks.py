@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 REQUIRED = ("FrameID", "CellID", "ROI_filename")
 
+#: Fixed value: objects narrower or lower than so many pixels are no objects.
+LEAST = 8
+
 
 def require_columns(df: DataFrame, names: tuple[str, ...] = REQUIRED) -> DataFrame:
     """The table itself; an error names the columns that it lacks."""
@@ -64,7 +67,7 @@ def clamp(outlines: DataFrame, coords: str = "coords") -> DataFrame:
     return outlines.withColumn(coords, at)
 
 
-def large_enough(outlines: DataFrame, least: int = 8, coords: str = "coords") -> DataFrame:
+def large_enough(outlines: DataFrame, least: int = LEAST, coords: str = "coords") -> DataFrame:
     """Outlines whose bounding box is at least `least` pixels wide and high."""
     extent = [F.array_max(F.col(coords)[a]) - F.array_min(F.col(coords)[a]) + 1 for a in "xy"]
     return outlines.where((extent[0] >= least) & (extent[1] >= least))

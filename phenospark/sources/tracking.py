@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,11 @@ def _read(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
 
 
 def _header(spark: SparkSession, path: str, line: int) -> list[str]:
-    """The column names of the first file: its line of that number, from 0."""
-    lines = spark.read.option("wholetext", "false").text(path).limit(line + 1).collect()
-    return [c.strip().strip('"') or f"_{i}" for i, c in enumerate(lines[line][0].lstrip("﻿").split(","))]
+    """The column names of the first file by name: its line of that number, from 0, read as CSV."""
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+    lines = spark.read.text(first).limit(line + 1).collect()  # of one file, in order
+    names = next(csv.reader([lines[line][0].lstrip("\ufeff")]))
+    return [c.strip() or f"_{i}" for i, c in enumerate(names)]
 
 
 def _number(c: str):
