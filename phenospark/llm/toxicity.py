@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +60,10 @@ class Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> DataFrame:
-    """(text, y, n0, n1) of at most per_class[k] rows of each class k, those with the lowest hashes of doc_id, then of text.
+    """(text, y, n0, n1, place) of at most per_class[k] rows of each class k, those with the lowest hashes of doc_id, then of text.
 
     labels: doc_id and `label` (0 or 1; others and nulls are left out; of several labels of one document the largest
-    holds). n0, n1: how many labelled documents there are of each class. Rows that agree in doc_id and text count once. As
+    holds). n0, n1: how many labelled documents there are of each class; place: a hash to order by. Rows that agree in doc_id and text count once. As
     the sample is bounded by `per_class`, however many rows share a doc_id, it may be broadcast, which keeps the texts in place.
     """
     one = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -83,7 +82,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: t
     texts = own.select("doc_id", "t").join(F.broadcast(ids), "doc_id").distinct()
     texts = lowest(texts, "h", "doc_id", "t").select("doc_id", "t", "y")
     rows = own.join(F.broadcast(texts), ["doc_id", "t"]).groupBy("doc_id", "t", "y").agg(F.first("text").alias("text"))
-    return rows.select("text", "y", F.lit(n.get(0, 0)).cast("long").alias("n0"), F.lit(n.get(1, 0)).cast("long").alias("n1"))
+    return rows.select("text", "y", F.lit(n.get(0, 0)).cast("long").alias("n0"), F.lit(n.get(1, 0)).cast("long").alias("n1"), F.xxhash64("doc_id", "t").alias("place"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (4000, 2000), features: Features = Features(), least_rows: int = 3, penalty: float = 3.0) -> Model:
@@ -98,56 +97,67 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tup
         seen = np.zeros(1 << features.bits, dtype=np.int32)
         for b in slices(batches):
             ids = [features.of(x, seen).astype("<u4").tobytes() for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *b.columns[1:]], ["ids", "y", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *b.columns[1:]], ["ids", "y", "n0", "n1", "place"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.frombuffer(i, "<u4"), y, n0, n1) for b in batches for i, y, n0, n1 in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        got.sort(key=lambda r: (r[1], len(r[0]), r[0].tobytes()))  # the same fit in whatever order rows arrive
-        w, bias = regress([r[0] for r in got], np.array([r[1] for r in got], dtype=np.float64), 1 << features.bits, least_rows, penalty)
-        if got:
-            (n0, n1), m1 = got[0][2:], sum(r[1] for r in got)
-            m0 = len(got) - m1
-            bias += np.log(n1 * max(m0, 1) / (max(n0, 1) * max(m1, 1))) if n0 and n1 and m0 and m1 else 0.0
+        chunks, y, known = [], [], (0, 0)
+        for b in slices(batches):  # small ones, and no Python object for a row
+            ends = np.frombuffer(b.column(0).buffers()[1], np.int32)[b.column(0).offset :][: b.num_rows + 1] // 4
+            chunks.append((np.frombuffer(b.column(0).buffers()[2], "<u4")[ends[0] : ends[-1]].astype(np.int32), np.diff(ends)))
+            y.append(b.column(1).to_numpy().astype(np.float64))
+            known = (b.column(2)[0].as_py(), b.column(3)[0].as_py())
+        y = np.concatenate([np.empty(0), *y])
+        w, bias = regress(chunks, y, 1 << features.bits, least_rows, penalty)
+        (n0, n1), m1 = known, int(y.sum())
+        m0 = len(y) - m1
+        bias += np.log(n1 * max(m0, 1) / (max(n0, 1) * max(m1, 1))) if n0 and n1 and m0 and m1 else 0.0
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()]), pa.array([float(bias)])], ["w", "bias"])
 
-    model = sample.mapInArrow(extract, "ids binary, y int, n0 long, n1 long").repartition(1).mapInArrow(solve, "w binary, bias double").first()
+    rows = sample.mapInArrow(extract, "ids binary, y int, n0 long, n1 long, place long")
+    # the same fit in whatever order rows arrive
+    model = rows.repartition(1).sortWithinPartitions("y", "place").mapInArrow(solve, "w binary, bias double").first()
     if model is None:
         return Model(features, np.zeros(1 << features.bits, dtype=np.float32), -30.0)
     return Model(features, np.frombuffer(model["w"], dtype="<f4"), model["bias"])
 
 
-def regress(rows: list[np.ndarray], y: np.ndarray, width: int, least_rows: int, penalty: float, at_once: int = 2_000_000) -> tuple[np.ndarray, float]:
+def regress(chunks: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, least_rows: int, penalty: float) -> tuple[np.ndarray, float]:
     """Weights on ratio-scaled presence, multiplied out, and intercept; by L-BFGS until it converges.
 
-    Buckets in fewer than least_rows rows get no weight; all others are scaled by their log-count ratio.
+    chunks: of some rows each, in the order of y, their distinct buckets one behind the other (int32, overwritten), and how many
+    each has. Buckets in fewer than least_rows rows get no weight; all others are scaled by their log-count ratio.
     """
     if len(y) == 0 or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
         return np.zeros(width), float(np.log(share / (1 - share)))
-    ones, zeros = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.int64)
-    for own, label in zip(rows, y, strict=True):
-        (ones if label == 1 else zeros)[own] += 1  # a row's buckets are distinct
-    ratio = np.log((ones + 1.0) / (y.sum() + 2.0)) - np.log((zeros + 1.0) / (len(y) - y.sum() + 2.0))
-    ratio[(ones + zeros) < least_rows] = 0.0
+    first = np.cumsum([0, *(len(n) for _, n in chunks)])
+    counts = np.zeros((2, width))
+    for (ids, n), i in zip(chunks, first, strict=False):
+        ones = np.repeat(y[i : i + len(n)], n)
+        counts[1] += np.bincount(ids, weights=ones, minlength=width)
+        counts[0] += np.bincount(ids, weights=1 - ones, minlength=width)
+    ratio = np.log((counts[1] + 1.0) / (y.sum() + 2.0)) - np.log((counts[0] + 1.0) / (len(y) - y.sum() + 2.0))
+    ratio[counts.sum(axis=0) < least_rows] = 0.0
     used = np.flatnonzero(ratio)
-    number, r = (np.cumsum(ratio != 0.0) - 1).astype(np.int32), ratio[used]
-    ids = [number[own[ratio[own] != 0.0]] for own in rows]
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-    ids = np.concatenate(ids)
-    bounds = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + at_once, at_once)).clip(max=len(y)))  # rows, some buckets at once
+    r, number = ratio[used], np.full(width, -1, dtype=np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    kept = []
+    for ids, n in chunks:
+        ids[:] = number[ids]
+        fine = ids >= 0
+        kept.append((ids[fine], np.diff(np.concatenate([[0], np.cumsum(fine)])[np.concatenate([[0], np.cumsum(n)])])))
+    chunks.clear()
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = v[:-1], v[-1]
-        wr, z = w * r, np.empty(len(y))
-        for i, j in pairwise(bounds):
-            total = np.concatenate([[0.0], np.cumsum(wr[ids[ends[i] : ends[j]]])])
-            z[i:j] = b + np.diff(total[ends[i : j + 1] - ends[i]])
-        e = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))) - y
-        g = np.zeros(len(used))
-        for i, j in pairwise(bounds):
-            g += np.bincount(ids[ends[i] : ends[j]], weights=np.repeat(e[i:j], np.diff(ends[i : j + 1])), minlength=len(used))
-        value = np.sum(np.logaddexp(0.0, z) - y * z) + 0.5 * penalty * w @ w
-        return value, np.append(r * g + penalty * w, e.sum())
+        wr, g, value, total = w * r, np.zeros(len(used)), 0.5 * penalty * w @ w, 0.0
+        for (ids, n), i in zip(kept, first, strict=False):
+            own = y[i : i + len(n)]
+            z = b + np.diff(np.concatenate([[0.0], np.cumsum(wr[ids])])[np.concatenate([[0], np.cumsum(n)])])
+            e = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))) - own
+            g += np.bincount(ids, weights=np.repeat(e, n), minlength=len(used))
+            value, total = value + np.sum(np.logaddexp(0.0, z) - own * z), total + e.sum()
+        return value, np.append(r * g + penalty * w, total)
 
     v = lbfgs(loss, np.append(np.zeros(len(used)), np.log(y.mean() / (1 - y.mean()))))
     out = np.zeros(width)

@@ -219,8 +219,8 @@ def test_held_out_labels_do_not_matter(spark, sf, tmp_path):
 
 
 def test_sampling_keeps_the_classes_apart():
-    n = [np.array([1, 2, 3], dtype=np.uint32)] * 4
-    w, b = toxicity.regress(n, np.array([0.0, 0, 1, 1]), 8, 1, 1.0)
+    chunks = [(np.array([1, 2, 3] * n, dtype=np.int32), np.array([3] * n)) for n in (1, 3)]
+    w, b = toxicity.regress(chunks, np.array([0.0, 0, 1, 1]), 8, 1, 1.0)
     assert np.allclose(w, 0) and b == pytest.approx(0, abs=1e-6)
 
 
