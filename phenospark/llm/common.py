@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -37,8 +38,17 @@ def row_hash(*cols: str):
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def give_back() -> None:
+    """Return what earlier tasks of this worker freed to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Small pieces of each batch, so that few texts are Python objects at a time."""
+    give_back()
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
@@ -47,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 class WordHashes:
     """64-bit hashes of words (bytes), remembered for as many distinct words as fit in `room`."""
 
-    def __init__(self, room: int = 400_000, second: bool = False):
+    def __init__(self, room: int = 300_000, second: bool = False):
         self.room, self.second = room, second
         self._of: dict[bytes, int] = _Codes()
 
@@ -118,6 +128,7 @@ def runs_of_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterat
 
     A group that goes on in the next batch is held back until it is complete.
     """
+    give_back()
     held: list[pa.RecordBatch] = []
 
     def bounds(table: pa.Table) -> np.ndarray:

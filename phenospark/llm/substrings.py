@@ -163,7 +163,7 @@ def _recurring(emitted: DataFrame, before: int) -> DataFrame:
     return found.groupBy("rid").agg(F.min("found").alias("found"))
 
 
-def repeated_windows(docs: DataFrame, length: int = 35, period: int = 21, batch_words: int = 1 << 20, per_bucket: int = 1 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 35, period: int = 21, batch_words: int = 1 << 19, per_bucket: int = 1 << 20) -> DataFrame:
     """(rid, found): the starts of all windows of `length` words that start anywhere else too, as runs (uint32 pairs).
 
     docs: __rid, __text (bytes) and whatever else, read from files (a task that runs again must see its rows in the same

@@ -1,11 +1,19 @@
 """The queries of the subpackage and the pipeline on the smallest tables."""
 
+import collections
+import html
+import re
+import zlib
+
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from phenospark.llm import mixing, queries
+from phenospark.llm import mixing, packing, queries
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -20,6 +28,78 @@ def test_against_sql(spark, sf, name):
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
+@pytest.fixture(scope="module")
+def ids(sf):
+    texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{sf}/documents.parquet'").fetchall())
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return {d: (t, e.ids) for (d, t), e in zip(texts.items(), tok.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
+
+
+def crc(values):
+    return zlib.crc32(np.array(values, dtype="<u4").tobytes())
+
+
+def test_token_queries_against_the_library(spark, sf, ids):
+    counted = {r["doc_id"]: r for r in entry.queries()["op4_token_counts"](spark, sf).collect()}
+    files = {r["doc_id"]: r for r in entry.queries()["op6_token_files"](spark, sf).collect()}
+    at = 0
+    for d in sorted(ids):
+        text, own = ids[d]
+        assert (counted[d]["n_bytes"], counted[d]["n_tokens"], counted[d]["over_limit"]) == (len(text.encode()), len(own), len(own) > 512)
+        assert (files[d]["start"], files[d]["n_tokens"], files[d]["ids_crc32"]) == (at, len(own) + 1, crc([*own, 2]))
+        at += len(own) + 1
+    assert len(counted) == len(files) == len(ids)
+
+
+def test_packing_query_is_whole_and_near_its_bound(spark, sf, ids):
+    rows = entry.queries()["op9_best_fit_packing"](spark, sf).collect()
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for d, (_, own) in ids.items():
+        own, at = [*own, 2], 0
+        for n, r in enumerate(sorted(by_doc[d], key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"], r["ids_crc32"]) == (n, at, crc(own[at : at + r["length"]]))
+            at += r["length"]
+        assert at == len(own) and len(by_doc[d]) == -(-len(own) // 1024)
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    bound = packing.lower_bound(np.bincount([r["length"] for r in rows], minlength=1025), 1024)
+    assert bound <= len(by_sequence) <= bound + 1
+
+
+def test_nearest_query_against_brute_force(spark, sf):
+    table = duckdb.sql(f"SELECT vec_id, embedding::DOUBLE[] FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    v = np.array([e for _, e in table])
+    got = collections.defaultdict(list)
+    for r in entry.queries()["op10_nearest_vectors"](spark, sf).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    found = 0
+    for q in range(0, len(v), 20):
+        s = v @ v[q]
+        best = [int(i) for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:20]
+        own = sorted(got[q])
+        assert [r for r, _, _ in own] == list(range(1, 21)) and all(x == pytest.approx(s[i], abs=1e-9) for _, i, x in own)
+        found += len({i for _, i, _ in own} & set(best))
+    assert found / (20 * len(got)) >= 0.9 and set(got) == set(range(0, len(v), 20))
+
+
+def test_html_query_gives_the_articles(spark, sf):
+    pages = duckdb.sql(f"SELECT page_id, html FROM '{sf}/pages.parquet'").fetchall()
+    got = {r["page_id"]: r for r in entry.queries()["op7_html_main_text"](spark, sf).collect()}
+    for page_id, page in pages:  # the one layout of these tables, cut out by hand
+        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        parts = re.split(r"</?(?:h1|p)>", re.sub(r"<br>", " ", re.sub(r"</?b>", "", article)))
+        want = "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
+        assert (got[page_id]["text"], got[page_id]["n_chars"]) == (want, len(want))
+    assert len(got) == len(pages)
+
+
 def test_each_operator_has_a_query():
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
