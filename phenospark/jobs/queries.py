@@ -399,6 +399,15 @@ def outline_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out.drop("coords", "Area"), "A2B", "Box", "Rect"), "Len", "Wid", to=4)
 
 
+@query(f"{CROPS} SELECT vec_id, r - l + 1 AS width, b - t + 1 AS height FROM box WHERE r - l + 1 >= 60 AND b - t + 1 >= 60")
+def outline_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines in whole pixels, moved into the image, that are at least 60 pixels wide and high."""
+    _, outlines, _ = data.painted_frames(spark, sf_dir)
+    large = tracks.large_enough(tracks.clamp(outlines), 60)
+    extent = [(F.array_max(F.col("coords")[a]) - F.array_min(F.col("coords")[a]) + 1).alias(n) for a, n in (("x", "width"), ("y", "height"))]
+    return large.select(F.col("ROI_filename").cast("long").alias("vec_id"), *extent)
+
+
 @query()
 def outline_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shape.polygon(data.outlines(spark, sf_dir)).drop("coords")
@@ -438,6 +447,40 @@ def seg_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.drop_listed(rows, segmentation.segmentation_errors(errors, correct, rows, "doc_id", trees=5), "doc_id")
 
 
+JUDGED = r"""WITH rows AS (SELECT doc_id, n_chars::DOUBLE AS n_chars, quality FROM documents JOIN labels USING (doc_id))"""
+
+
+@query(f"{JUDGED} SELECT doc_id, {R('n_chars', 'n_chars')}, CASE quality WHEN 0 THEN 'segerror' ELSE 'correct' END AS class FROM rows WHERE quality IN (0, 1)")
+def seg_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both labelled sets as one table with a class."""
+    errors, correct, _ = data.judged_documents(spark, sf_dir)
+    both = [df.select("doc_id", "n_chars", F.col("doc_id").alias("id")) for df in (errors, correct)]
+    return rounded(segmentation.labelled(*both, "id"), "n_chars")
+
+
+@query(f"{JUDGED}, n AS (SELECT count(*) FILTER (quality = 0) AS e, count(*) FILTER (quality = 1) AS c FROM rows) SELECT 'segerror' AS class, CASE WHEN e <= c THEN 2 * e ELSE e END AS n FROM n UNION ALL SELECT 'correct', CASE WHEN e <= c THEN c ELSE 2 * c END FROM n")
+def seg_class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each class after oversampling: the smaller class has a synthetic row for each of its own."""
+    return seg_training_set(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+RUNS = ["quality = 0", "toxic = 1", "doc_id % 3 = 0", "doc_id % 5 = 0"]
+
+
+@query("SELECT doc_id FROM labels WHERE " + " + ".join(f"coalesce(({r})::INT, 0)" for r in RUNS) + f" >= {len(RUNS)} / 2")
+def seg_named_by_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that at least half of several runs name; the runs are conditions on the labels."""
+    labels = data.table(spark, sf_dir, "labels")
+    return segmentation.ensemble([labels.where(r).select("doc_id") for r in RUNS], "doc_id")
+
+
+@query(f"{JUDGED} SELECT doc_id, {R('n_chars', 'n_chars')} FROM (SELECT doc_id, n_chars::DOUBLE AS n_chars FROM documents) ANTI JOIN (SELECT doc_id FROM rows WHERE quality = 0) USING (doc_id)")
+def seg_drop_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents but those of the listed ids."""
+    errors, _, rows = data.judged_documents(spark, sf_dir)
+    return rounded(tracks.drop_listed(rows, errors, "doc_id").select("doc_id", "n_chars"), "n_chars")
+
+
 # --- populations
 
 def _populations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -451,6 +494,30 @@ def classify_lda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.lda(train, test.drop("population"), "population", E64).select("vec_id", "LDA")
 
 
+LDA_PAIR = """WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+s AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS xx, covar_pop(x, y) * count(*) AS xy, var_pop(y) * count(*) AS yy FROM v WHERE label IN (0, 1) GROUP BY label),
+p AS (SELECT sum(n) AS n, sum(xx) / (sum(n) - 2) + 1e-6 AS a, sum(xy) / (sum(n) - 2) AS b, sum(yy) / (sum(n) - 2) + 1e-6 AS d FROM s),
+w AS (SELECT label, ln(s.n / p.n) AS prior, mx, my, (d * mx - b * my) / (a * d - b * b) AS wx, (a * my - b * mx) / (a * d - b * b) AS wy FROM s, p)
+SELECT vec_id, 'p' || arg_max(w.label, prior - 0.5 * (mx * wx + my * wy) + wx * x + wy * y) AS LDA FROM v, w GROUP BY vec_id"""
+
+
+@query(LDA_PAIR)
+def classify_lda_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on two features, where the discriminants can be written down."""
+    train, test = _populations(spark, sf_dir)
+    return classify.lda(train, test.drop("population"), "population", ["e0", "e1"]).select("vec_id", "LDA")
+
+
+VOTES = [f"CASE WHEN e{i} > 0 THEN 'p0' ELSE 'p1' END" for i in range(3)]
+
+
+@query("SELECT vec_id, CASE WHEN (embedding[1] > 0)::INT + (embedding[2] > 0)::INT + (embedding[3] > 0)::INT >= 2 THEN 'p0' ELSE 'p1' END AS Ensemble FROM embeddings")
+def classify_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The majority of three votes; the votes are the signs of three features."""
+    votes = data.vectors(spark, sf_dir).select("vec_id", *[F.expr(v).alias(n) for v, n in zip(VOTES, ("LDA", "RF", "SVM"), strict=True)])
+    return classify.majority(votes, "p0", "p1").select("vec_id", "Ensemble")
+
+
 @query()
 def classify_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _populations(spark, sf_dir)
