@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html, minhash, mixing, near_vectors, nearest, packing, substrings, token_counts, token_files, toxicity
+from . import collocations, common, html, lexical, licences, minhash, mixing, near_vectors, nearest, packing, substrings, token_counts, token_files, toxicity
 
 BPE = "byte_bpe_50k.json"
 
@@ -79,6 +79,22 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two and three words of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -88,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    own = [op1_mix_sources, op2_embedding_near_dedup, op3_toxicity, op4_token_counts, op5_substring_dedup, op6_token_files, op7_html_main_text, op8_minhash_near_dedup, op9_best_fit_packing, op10_nearest_vectors, pipeline]
+    own = [op1_mix_sources, op2_embedding_near_dedup, op3_toxicity, op4_token_counts, op5_substring_dedup, op6_token_files, op7_html_main_text, op8_minhash_near_dedup, op9_best_fit_packing, op10_nearest_vectors, op11_licence_scan, op12_collocations, op13_lexical_search, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -152,6 +168,60 @@ FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON w.doc_id = least.a
 """
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+def licence_sql(notices: tuple[licences.Notice, ...] = licences.NOTICES, depth: int = 6, share: float = 0.6) -> str:
+    """The same by word places: every word of every document, joined with the words of the notices."""
+    words = [(t, p, w) for t, n in enumerate(notices) for p, w in enumerate(n.words)]
+    keys = [(t, at + i, w) for t, n in enumerate(notices) for k, at in n.places() for i, w in enumerate(k)]
+    meta = [(t, n.label, n.base) for t, n in enumerate(notices)]
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_LOWER}, '{licences.LOWERED}'), []) AS ws FROM documents),
+n AS (SELECT count(*) FILTER (len(ws) > 0) AS n FROM d), words AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+notice(t, p, w) AS (VALUES {_values(words)}), keyed(t, p, w) AS (VALUES {_values(keys)}), meta(t, label, base) AS (VALUES {_values(meta)}),
+df AS (SELECT w, count(DISTINCT rid) AS df FROM words WHERE w IN (SELECT w FROM notice) GROUP BY w),
+ranked AS (SELECT t, p, notice.w, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), p) AS r FROM notice LEFT JOIN df ON notice.w = df.w),
+posts AS (SELECT t, p, w, ln((n + 1) / (df + 0.5)) AS weight FROM ranked, n WHERE r <= {depth}), total AS (SELECT t, sum(weight) AS total FROM posts GROUP BY t),
+need AS (SELECT t, count(*) AS need FROM keyed GROUP BY t),
+stand AS (SELECT rid, t, i - p AS start, count(*) AS k FROM words JOIN keyed USING (w) GROUP BY ALL),
+light AS (SELECT rid, t, i - p AS start, sum(weight) AS weight FROM words JOIN posts USING (w) GROUP BY ALL),
+found AS (SELECT rid, start, label, base, coalesce(weight, 0) / total AS share FROM stand JOIN need USING (t) JOIN total USING (t) JOIN meta USING (t) LEFT JOIN light USING (rid, t, start) WHERE k = need AND (base OR coalesce(weight, 0) / total >= {share})),
+own AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS a, max(start) FILTER (base) AS b, array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(least(share, 1)) AS score FROM found GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6)::DOUBLE AS score FROM d LEFT JOIN own USING (rid)"""
+
+
+OP12_SQL = rf"""
+WITH pieces AS (SELECT row_number() OVER () AS rid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (SELECT lang, k, array_to_string(ws[j:j + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS j FROM pieces, (VALUES (1), (2), (3)) s(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL), n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT lang, phrase, a, i, array_to_string(ws[1:i], ' ') AS l, array_to_string(ws[i + 1:], ' ') AS r FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, i, x.a AS l, y.a AS r, ((1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts JOIN f x ON cuts.lang = x.lang AND cuts.l = x.phrase JOIN f y ON cuts.lang = y.lang AND cuts.r = y.phrase),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inside AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank FROM best LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_LOWER}, '{lexical.TERM}'), []) AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM d),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{lexical.TERM}')) AS t FROM benchmark) GROUP BY ALL),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), s),
+m AS (SELECT rid, doc_id, 100 - 25 + ((25 * len(ts) * n) // l) AS m FROM d, s WHERE len(ts) > 0),
+scored AS (SELECT item_id, rid, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express on whole tables."""
-    return {"op1_mix_sources": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op8_minhash_near_dedup": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_licence_scan": licence_sql(), "op12_collocations": OP12_SQL, "op13_lexical_search": OP13_SQL}
