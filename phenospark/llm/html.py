@@ -42,18 +42,25 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BAD = frozenset(
     "ad ads advert adverts advertisement advertisements adsense banner banners sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead cookie cookies "
     "consent gdpr notice notices alert alerts popup popups modal overlay comment comments commentary reply replies disqus respond discussion reader readers share sharing social related recommended recommendations newsletter subscribe "
-    "subscription signup login search searchform widget widgets toolbar pagination pager tag tags copyright legal disclaimer skip complementary contentinfo teaser teasers".split()
+    "subscription signup login search searchform widget widgets toolbar pagination pager tag tags copyright legal disclaimer skip complementary contentinfo teaser teasers bio info colophon credits".split()
 )
+#: Those of readers' talk, which however long is no article.
+TALK = frozenset("comment comments commentary reply replies disqus respond discussion".split())
 GOOD = frozenset("article articlebody post entry content main story body text prose".split())
-PLACE = frozenset("list item items box area block section sections wrapper wrap container inner outer site page top bottom left right center global primary secondary links link bar panel row col column group header head form slot unit body the a js l c u".split())
+PLACE = frozenset("list item items box area block section sections wrapper wrap container inner outer site page top bottom left right center global primary secondary links link bar panel row col column group header head form slot unit body author the a js l c u".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Phrases of notices, forms and page furniture.
 NOTICE = re.compile(r"cookies?\b|privacy|subscri|newsletter|sign (?:up|in)|log ?in\b|all rights reserved|terms of|advertis|sponsored|share (?:this|on)|follow us|read more|click here|copyright|©|related (?:posts|articles|stories)|leave a (?:comment|reply)|skip to", re.I)
 
+#: Headings of what readers say, and of what else the site has, up to the next heading.
+TALK_HEADING = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|responses?|replies|discussion)(?: \(?\d+\)?)?|leave a (?:comment|reply)|join the (?:conversation|discussion)|what do you think", re.I)
+MORE_HEADING = re.compile(r"(?:more|other|related|popular|latest|recent|trending|top|featured|recommended)(?: (?:stories|articles|posts|news|content|reading|reads|topics|videos|now|today|for you|from .{1,40}))|related|recommended|trending|you (?:may|might) also (?:like|enjoy).{0,20}|read next|about the authors?|advertisement|tags|categories", re.I)
+LONG, SHARE = 25, 0.6
+
 #: What the classifier looks at, with the weights that fit() finds for the labelled pages of the tests (tests/llm/pages.py).
 WEIGHTS = {
-    "always": 1.17, "boilerplate tag": -6.63, "page header": -5.38, "article": 0.90, "named": -8.15, "named in part": -0.04, "named content": 2.63,
-    "in links": -4.27, "length": 2.02, "under four words": -0.08, "ends a sentence": 1.29, "heading": 1.72, "notice": -4.32,
+    "always": 1.13, "boilerplate tag": -6.54, "page header": -5.32, "article": 0.84, "named": -8.19, "named in part": -0.18, "named content": 2.72,
+    "in links": -4.34, "length": 2.08, "under four words": -0.17, "ends a sentence": 1.23, "heading": 1.69, "notice": -4.28, "under": -6.56,
 }
 FEATURES = tuple(WEIGHTS)
 
@@ -65,9 +72,23 @@ class Element:
     bad: float = 0.0  # the share of boilerplate words in its names
     good: bool = False
     hidden: bool = False
-    holds: bool = False  # an article, the main part or a first heading is inside: a frame around everything
+    talk: bool = False  # named as readers' talk
+    holds: bool = False  # the article, the main part, a first heading or most of the text is inside: a frame around everything
+    asked: bool = False  # a first heading inside has been told to those around
+    number: int = 0  # in the order of the page
+    last: int = 0  # the number of the last element inside
+    long: int = 0  # long paragraphs inside
+    mass: int = 0  # their words
+    inlines: dict[str, int] = field(default_factory=dict)  # open in it, without a block element between
     _seen: tuple | None = None
 
+    def __post_init__(self):
+        inner = self.tag in INLINE and self.parent is not None
+        # the nearest that is a block element; that has a say in what its text is; that isn't a paragraph, list or table
+        self.block = self.parent.block if inner else self
+        self.owner = self.parent.owner if inner and not self.bad else self
+        self.container = self.parent.container if self.tag in LEAVES and self.parent is not None else self
+
     def around(self) -> tuple[bool, bool, bool, bool, bool, bool]:
         """Of this element and those around it: boilerplate tag, page header, article, named as boilerplate, named so in
         part, named as content."""
@@ -90,17 +111,21 @@ class TextBlock:
     parent: Element
     linked: int  # characters in links
     heading: bool = False
+    under: bool = False  # a heading of readers' talk or of other articles
     words: int = field(init=False)
 
     def __post_init__(self):
         self.words = self.text.count(" ") + 1
 
+    def is_long(self) -> bool:
+        return self.words >= LONG and self.linked * 5 < len(self.text) and not self.heading
+
     def features(self) -> list[float]:
         tag, header, article, named, partly, good = self.parent.around()
-        notices = len(NOTICE.findall(self.text[:2000]))
+        notices = len(NOTICE.findall(self.text)) if self.words < 60 else 0
         return [
             1.0, tag, header, article, named, partly and not named, good, min(1.0, self.linked / max(1, len(self.text))), min(1.0, math.log2(1 + self.words) / 7), self.words < 4,
-            self.text[-1:] in ".!?:…。\"'”»", self.heading, min(notices, 2) / 2 if self.words < 60 else 0.0,
+            self.text[-1:] in ".!?:…。\"'”»", self.heading, min(notices, 2) / 2, self.under,
         ]
 
 
@@ -117,7 +142,7 @@ def named(names: str) -> tuple[float, bool]:
     return worst, good
 
 
-def _element(tag: str, attributes: str, up: Element) -> Element:
+def _element(tag: str, attributes: str, up: Element, number: int) -> Element:
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         if (a := m[1].lower()) in _WANTED:
@@ -126,42 +151,50 @@ def _element(tag: str, attributes: str, up: Element) -> Element:
     bad, good = named(names) if names and tag not in ("html", "body") else (0.0, False)
     good |= found.get("itemprop") == "articleBody"
     hidden = up.hidden or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
-    if tag in INNER or tag == "h1":
+    if tag in INNER:
         e = up
         while e is not None and not e.holds:
-            e.holds, e = tag != "h1" or e.tag not in ("header", "nav", "aside", "footer"), e.parent
-    return Element(tag, up, bad, good, hidden)
+            e.holds, e = True, e.parent
+    elif tag == "h1":
+        e = up
+        while e is not None and not e.holds and not e.asked:
+            e.holds, e.asked, e = e.tag not in ("header", "nav", "aside", "footer"), True, e.parent
+    talk = bad > 0 and any(w.lower() in TALK for w in _NAME.findall(names))
+    return Element(tag, up, bad, good, hidden, talk, number=number)
 
 
 def blocks(page: str) -> list[TextBlock]:
-    """The text blocks of a page in order: runs of text between block elements, white space runs as one blank."""
+    """The text blocks of a page in order: runs of text between block elements, white space runs as one blank. Every element is
+    opened and closed once, and an end without a beginning costs nothing, so time grows with the page's length."""
     top = Element("", None)
+    elements = [top]
+    opened: dict[str, int] = {}  # block elements
     here, out, parts, linked, link = top, [], [], 0, 0
-    at, owner = 0, top
+    at, owner, filled = 0, top, False
 
     def add(raw: str) -> None:
-        nonlocal linked, owner
+        nonlocal linked, owner, filled
         if raw and not here.hidden:
             text = html.unescape(raw)
-            if not parts or not "".join(parts).strip():
-                owner = outer(here)
+            if not filled:
+                owner = here.owner
+                filled = bool(text.strip())
             parts.append(text)
             if link:
                 linked += len(text.strip())
 
-    def outer(e: Element) -> Element:
-        while e.tag in INLINE and e.parent is not None and not e.bad:
-            e = e.parent
-        return e
-
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, filled
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 out.append(TextBlock(text, owner, min(linked, len(text)), owner.tag in HEADINGS))
             parts.clear()
-        linked = 0
+        linked, filled = 0, False
+
+    def enter(tag: str, attributes: str) -> Element:
+        elements.append(_element(tag, attributes, here, len(elements)))
+        return elements[-1]
 
     token = _TOKEN.search(page)
     while token is not None:
@@ -179,42 +212,73 @@ def blocks(page: str) -> list[TextBlock]:
             elif tag == "br":
                 add(" ")
             elif tag in INLINE:
+                level = here.block.inlines
                 if closing:
-                    e = here
-                    while e.parent is not None and e.tag in INLINE and e.tag != tag:
-                        e = e.parent
-                    if e.tag == tag:
-                        here = e.parent
+                    if level.get(tag, 0):
+                        while here.tag != tag:
+                            level[here.tag] -= 1
+                            here = here.parent
+                        level[tag] -= 1
+                        here = here.parent
                         link -= tag == "a" and link > 0
                 elif tag not in VOID:
-                    inner = _element(tag, attributes, here)
+                    inner = enter(tag, attributes)
                     if inner.bad:
                         flush()
                     here = inner
+                    level[tag] = level.get(tag, 0) + 1
                     link += tag == "a"
             else:
                 flush()
                 if closing:
-                    e = here
-                    while e.parent is not None and e.tag != tag:
-                        e = e.parent
-                    if e.parent is not None:
-                        here, link = e.parent, 0
+                    if opened.get(tag, 0):
+                        while here.tag != tag:
+                            if here.block is here:
+                                opened[here.tag] -= 1
+                            here = here.parent
+                        opened[tag] -= 1
+                        here, link = here.parent, 0
                 elif tag not in VOID:
-                    if tag not in INLINE:  # a block element ends an open paragraph, whatever is open in it
-                        e = here
-                        ends = CLOSES.get(tag, set()) | {"p"}
-                        while e.parent is not None and (e.tag in INLINE or e.tag in ends):
-                            here = e.parent if e.tag in ends else here
-                            e = e.parent
-                        link = 0
-                    here = _element(tag, attributes, here)
+                    # a block element ends an open paragraph, whatever is open in it
+                    ends, e = CLOSES.get(tag, set()) | {"p"}, here.block
+                    while e.parent is not None and e.tag in ends:
+                        opened[e.tag] -= 1
+                        here, e = e.parent, e.parent.block
+                    link = 0
+                    here = enter(tag, attributes)
+                    opened[tag] = opened.get(tag, 0) + 1
         token = _TOKEN.search(page, at)
     add(page[at:])
     flush()
+    _weigh(elements, out)
     return out
 
 
+def _weigh(elements: list[Element], found: list[TextBlock]) -> None:
+    """Tell elements that hold most of a page's long text, whatever they are called, and blocks under headings of talk."""
+    for b in found:
+        if b.is_long():
+            b.parent.long += 1
+            b.parent.mass += b.words
+    for e in reversed(elements):
+        e.last = max(e.last, e.number)
+        if e.parent is not None:
+            e.parent.last = max(e.parent.last, e.last)
+            e.parent.long += e.long
+            e.parent.mass += e.mass
+    for e in elements:
+        if e.long >= 3 and not e.talk and e.mass >= SHARE * elements[0].mass:
+            e.holds = True
+    within, talk = None, False
+    for b in found:
+        if b.heading:
+            heading = b.text.rstrip(" :.!?…»")
+            talk = TALK_HEADING.fullmatch(heading) is not None
+            within = (b.parent.parent or b.parent) if b.parent.tag != "h1" and (talk or MORE_HEADING.fullmatch(heading)) else None
+        if within is not None:
+            b.under = within.number <= b.parent.number <= within.last and (talk or b.heading or b.words < 2 * LONG)
+
+
 def chance(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The classifier's chance of content for rows of features."""
     return 1.0 / (1.0 + np.exp(-np.clip(rows @ weights, -30, 30)))
@@ -255,9 +319,7 @@ def edges(found: list[TextBlock], adjacency: float = 0.3, container: float = 1.2
     joined over what stands between them."""
     out, last = [], {}
     for i, b in enumerate(found):
-        up = b.parent
-        while up.tag in LEAVES and up.parent is not None:
-            up = up.parent
+        up = b.parent.container
         over = up.parent or up
         if i:
             out.append((i - 1, i, adjacency))

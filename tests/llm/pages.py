@@ -37,6 +37,10 @@ LAYOUTS = {
     "site name and article": "<header><h2>{w}</h2></header><article><h1>[[{w}]]</h1><p>[[{s}]]</p><div class=ad>{s}</div><p>[[{one} <a href=x>{w}</a> {one}.]]</p><form><p>{s}</p><input></form></article><aside><p>{s}</p></aside>",
     "text in the container": "<div class=toolbar><span>{w}</span></div><div class=story-body>[[{p}<br><br>{p}]]<p>[[{s}]]</p></div><div id=side>{m}</div>",
     "plain": "<p>[[{p}]]</p><p>[[{s}]]</p><p>[[{p}]]</p>",
+    "untold comments": "<div id=x1>{m}</div><div id=x2><h1>[[{w}]]</h1><p>[[{p}]]</p><p>[[{p}]]</p><p>[[{s}]]</p></div><div id=x3><h3>Comments</h3><div><b>{w}</b> {w}<p>{p}</p></div><div><b>{w}</b> {w}<p>{p}</p></div><div><b>{w}</b> {w}<p>{s}</p></div></div>",
+    "more stories": "<article><h1>[[{w}]]</h1><p>[[{p}]]</p><p>[[{p}]]</p><div class=z><h3>More stories</h3><p><a href=1>{w}</a> {s}</p><p><a href=2>{w}</a> {s}</p></div></article><div class=site-info>{s}</div>",
+    "author box": "<article><h1>[[{w}]]</h1><p>[[{p}]]</p><h2>[[{w}]]</h2><p>[[{p}]]</p><div class=author-bio><p>{s} {s}</p></div></article><section><h2>3 responses</h2><p>{p}</p><p>{s}</p></section>",
+    "odd names": "<form id=aspnetForm><div class=page><div class=reader><p>[[{p} {p}]]</p><p>[[{p} {p} {p}]]</p><p>[[{p} {p}]]</p><p>[[{s}]]</p></div></div><div class=tag>{s}</div></form>",
     "search and menu": "<div id=search><form><p>{w}</p></form></div><ul id=menu><li><a href=1>{one}</a><li><a href=2>{one}</a><li><a href=3>{w}</a></ul><div class=prose><h1>[[{w}]]</h1><p>[[{p}]]</p><ol><li>[[{s}]]</li><li>[[{s}]]</li></ol></div><p class=copyright>{s}</p>",
 }
 

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -483,6 +484,42 @@ def test_layouts_that_were_left_out_and_what_the_cut_adds(monkeypatch):
     assert np.mean(scores) >= 0.985 and np.mean(scores) > np.mean(lone) and flips > 0
 
 
+def test_long_text_outweighs_odd_names_but_not_talk():
+    long = " ".join(["Some words that make up a sentence of an article."] * 6)
+    article = f"<p>{long} One.</p><p>{long} Two.</p><p>{long} Three.</p>"
+    text = "\n".join(f"{long} {n}." for n in ("One", "Two", "Three"))
+    for before, after in (("<div class=reader>", "</div>"), ("<div class=tag>", "</div>"), ("<form id=aspnetForm><div class=page>", "</div></form>"), ("<aside><div class='promo banner'>", "</div></aside>")):
+        assert html.main_text(f"<div class=nav><a href=x>One</a></div>{before}{article}{after}<div class=footer>Some more words.</div>") == text
+    for rest in (f"<div class=comments>{article}{article}</div>", f"<div id=q><h3>Comments</h3>{article}{article}</div>", "<div class=author-bio><p>This one writes for us now and then.</p></div>", "<div class=site-info><p>This is a site about some things.</p></div>", "<div><h4>More stories</h4><p>Another one of them is here to be read.</p></div>"):
+        assert html.main_text(f"<div class=page><h1>Title of it</h1>{article}</div>{rest}") == f"Title of it\n{text}"
+    assert html.main_text(f"<h1>Title of it</h1><p>{'words ' * 3000}cookie</p>").count("words") == 3000
+
+
+HOSTILE = {
+    "ends without beginnings": "<div>" * 60000 + "</x>" * 60000,
+    "inline elements": "<b>" * 60000 + "<p>" * 60000,
+    "ends that cannot be reached": "<i><p>" + "<b>" * 120000 + "</i>" * 120000,
+    "headings in headers": "<nav>" * 60000 + "<h1>x" * 60000,
+    "lists in lists": "<ul><li>some text " * 40000,
+    "one block of many parts": "<b>x</b>" * 120000,
+    "comments": "<!--" * 250000,
+    "quotes": "<a b='" * 160000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_time_by_their_length(name):
+    page = HOSTILE[name]
+
+    def seconds(part):
+        start = time.process_time()
+        html.main_text(part)
+        return time.process_time() - start
+
+    seconds(page[: len(page) // 8])
+    assert seconds(page) < 3 * 8 * seconds(page[: len(page) // 8]) + 1  # squares would take 64 times as long
+
+
 def test_min_cut_is_minimal():
     for _ in range(80):
         n = draw.randrange(1, 8)
