@@ -7,9 +7,10 @@ about `per_cell` vectors to a cell, so that each cell is one sorted array in one
 their strings, are split further, and so are the queries of a cell that many visit. A query whose cells hold too few
 ascends past their border, by the cells' counted sizes, and visits all cells below the shorter prefix.
 
-How many are enough depends on the data: a pilot, a bounded number of the queries, is compared with every vector, and the
-smallest number is taken with which the forest finds the wanted share of the pilot's neighbours. Clustered vectors need a
-small part of the table, unclustered ones, whose neighbours are hardly nearer than all others, most of it.
+How many are enough depends on the data: a pilot, a bounded number of vectors that are no queries, is compared with every
+vector, and the smallest number is taken with which the forest finds the wanted share of the pilot's neighbours. Vectors in
+clusters need a small part of the table, those that stand alone, whose neighbours are hardly nearer than all others, most of it.
+So the pilot is sorted by how deep a vector has company in the trees, and each group of it gives the number for queries alike.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,13 +65,28 @@ def choose(counts: np.ndarray, shared: np.ndarray, of: np.ndarray, recall: float
     return best[1:]
 
 
+def rules(counts: np.ndarray, shared: np.ndarray, of: np.ndarray, recall: float, company: int, group: int = 16) -> list[tuple[int, int, int]]:
+    """[(from which depth of company on, enough, first)], by rising depth: choose() for groups of about `group` of the pilot.
+    The depth of company is the deepest at which all trees together hold `company` vectors."""
+    deep = (counts.sum(axis=1) >= company).sum(axis=1).clip(1) - 1
+    parts = np.array_split(np.argsort(deep, kind="stable"), max(1, len(deep) // group))
+    starts = sorted({int(deep[p[0]]) for p in parts})
+    number = np.searchsorted(starts, deep, side="right") - 1
+    out = []
+    for i, start in enumerate(starts):
+        own = np.flatnonzero(number == i)
+        mine = np.isin(of, own)
+        out.append((start if i else 0, *choose(counts[own], shared[mine], np.searchsorted(own, of[mine]), recall)))
+    return out
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = 16, recall: float = 0.94, pilot: int = 128, share: float | None = None, per_cell: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` the k rows of `vectors` with the largest inner product
     that were found, best first, ties to the smaller vec_id, the query's own vec_id left out. Queries are rows of `vectors`;
     others are left out.
 
-    pilot: so many different queries, those with the lowest hashes, are compared with all vectors to learn how far queries
-    must ascend for `recall`. share: instead, ascend until the trees hold share * number of different vectors together,
+    pilot: so many different vectors that are no queries (queries where all are), those with the lowest hashes, are compared with
+    all vectors to learn how far queries must ascend for `recall`. share: instead, ascend until the trees hold share * number of different vectors together,
     counted once in each tree (with share = trees, to the roots: exact).
 
     Vectors of another length than a query's are no candidates. Those that are null, zero or hold null or non-finite
@@ -148,15 +164,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
         above = own.join(totals, _CELL).groupBy("id", *by).agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(prefix + 1)])
         return below.join(above, ["id", *by])
 
-    enough, shallow = (1 if share is None else max(1, math.ceil(share * n))), trees
+    learnt, company = [(0, 1 if share is None else max(1, math.ceil(share * n)), trees)], 16 * k
     if share is None and n:
-        some = cut(points.join(asking.select("id").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(pilot), "id"))
-        enough, shallow = _fit(points, some, counts(some.select("id", "dim", "keys"), "tree"), k, trees, recall)
-    depth = F.coalesce(*[F.when(F.col(f"d{d}") >= enough, F.lit(d)) for d in reversed(range(BITS + 1))], F.lit(0))
-    depth = counts(asking).select("id", depth.alias("all"))
-    visits = in_trees(asking).join(depth, "id").withColumn("depth", F.least(F.col("all") + (F.col("tree") >= shallow).cast("int"), F.lit(BITS)))
+        others = points.select("id").join(asking.select("id"), "id", "left_anti")
+        others = others if others.take(1) else asking.select("id")
+        some = cut(points.join(others.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(pilot), "id"))
+        learnt = _fit(points, some, counts(some.select("id", "dim", "keys"), "tree"), k, trees, recall, company)
+
+    def deepest(least: Column | int) -> Column:
+        return F.coalesce(*[F.when(F.col(f"d{d}") >= least, F.lit(d)) for d in reversed(range(BITS + 1))], F.lit(0))
+
+    rule = F.coalesce(*[F.when(F.col("deep") >= start, F.struct(F.lit(e).cast("long").alias("enough"), F.lit(s).alias("shallow"))) for start, e, s in reversed(learnt)])
+    depth = counts(asking).withColumn("deep", deepest(company)).withColumn("rule", rule)
+    depth = depth.select("id", deepest(F.col("rule.enough")).alias("all"), "rule.shallow")
+    visits = in_trees(asking).join(depth, "id").withColumn("depth", F.least(F.col("all") + (F.col("tree") >= F.col("shallow")).cast("int"), F.lit(BITS)))
     visits = visits.withColumn("level", F.least("depth", F.lit(prefix))).withColumn("above", F.expr(f"shiftright(cell, {prefix} - level)"))
-    visits = cut(visits.drop("cell", "all").join(ladder, ["dim", "tree", "level", "above"]).select(*_CELL, part, "id", "key", "depth"))
+    visits = cut(visits.drop("cell", "all", "shallow").join(ladder, ["dim", "tree", "level", "above"]).select(*_CELL, part, "id", "key", "depth"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs_of_groups(batches, [*_CELL, "part", "turn"]):
@@ -205,11 +228,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _fit(points: DataFrame, some: DataFrame, counted: DataFrame, k: int, trees: int, recall: float) -> tuple[int, int]:
-    """choose() for the pilot queries `some`; what reaches the driver is bounded by their number."""
+def _fit(points: DataFrame, some: DataFrame, counted: DataFrame, k: int, trees: int, recall: float, company: int) -> list[tuple[int, int, int]]:
+    """rules() from the pilot `some`; what reaches the driver is bounded by its number."""
     mine = sorted(some.select("id", "dim", "keys", "v").collect(), key=lambda r: r["id"])
     if not mine:
-        return 1, trees
+        return [(0, 1, trees)]
     at = {r["id"]: i for i, r in enumerate(mine)}
     lengths = {d: [r for r in mine if r["dim"] == d] for d in {r["dim"] for r in mine}}
     asked = points.sparkSession.sparkContext.broadcast({d: (np.array([r["id"] for r in own]), np.array([r["v"] for r in own], dtype=np.float64)) for d, own in lengths.items()})
@@ -235,4 +258,4 @@ def _fit(points: DataFrame, some: DataFrame, counted: DataFrame, k: int, trees:
         below[at[r["id"]], r["tree"]] = [r[f"d{d}"] for d in range(BITS + 1)]
     of = np.array([at[r["q"]] for r in near], dtype=np.int64)
     shared = common_prefix(np.array([r["keys"] for r in near], dtype=np.int64).reshape(-1, trees), own[of])
-    return choose(below, shared, of, recall) if len(of) else (1, trees)
+    return rules(below, shared, of, recall, company) if len(of) else [(0, 1, trees)]

@@ -128,11 +128,65 @@ def best_fit(counts: np.ndarray, room: int) -> list[Pattern]:
     return [(tuple(a), b) for group in open_.values() for a, b in group]
 
 
+def by_number(counts: np.ndarray, room: int, m: int) -> list[Pattern]:
+    """Sequences of m pieces: the largest left, the m - 2 smallest, and the best fit for what is then free; largest pieces that no
+    such sequence holds are packed by best fit."""
+    left, aside, out = counts.copy(), np.zeros_like(counts), []
+    while left.any():
+        have = np.flatnonzero(left)
+        top, without = int(have[-1]), left.copy()
+        without[top] -= 1
+        small, at = [], 0
+        while len(small) < m - 2 and at < len(have):  # the smallest, each as often as there are
+            take = min(m - 2 - len(small), int(without[have[at]]))
+            small += [int(have[at])] * take
+            without[have[at]] -= take
+            at += 1
+        free = room - top - sum(small)
+        last = np.flatnonzero(without[: free + 1]) if free > 0 and len(small) == m - 2 else ()
+        if len(last) == 0:
+            aside[top] += left[top]
+            left[top] = 0
+            continue
+        own = (top, *small, int(last[-1]))
+        k = _times(own, left)
+        left = _less(left, own, k)
+        out.append((tuple(sorted(own, reverse=True)), k))
+    return out + best_fit(aside, room)
+
+
+def by_two_numbers(counts: np.ndarray, room: int, most: int = 8, tried: int = 24) -> list[Pattern]:
+    """The best of plans in which lengths from some border on stand m - 1 to a sequence and shorter ones m, for every m up to
+    `most` and borders tried first far apart, then close. Where a few pieces of much the same length fill a sequence, this is better than
+    to fit each piece by itself."""
+    have = np.flatnonzero(counts)
+    best: tuple[int, list[Pattern]] = (int(counts.sum()) + 1, [])
+
+    def attempt(m: int, border: int) -> int:
+        nonlocal best
+        low, high = counts.copy(), counts.copy()
+        low[border:], high[:border] = 0, 0
+        found = by_number(low, room, m) + (by_number(high, room, m - 1) if m > 2 else best_fit(high, room))
+        n = sum(k for _, k in found)
+        best = min(best, (n, found), key=lambda x: x[0])
+        return n
+
+    for m in range(2, min(most, room // max(1, int(have[0])) + 1) + 1):
+        coarse = sorted({int(have[i * (len(have) - 1) // tried]) for i in range(tried + 1)} | {room + 1})
+        numbers = [attempt(m, b) for b in coarse]
+        i = int(np.argmin(numbers))
+        lo, hi = coarse[max(0, i - 1)], coarse[min(len(coarse) - 1, i + 1)]
+        for b in range(lo + 1, hi, max(1, (hi - lo) // tried)):
+            attempt(m, b)
+    return best[1]
+
+
 def plan(counts: np.ndarray, room: int, limit: int = 12, tries: int = 200, nodes: int = 400) -> list[Pattern]:
     """Patterns that use up `counts` (counts[s]: pieces of length s) in as few sequences as were found.
 
     Branch and bound: a node is what is left; its branches are the undominated completions of the largest length left,
-    each filled as often as the counts allow at once. Best-fit solutions of what is left are the incumbents; a branch
+    each filled as often as the counts allow at once. Best-fit solutions of what is left are the incumbents, and at the beginning, where
+    best fit is more than a hundredth above the bound, by_two_numbers(); a branch
     is cut when its sequences so far and the lower bound of the rest don't beat the best. The first branch (least waste) is
     followed to its end, then others are tried, those that leave it earliest last; it stops as soon as the best meets the
     bound. limit, tries (see completions) and nodes bound the effort, never what is packed: all pieces are in every plan. The work
@@ -142,6 +196,10 @@ def plan(counts: np.ndarray, room: int, limit: int = 12, tries: int = 200, nodes
     bound = lower_bound(counts, room)
     best = best_fit(counts, room)
     best_n = sum(k for _, k in best)
+    if best_n - bound > bound / 100:  # pieces fit badly: another kind of incumbent may do better
+        other = by_two_numbers(counts, room)
+        if (n := sum(k for _, k in other)) < best_n:
+            best, best_n = other, n
     stack: list[tuple[np.ndarray, tuple[Pattern, ...], int]] = [(counts, (), 0)]
     spent = 0
     while stack and best_n > bound and spent < nodes + 4 * room:

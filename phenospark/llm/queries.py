@@ -27,6 +27,13 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def near_vectors_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings and a near copy of each, linked at a cosine of 0.9."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    shift = F.transform("embedding", lambda x, i: x + F.lit(0.02) * (F.pmod((i + 1) * 7 + F.col("vec_id"), F.lit(5)) - 2))
+    return near_vectors.near_vectors(rows.unionByName(rows.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), shift.alias("embedding"))))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model that never saw the held-out labels."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -104,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    own = [op1_mix_sources, op2_embedding_near_dedup, op3_toxicity, op4_token_counts, op5_substring_dedup, op6_token_files, op7_html_main_text, op8_minhash_near_dedup, op9_best_fit_packing, op10_nearest_vectors, op11_licence_scan, op12_collocations, op13_lexical_search, pipeline]
+    own = [op1_mix_sources, op2_embedding_near_dedup, op3_toxicity, op4_token_counts, op5_substring_dedup, op6_token_files, op7_html_main_text, op8_minhash_near_dedup, op9_best_fit_packing, op10_nearest_vectors, op11_licence_scan, op12_collocations, op13_lexical_search, near_vectors_planted, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -222,6 +229,11 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 """
 
 
+PLANTED_SQL = OP2_SQL.replace("WITH RECURSIVE v AS", """WITH RECURSIVE planted AS (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings
+  UNION ALL SELECT vec_id + 1000000000, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE + 0.02::DOUBLE * ((i * 7 + vec_id) % 5 - 2)) FROM embeddings),
+v AS""").replace("FROM embeddings\n  WHERE len", "FROM planted\n  WHERE len").replace("FROM embeddings LEFT JOIN", "FROM planted LEFT JOIN")
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express on whole tables."""
-    return {"op1_mix_sources": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_licence_scan": licence_sql(), "op12_collocations": OP12_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "near_vectors_planted": PLANTED_SQL, "op5_substring_dedup": OP5_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_licence_scan": licence_sql(), "op12_collocations": OP12_SQL, "op13_lexical_search": OP13_SQL}

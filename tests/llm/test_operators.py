@@ -633,3 +633,34 @@ def test_nearest_of_clusters_looks_at_few_and_keeps_lengths_apart(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:300])] + odd, "vec_id long, embedding array<double>")
     got = nearest.nearest(df, df.where("vec_id >= 10000"), per_cell=64).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(10000, 1, 10001, 16.0), (10001, 1, 10000, 16.0), (10003, 1, 10004, -7.0), (10004, 1, 10003, -7.0)]
+
+
+def test_vectors_that_stand_alone_find_their_neighbours(spark):
+    """Clusters and isolated vectors: the mean recall must not be bought from the isolated ones."""
+    rng = np.random.default_rng(12)
+    v = np.vstack([rng.normal(size=(60, 24))[rng.integers(0, 60, 2400)] + 0.15 * rng.normal(size=(2400, 24)), rng.normal(size=(300, 24))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = v[rng.permutation(len(v))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nearest.nearest(df, df.where("vec_id % 10 = 0"), k=20, per_cell=256).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    asked = np.arange(0, len(v), 10)
+    products = v[asked] @ v.T
+    products[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-products, axis=1)[:, :20]
+    found = np.array([len(got[q] & set(n.tolist())) / 20 for q, n in zip(asked.tolist(), near, strict=True)])
+    sparse = np.argsort(np.sort(products, axis=1)[:, -20])[: len(asked) // 10]
+    assert found.mean() >= 0.9 and found[sparse].mean() >= 0.8
+
+
+@pytest.mark.parametrize("low,high,n,most", [(300, 400, 20_000, 7_534), (250, 520, 50_000, 20_100), (200, 300, 20_000, 5_000)])
+def test_pieces_of_much_the_same_length(low, high, n, most):
+    """Where the number to a sequence matters: at most what a plain rule (largest, smallest and best third; the rest in pairs) needs."""
+    counts = np.bincount(np.random.default_rng(1).integers(low, high, n), minlength=1025)
+    found = packing.plan(counts, 1024)
+    used = np.zeros_like(counts)
+    for lengths, k in found:
+        assert sum(lengths) <= 1024
+        np.add.at(used, list(lengths), k)
+    assert (used == counts).all() and packing.lower_bound(counts, 1024) <= sum(k for _, k in found) <= most
