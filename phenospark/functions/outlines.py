@@ -13,15 +13,66 @@ def points(coords: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p["x"] for p in coords], dtype=float), np.array([p["y"] for p in coords], dtype=float)
 
 
-def farthest_pair(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-    """Indices (first, second) of the pair farthest apart; of equal ones that with the smallest second, then first."""
-    best, pair = -1.0, (0, 0)
-    for lo in range(0, len(x), 512):  # blocks of rows keep the distances of long outlines small
-        d = (x[lo : lo + 512, None] - x) ** 2 + (y[lo : lo + 512, None] - y) ** 2
-        i = int(d.argmax())
-        if d.flat[i] > best:
-            best, pair = float(d.flat[i]), (i % len(x), lo + i // len(x))
-    return pair
+def farthest_pair(x: np.ndarray, y: np.ndarray, few: int = 256) -> tuple[int, int]:
+    """Indices (first, second) of the pair farthest apart; of equal ones that with the smallest second, then first.
+
+    Only corners of the convex hull can be farthest apart. Up to `few` points all pairs are compared; beyond, those of the hull
+    that rotating calipers meet, so that a long outline takes n log n steps.
+    """
+    if len(x) <= few:
+        d = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+        second, first = divmod(int(d.argmax()), len(x))
+        return first, second
+    h = hull(x, y)
+    pairs = antipodal(x[h], y[h])
+    p, q = h[pairs[:, 0]], h[pairs[:, 1]]
+    d = (x[p] - x[q]) ** 2 + (y[p] - y[q]) ** 2
+    best = d == d.max()
+    second, first = min((int(min(a, b)), int(max(a, b))) for a, b in zip(p[best], q[best], strict=True))
+    return first, second
+
+
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the corners of the convex hull, counter-clockwise; of equal points the first (Andrew's monotone chain)."""
+    order = np.lexsort((np.arange(len(x)), y, x))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
+    order = order[new]
+    px, py = x[order].tolist(), y[order].tolist()
+
+    def half(numbers: range) -> list[int]:
+        out: list[int] = []
+        for i in numbers:
+            while len(out) > 1 and (px[out[-1]] - px[out[-2]]) * (py[i] - py[out[-2]]) - (py[out[-1]] - py[out[-2]]) * (px[i] - px[out[-2]]) <= 0:
+                out.pop()
+            out.append(i)
+        return out
+
+    n = len(order)
+    lower, upper = half(range(n)), half(range(n - 1, -1, -1))
+    return order[np.array([*lower[:-1], *upper[:-1]] or [0])]
+
+
+def antipodal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs of corners of a convex polygon (counter-clockwise) among which are all farthest ones, by rotating calipers."""
+    n = len(x)
+    if n < 3:
+        return np.array([[0, n - 1]])
+    px, py, out, j = x.tolist(), y.tolist(), [], 1
+    for i in range(n):
+        k = (i + 1) % n
+        dx, dy = px[k] - px[i], py[k] - py[i]
+        while True:
+            m = (j + 1) % n
+            turn = dx * (py[m] - py[j]) - dy * (px[m] - px[j])
+            if turn < 0:
+                break
+            out += [(i, m), (k, m)]  # where the next side is parallel its end is as far, too
+            if turn == 0:
+                break
+            j = m
+        out += [(i, j), (k, j)]
+    return np.array(out)
 
 
 def extents(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None]:

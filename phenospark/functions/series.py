@@ -5,12 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def filled(frames: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A row for every frame from the first to the last, linear between observed ones."""
-    t = np.arange(frames[0], frames[-1] + 1)
-    right = np.clip(np.searchsorted(frames, t, side="left"), 1, max(1, len(frames) - 1))
+def on_line(frames: np.ndarray, values: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Values at frames t between the first and the last, linear between observed ones."""
     if len(frames) == 1:
-        return values.copy()
+        return np.repeat(values, len(t), axis=0)
+    right = np.clip(np.searchsorted(frames, t, side="left"), 1, len(frames) - 1)
     a, b = frames[right - 1], frames[right]
     share = ((t - a) / (b - a))[:, None]
     return values[right - 1] + share * (values[right] - values[right - 1])
@@ -34,18 +33,31 @@ def variables(frames: np.ndarray, values: np.ndarray, levels: int, tap: float) -
     """(statistics, features), in the order mean, std, skew, asc, des, max, then asc, des, max of each level."""
     none = np.full(values.shape[1], np.nan)
     std = values.std(axis=0, ddof=1) if len(values) > 1 else none
-    whole = filled(frames, values)
-    asc, des = rises(np.diff(whole, axis=0), len(whole)) if len(whole) > 1 else (none, none)
+    span = int(frames[-1] - frames[0]) + 1
+    asc, des = rises(np.diff(values, axis=0), span) if len(values) > 1 else (none, none)
     out = [values.mean(axis=0), std, skewness(values), asc, des, values.max(axis=0)]
+    # blocks whole on the line between two rows are counted, the others are made
+    width, k = 2**levels, frames - frames[0]
+    begins, ends = k // width, np.append(k[1:] - 1, k[-1]) // width
+    between = np.maximum(ends - begins - 1, 0)[:-1]
+    slope = np.diff(values, axis=0)[between > 0] / np.diff(k)[between > 0, None]
+    between = between[between > 0]
+    t = (np.unique(np.concatenate([begins, ends]))[:, None] * width + np.arange(width)).ravel()
+    whole = np.where((t < span)[:, None], on_line(frames, values, np.minimum(t, span - 1) + frames[0]), np.nan)
     for level in range(1, levels + 1):
-        half = 2 ** (level - 1)
-        n = len(whole) // (2 * half)
+        half, scale = 2 ** (level - 1), tap * (tap / 2**0.5) ** (level - 1)
+        halves = whole.reshape(-1, 2, half, values.shape[1]).sum(axis=2)
+        d = scale * (halves[:, 0] - halves[:, 1])
+        d = d[~np.isnan(d).any(axis=1)]
+        many = between * (width // (2 * half))
+        n = len(d) + int(many.sum())
         if n < 2:
             out += [none, none, none]
             continue
-        halves = whole[: n * 2 * half].reshape(n, 2, half, -1).sum(axis=2)
-        d = tap * (tap / 2**0.5) ** (level - 1) * (halves[:, 0] - halves[:, 1])
-        out += [*rises(d, n), d.max(axis=0)]
+        same = -scale * half * half * slope
+        more = [np.where(keep, same * many[:, None], 0).sum(axis=0) / n for keep in (same > 0, same <= 0)]
+        asc, des = rises(d, n)
+        out += [asc + more[0], des + more[1], np.concatenate([d, same]).max(axis=0)]
     return np.array(out)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crops import HARALICK
-from ..operators import classify, cluster, density, features, motion, segmentation, separation, shape, texture, timeseries, tracks, viewer
+from ..operators import classify, cluster, density, features, motion, segmentation, separation, shape, texture, timeseries, tracks, trees, viewer
 from ..operators.timeseries import LEVELS, STATS, TAP
+from ..operators.lineage import shared_folder
+from ..sources import files, tracking
 from . import stand_ins as data
 
 FLAGSHIP = "cell_variables"
@@ -53,7 +56,7 @@ LONG = f"""{data.EVENT_TRACKS}, long AS (SELECT * FROM (SELECT *, count(*) OVER
 
 
 def long_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.keep_long_tracks(tracks.by_track(data.event_tracks(spark, sf_dir)), MIN_FRAMES)
+    return tracks.keep_long_tracks(data.event_tracks(spark, sf_dir), MIN_FRAMES)
 
 
 @query(f"WITH {LONG} SELECT FrameID, CellID, FrameID || '-' || CellID AS ROI_filename, {R('Volume', 'Volume')}, {R('xpos', 'xpos')}, {R('ypos', 'ypos')} FROM long")
@@ -151,7 +154,7 @@ def cell_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SERIES}, {FILLED_SQL}, {LEVELS_SQL} SELECT CellID, feature, {', '.join(R(s, s) for s in WAVELET_STATS)} FROM (SELECT DISTINCT CellID, feature FROM series) {' '.join(f'LEFT JOIN l{n} USING (CellID, feature)' for n in range(1, LEVELS + 1))}")
 def cell_wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = timeseries.wavelets(timeseries.fill_gaps(_series(spark, sf_dir), ["CellID"]), ["CellID"])
+    out = timeseries.wavelets(_series(spark, sf_dir), ["CellID"])
     return rounded(out, *WAVELET_STATS)
 
 
@@ -364,6 +367,48 @@ def crop_mask_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, "Area", "A2B", "Rad", "VfC", "FOmean", "FOsd", "xpos", "ypos"), "FOskew", to=4)
 
 
+CROWD = CROPS.replace(
+    "painted AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings)",
+    f"painted AS (SELECT vec_id, e, CASE WHEN count(*) OVER f < {data.CROWD} THEN least(min(lo) OVER f, 0) ELSE min(lo) OVER f END AS lo, CASE WHEN count(*) OVER f < {data.CROWD} THEN greatest(max(hi) OVER f, 0) ELSE max(hi) OVER f END AS hi "
+    f"FROM (SELECT vec_id, embedding::DOUBLE[] AS e, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings) WINDOW f AS (PARTITION BY vec_id // {data.CROWD}))",
+) + f""", tracks AS (SELECT (vec_id // {data.CROWD})::INT AS FrameID, (vec_id % {data.CROWD})::INT AS CellID, area AS Area, area / (64 * 64) AS A2B, rad AS Rad, vfc AS VfC, mean AS FOmean, sd AS FOsd, skew AS FOskew,
+  cx + {data.TILE} * (vec_id % {data.CROWD} % {data.ROW}) AS xpos, cy + {data.TILE} * (vec_id % {data.CROWD} // {data.ROW}) AS ypos FROM filled JOIN round_ USING (vec_id)){MOVED.format(table="tracks", rate=0.5)},
+near AS (SELECT a.FrameID, a.CellID, sum(1 / sqrt((a.xpos - b.xpos) ** 2 + (a.ypos - b.ypos) ** 2)) AS d FROM tracks a JOIN tracks b ON a.FrameID = b.FrameID AND a.CellID <> b.CellID AND sqrt((a.xpos - b.xpos) ** 2 + (a.ypos - b.ypos) ** 2) < 6 * a.Rad GROUP BY ALL)"""
+CROWD_OUT = ["Dis", "Trac", "D2T", "Vel", "Rad", "VfC", "Area", "A2B", "FOmean", "FOsd", "xpos", "ypos", "dens"]
+
+
+@query(f"{CROWD} SELECT FrameID, CellID, {', '.join(R(c, c) for c in CROWD_OUT[:-1])}, {R('FOskew', 'FOskew', 4)}, {R('coalesce(d, 0)', 'dens')} FROM moved LEFT JOIN near USING (FrameID, CellID)")
+def crowd_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of twenty objects to a frame, followed from frame to frame: what SQL can follow of all of them."""
+    detections, outlines, frames = data.crowded_frames(spark, sf_dir)
+    out = features.extract_features(detections, outlines, frames, framerate=0.5)
+    return rounded(rounded(out.select("FrameID", "CellID", *CROWD_OUT, "FOskew"), *CROWD_OUT), "FOskew", to=4)
+
+
+# --- sources
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS ROI_filename, 64 AS n, i, x::INT AS x, y::INT AS y FROM (SELECT vec_id, i, round(40 + (20 + 10 * e[i + 1]) * cos(2 * pi() * i / 64)) AS x, round(40 + (20 + 10 * e[i + 1]) * sin(2 * pi() * i / 64)) AS y FROM (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(64)) AS i FROM embeddings))")
+def region_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines written as region files and read back, a row for each point."""
+    spark.dataSource.register(files.RegionFiles)
+    path = f"{shared_folder(spark)}/regions-{uuid.uuid4().hex}"
+    data.painted_frames(spark, sf_dir)[1].write.format("regions").mode("append").save(path)
+    back = spark.read.format("regions").load(path)
+    return back.select("ROI_filename", "n", F.posexplode("coords").alias("i", "p")).select("ROI_filename", "n", F.col("i").cast("long").alias("i"), "p.x", "p.y")
+
+
+@query(f"WITH {data.EVENT_TRACKS}, long AS (SELECT *, count(*) OVER (PARTITION BY CellID) AS n FROM tracks) SELECT FrameID, CellID::INT AS CellID, FrameID || '-' || CellID AS ROI_filename, {R('Volume', 'Volume')}, {R('Rad', 'Sphericity')} FROM long WHERE n >= {MIN_FRAMES}")
+def tracking_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event tracks written as tracking tables and read back, short tracks left out."""
+    spark.dataSource.register(files.PhaseFiles)
+    path = f"{shared_folder(spark)}/phase-{uuid.uuid4().hex}"
+    rows = data.event_tracks(spark, sf_dir).select("FrameID", F.col("CellID").cast("int").alias("CellID"), "ROI_filename", "Volume", F.col("Rad").alias("Sphericity"))
+    rows.write.format("phase").mode("append").save(path)
+    return rounded(tracking.read_phase(spark, f"{path}/part-*", MIN_FRAMES), "Volume", "Sphericity")
+
+
+# --- intensity dispersion, outlines
+
 IQ = """thresholds AS (SELECT vec_id, unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS t, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9], 1)::INT AS k FROM pixels GROUP BY vec_id),
 above AS (SELECT p.vec_id, k, x, y FROM pixels p JOIN thresholds USING (vec_id) WHERE v >= t),
 d AS (SELECT a.vec_id, a.k, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM above a JOIN above b ON a.vec_id = b.vec_id AND a.k = b.k AND (a.y, a.x) < (b.y, b.x))"""
@@ -399,16 +444,32 @@ def outline_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out.drop("coords", "Area"), "A2B", "Box", "Rect"), "Len", "Wid", to=4)
 
 
-@query(f"{CROPS} SELECT vec_id, r - l + 1 AS width, b - t + 1 AS height FROM box WHERE r - l + 1 >= 60 AND b - t + 1 >= 60")
+@query(f"{CROPS} SELECT vec_id, r - l + 1 AS width, b - t + 1 AS height FROM box WHERE r - l + 1 >= 45 AND b - t + 1 >= 45")
 def outline_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlines in whole pixels, moved into the image, that are at least 60 pixels wide and high."""
+    """Outlines in whole pixels, moved into the image, that are at least 45 pixels wide and high."""
     _, outlines, _ = data.painted_frames(spark, sf_dir)
-    large = tracks.large_enough(tracks.clamp(outlines), 60)
+    large = tracks.large_enough(tracks.clamp(outlines), 45)
     extent = [(F.array_max(F.col("coords")[a]) - F.array_min(F.col("coords")[a]) + 1).alias(n) for a, n in (("x", "width"), ("y", "height"))]
     return large.select(F.col("ROI_filename").cast("long").alias("vec_id"), *extent)
 
 
-@query()
+POLYGON = f"""WITH RECURSIVE {data.OUTLINES}, o AS (SELECT vec_id, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys FROM points GROUP BY vec_id),
+f AS (SELECT vec_id, list_position(d, list_max(d)) - 1 AS far FROM (SELECT vec_id, list_transform(range(1, 65), lambda i: (xs[i] - xs[1]) ** 2 + (ys[i] - ys[1]) ** 2) AS d FROM o)),
+sides AS (SELECT vec_id, 0::BIGINT AS a, far::BIGINT AS b, far::BIGINT AS stop FROM f UNION ALL SELECT vec_id, far, 0, 63 FROM f),
+parts AS (SELECT * FROM sides UNION ALL
+  SELECT vec_id, CASE WHEN second THEN s ELSE a END, CASE WHEN second THEN b ELSE s END, CASE WHEN second THEN stop ELSE s END FROM (
+    SELECT vec_id, a, b, stop, a + list_position(d, list_max(d)) AS s FROM (
+      SELECT q.vec_id, a, b, stop, list_transform(range(a + 2, CASE WHEN b <> 0 THEN stop ELSE stop + 1 END + 1),
+        lambda i: abs((xs[b + 1] - xs[a + 1]) * (ys[i] - ys[a + 1]) - (ys[b + 1] - ys[a + 1]) * (xs[i] - xs[a + 1])) / sqrt((xs[b + 1] - xs[a + 1]) ** 2 + (ys[b + 1] - ys[a + 1]) ** 2)) AS d
+      FROM parts q JOIN o ON q.vec_id = o.vec_id WHERE stop - a > 4 AND (xs[b + 1] <> xs[a + 1] OR ys[b + 1] <> ys[a + 1])) WHERE list_max(d) > 2.5), (VALUES (false), (true)) t(second)),
+c AS (SELECT vec_id, a, xs[a + 1] AS x, ys[a + 1] AS y, row_number() OVER (PARTITION BY vec_id ORDER BY a) - 1 AS r, count(*) OVER (PARTITION BY vec_id) AS n FROM (SELECT DISTINCT vec_id, a FROM parts) JOIN o USING (vec_id)),
+three AS (SELECT p.vec_id, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 AS a2, (q.x - s.x) ** 2 + (q.y - s.y) ** 2 AS b2, (p.x - s.x) ** 2 + (p.y - s.y) ** 2 AS c2
+  FROM c p JOIN c q ON p.vec_id = q.vec_id AND q.r = (p.r + 1) % p.n JOIN c s ON p.vec_id = s.vec_id AND s.r = (p.r + 2) % p.n),
+angles AS (SELECT vec_id, sqrt(a2) AS side, CASE WHEN abs(t - 1) > 0.001 THEN acos(greatest(-1, least(1, t))) ELSE 2 * pi() END AS angle FROM (SELECT *, (a2 + b2 - c2) / (2 * sqrt(a2 * b2)) AS t FROM three))
+SELECT vec_id, {R('max(side)', 'poly1')}, {R('min(angle)', 'poly2')}, {R('var_samp(angle)', 'poly3')}, {R('var_samp(side)', 'poly4')} FROM angles GROUP BY vec_id"""
+
+
+@query(POLYGON)
 def outline_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shape.polygon(data.outlines(spark, sf_dir)).drop("coords")
     return rounded(out, "poly1", "poly2", "poly3", "poly4")
@@ -431,6 +492,26 @@ def seg_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.undersample(correct, errors.count(), draw=1)
 
 
+FIRST_SPLIT = """WITH rows AS (SELECT n_chars::DOUBLE AS a, coalesce(len(regexp_extract_all(text, '[0-9]')), 0)::DOUBLE AS b, (quality = 0)::INT AS y FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
+v AS (SELECT 0 AS tree, 0 AS feature, a AS value, y FROM rows UNION ALL SELECT 1, 1, b, y FROM rows UNION ALL SELECT 2, 0, a, y FROM rows UNION ALL SELECT 2, 1, b, y FROM rows),
+c AS (SELECT tree, feature, value, count(*) AS n, sum(y) AS o FROM v WHERE value IS NOT NULL GROUP BY ALL),
+p AS (SELECT tree, feature, value, lead(value) OVER w AS next, sum(n) OVER w AS nl, sum(o) OVER w AS ol, sum(n) OVER (PARTITION BY tree, feature) AS na, sum(o) OVER (PARTITION BY tree, feature) AS oa FROM c WINDOW w AS (PARTITION BY tree, feature ORDER BY value)),
+s AS (SELECT *, na - nl AS nr, oa - ol AS or_ FROM p WHERE next IS NOT NULL AND nl >= 5 AND na - nl >= 5),
+g AS (SELECT *, -2 * (""" + " - ".join("({})".format(" + ".join(f"CASE WHEN {k} > 0 THEN {k} * ln({k}::DOUBLE / {n}) ELSE 0 END" for k in (o, f"({n} - {o})"))) for n, o in (("na", "oa"), ("nl", "ol"), ("nr", "or_"))) + f""") AS gain FROM s)
+SELECT tree, feature, {R('gain', 'gain')}, {R('value / 2 + next / 2', 'at')}, nl::BIGINT AS n_left, ol::BIGINT AS ones_left, nr::BIGINT AS n_right, or_::BIGINT AS ones_right FROM g WHERE round(gain, 9) > 0 QUALIFY row_number() OVER (PARTITION BY tree ORDER BY round(gain, 9) DESC, feature, value) = 1"""
+
+
+@query(FIRST_SPLIT)
+def seg_first_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of trees on the judged documents: by one feature, by the other, and by both."""
+    errors, correct, _ = data.judged_documents(spark, sf_dir)
+    rows = errors.withColumn("y", F.lit(1)).unionByName(correct.withColumn("y", F.lit(0))).withColumn("w", F.lit(1))
+    a, b, none = F.col("n_chars"), F.col("n_digits"), F.lit(None).cast("double")
+    each = [rows.select(F.lit(t).alias("tree"), "y", "w", p.alias("a"), q.alias("b")) for t, (p, q) in enumerate(((a, none), (none, b), (a, b)))]
+    found = trees.best_splits(trees.prepared(each[0].unionByName(each[1]).unionByName(each[2]), ["a", "b"]), 5)
+    return rounded(found.select("tree", "feature", "gain", "at", "n_left", "ones_left", "n_right", "ones_right"), "gain", "at")
+
+
 @query()
 def seg_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.segmentation_errors(*data.judged_documents(spark, sf_dir), "doc_id", trees=5)

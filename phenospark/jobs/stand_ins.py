@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,41 @@ def painted_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return detections, shapes, frames
 
 
+#: Objects of a crowded frame stand in tiles of 96 x 96 pixels, five in a row.
+CROWD, TILE, ROW = 20, 96, 5
+
+
+def crowded_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(detections, outlines, frames): twenty embeddings to a frame, each with its outline in a tile that its components paint;
+    tiles without one are 0. An object is followed through the frames by its tile."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / CROWD).cast("int").alias("FrameID"), (F.col("vec_id") % CROWD).cast("int").alias("CellID"))
+    left = {"x": (F.col("CellID") % ROW) * TILE, "y": F.floor(F.col("CellID") / ROW) * TILE}
+    turn = {"x": F.cos, "y": F.sin}
+
+    def point(c, i):
+        return F.struct(*[(F.round(40 + (20 + 10 * c.cast("double")) * turn[a](2 * F.pi() * i / 64)) + left[a]).cast("int").alias(a) for a in "xy"])
+
+    detections = e.select("FrameID", "CellID", F.col("vec_id").cast("string").alias("ROI_filename"))
+    shapes = e.select(F.col("vec_id").cast("string").alias("ROI_filename"), F.transform("embedding", point).alias("coords"))
+    rows = -(-CROWD // ROW)
+
+    @F.pandas_udf("array<double>")
+    def paint(tiles: pd.Series) -> pd.Series:
+        y, x = np.mgrid[:TILE, :TILE]
+        number, out = ((y * TILE + x) * 7 + y) % 64, []
+        for each in tiles:
+            image = np.zeros((rows * TILE, ROW * TILE))
+            for t in each:
+                i, j = divmod(t["CellID"], ROW)
+                image[i * TILE : (i + 1) * TILE, j * TILE : (j + 1) * TILE] = np.asarray(t["embedding"], dtype=float)[number]
+            out.append(image.ravel())
+        return pd.Series(out)
+
+    grouped = e.groupBy("FrameID").agg(F.collect_list(F.struct("CellID", "embedding")).alias("tiles"))
+    frames = grouped.select(F.col("FrameID").alias("frame_id"), F.lit(rows * TILE).alias("height"), F.lit(ROW * TILE).alias("width"), paint("tiles").alias("pixels"))
+    return detections, shapes, frames
+
+
 TEXT_FEATURES = ("n_chars", "n_words", "n_upper", "n_lines", "n_digits")
 
 

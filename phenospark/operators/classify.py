@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import written
 from .separation import union_labelled, zscore
 
 
@@ -73,42 +76,73 @@ def _named(prediction: str, names: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), F.col(prediction).cast("int") + 1)
 
 
-def random_forest(train: DataFrame, test: DataFrame, label: str, features: list[str], trees: int = 200, tried: int = 5, seed: int = 1) -> DataFrame:
+def random_forest(train: DataFrame, test: DataFrame, label: str, features: list[str], trees: int = 200, tried: int = 5, seed: int = 1, leaves: int = 5000) -> DataFrame:
     """`test` with RF: a forest of `trees`, each split tries `tried` features; trees grow to the end, or to Spark's limit of
-    30 levels."""
+    30 levels. The forest is gathered on the driver, so beyond `leaves` rows a leaf holds a share of them: a tree has at most
+    `leaves` leaves, however many rows there are."""
     numbered, names = _numbered(train, label)
+    least = max(1, -(-numbered.count() // leaves))
     assemble = VectorAssembler(inputCols=features, outputCol="__v")
-    model = RandomForestClassifier(labelCol="__y", featuresCol="__v", predictionCol="__p", numTrees=trees, maxDepth=30, minInstancesPerNode=1, featureSubsetStrategy=str(min(tried, len(features))), seed=seed).fit(assemble.transform(numbered))
+    model = RandomForestClassifier(labelCol="__y", featuresCol="__v", predictionCol="__p", numTrees=trees, maxDepth=30, minInstancesPerNode=least, featureSubsetStrategy=str(min(tried, len(features))), seed=seed).fit(assemble.transform(numbered))
     return model.transform(assemble.transform(test)).withColumn("RF", _named("__p", names)).drop("__v", "__p", "rawPrediction", "probability")
 
 
-def rbf_svm(train: DataFrame, test: DataFrame, label: str, features: list[str], components: int = 256, cost: float = 1.0, seed: int = 1) -> DataFrame:
-    """`test` with SVM: a radial kernel of width 1 / features by random Fourier features (Rahimi and Recht 2007), then a linear
-    machine. Two classes."""
+def landmarks(v: np.ndarray, gamma: float, most: int, least: float = 1e-8) -> np.ndarray:
+    """Numbers of at most `most` rows that span the others best under a radial kernel: each the one that those before it leave
+    most of (pivoted Cholesky), until none is left more than `least` of."""
+    left, out, span = np.ones(len(v)), [], np.zeros((len(v), 0))
+    while len(out) < most and len(out) < len(v):
+        p = int(left.argmax())
+        if left[p] <= least:
+            break
+        column = np.exp(-gamma * ((v - v[p]) ** 2).sum(axis=1)) - span @ span[p]
+        span = np.column_stack([span, column / np.sqrt(left[p])])
+        left = np.maximum(left - span[:, -1] ** 2, 0)
+        out.append(p)
+    return np.array(out, dtype=int)
+
+
+def rbf_svm(train: DataFrame, test: DataFrame, label: str, features: list[str], components: int = 512, cost: float = 1.0, seed: int = 1) -> DataFrame:
+    """`test` with SVM: a support vector machine with a radial kernel of width 1 / features, on the span of at most `components`
+    landmarks (Williams and Seeger 2001), then a linear machine there. Two classes.
+
+    The landmarks come from a sample of at most 4 * components different training rows, those with the lowest hashes, and leave as
+    little as they can of each; all rows are used to fit. With at most `components` different rows the kernel is exact. A test
+    row with a null or NaN feature has no class.
+    """
     numbered, names = _numbered(train, label)
     if len(names) != 2:
         raise ValueError(f"two classes are needed, not {names}")
-    d = len(features)
-    draw = np.random.default_rng(seed)
-    along, shift = draw.normal(0, np.sqrt(2.0 / d), (d, components)), draw.uniform(0, 2 * np.pi, components)
+    gamma = 1.0 / len(features)
+    fine = [F.coalesce(~F.isnan(F.col(f).cast("double")), F.lit(False)) for f in features]
+    whole = reduce(Column.__and__, fine)
+    doubles = [F.col(f).cast("double").alias(f) for f in features]
+    picked = numbered.where(whole).select(*doubles).distinct().orderBy(F.xxhash64(*features, F.lit(seed)), *features).limit(4 * components).toArrow()
+    v = np.column_stack([picked.column(f).to_numpy() for f in features])
+    own = v[landmarks(v, gamma, components)]
+    values, vectors = np.linalg.eigh(np.exp(-gamma * np.maximum((own**2).sum(1)[:, None] + (own**2).sum(1)[None] - 2 * own @ own.T, 0)))
+    keep = values > 1e-10 * values.max()
+    onto = vectors[:, keep] / np.sqrt(values[keep])
 
     def lifted(df: DataFrame) -> DataFrame:
         rest = df.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                v = np.column_stack([b.column(rest.index(f)).to_numpy(zero_copy_only=False).astype(float) for f in features])
-                z = np.sqrt(2.0 / components) * np.cos(v @ along + shift)
+                x = np.nan_to_num(np.column_stack([b.column(rest.index(f)).to_numpy(zero_copy_only=False).astype(float) for f in features]))
+                far = np.maximum((x**2).sum(1)[:, None] + (own**2).sum(1)[None] - 2 * x @ own.T, 0)
+                z = np.exp(-gamma * far) @ onto
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(z), pa.list_(pa.float64()))], [*rest, "__z"])
 
         schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", __z array<double>"
-        from pyspark.ml.functions import array_to_vector
-
         return df.mapInArrow(run, schema).withColumn("__v", array_to_vector("__z")).drop("__z")
 
+    numbered = numbered.where(whole)
     rows = numbered.count()
-    model = LinearSVC(labelCol="__y", featuresCol="__v", predictionCol="__p", regParam=1.0 / (cost * max(1, rows)), maxIter=50, standardization=False).fit(lifted(numbered))
-    return model.transform(lifted(test)).withColumn("SVM", _named("__p", names)).drop("__v", "__p", "rawPrediction")
+    # standardised inside, which conditions the steps; the penalty is on the weights as they are
+    model = LinearSVC(labelCol="__y", featuresCol="__v", predictionCol="__p", regParam=1.0 / (cost * max(1, rows)), maxIter=120, tol=1e-7, standardization=False).fit(lifted(numbered))
+    out = model.transform(lifted(test.withColumn("__fine", whole)))
+    return out.withColumn("SVM", F.when(F.col("__fine"), _named("__p", names))).drop("__v", "__p", "__fine", "rawPrediction")
 
 
 def majority(df: DataFrame, one: str, other: str, models: tuple[str, ...] = ("LDA", "RF", "SVM")) -> DataFrame:
@@ -120,6 +154,6 @@ def majority(df: DataFrame, one: str, other: str, models: tuple[str, ...] = ("LD
 def classify(train: DataFrame, test: DataFrame, label: str, features: list[str], one: str, other: str, trees: int = 200) -> DataFrame:
     """`test`'s columns that aren't features, with LDA, RF, SVM and Ensemble."""
     a, b, kept = scaled_together(train, test, features)
-    a, b = a.persist(), b.drop(label)
+    a, b = written(a), b.drop(label)
     out = rbf_svm(a, random_forest(a, lda(a, b, label, kept), label, kept, trees), label, kept)
     return majority(out, one, other).drop(*kept)

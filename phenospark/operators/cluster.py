@@ -1,69 +1,137 @@
-"""Clusters within a population: Ward's minimum variance method on scaled features."""
+"""Clusters within a population: Ward's minimum variance method on scaled features, exact at every size.
+
+Ward's criterion is reducible: joining two clusters never brings their union nearer to a third than both were. So all pairs
+of clusters that are each other's nearest can be joined at once, and the joins of all rounds, in the order of their costs, are
+those of the method that joins one pair at a time. A round is a search for nearest neighbours, by the clusters whose
+nearest is gone, and a join.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import forget, written
+from .neighbours import factor, nearest, squared
 from .separation import zscore
 
+MERGES = "node long, parent long, height double, round int"
+
 
 def ward(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """Cluster numbers 1..k of weighted points, by order of each cluster's first point. Of equally cheap merges the
     first pair is taken."""
+    owner = np.arange(len(points))
+    for i, j, _ in agglomerate(points, weights, k):
+        owner[owner == j] = i
+    first = {}
+    return np.array([first.setdefault(o, len(first) + 1) for o in owner])
+
+
+def agglomerate(points: np.ndarray, weights: np.ndarray, k: int = 1) -> list[tuple[int, int, float]]:
+    """(i, j, cost) of each merge down to k clusters: j becomes part of i."""
     n = len(points)
-    owner, centre, weight = np.arange(n), points.astype(float).copy(), weights.astype(float).copy()
+    centre, weight = points.astype(float).copy(), weights.astype(float).copy()
     alive = np.ones(n, dtype=bool)
-    cost = _cost(centre, weight, centre, weight)
+    cost = squared(centre, centre) * factor(weight[:, None], weight[None])
     np.fill_diagonal(cost, np.inf)
+    out = []
     for _ in range(max(0, n - k)):
         i, j = divmod(int(cost.argmin()), n)
         i, j = min(i, j), max(i, j)
-        total = weight[i] + weight[j]
-        centre[i] = (weight[i] * centre[i] + weight[j] * centre[j]) / total
-        weight[i], alive[j] = total, False
-        owner[owner == j] = i
-        row = np.where(alive, _cost(centre[i : i + 1], weight[i : i + 1], centre, weight)[0], np.inf)
+        out.append((i, j, float(cost[i, j])))
+        centre[i] = (weight[i] * centre[i] + weight[j] * centre[j]) / (weight[i] + weight[j])
+        weight[i], alive[j] = weight[i] + weight[j], False
+        row = np.where(alive, (squared(centre[i : i + 1], centre) * factor(weight[i], weight)[None])[0], np.inf)
         row[i] = np.inf
         cost[i], cost[:, i], cost[j], cost[:, j] = row, row, np.inf, np.inf
-    first = {}
-    return np.array([first.setdefault(o, len(first) + 1) for o in owner])
+    return out
 
 
-def _cost(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> np.ndarray:
-    d = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * a @ b.T
-    return np.maximum(d, 0) * wa[:, None] * wb[None] / (wa[:, None] + wb[None])
+def ward_merges(points: DataFrame, width: int, few: int = 1024, **search: int) -> list[DataFrame]:
+    """MERGES, a table for each round: every merge as two rows, its two nodes with their parent and its height.
 
-
-def heterogeneous_clusters(df: DataFrame, id_column: str, k: int, features: list[str] | None = None, exact: int = 1500, micro: int = 400, seed: int = 1) -> DataFrame:
-    """(id, cluster) for each row; clusters are numbered from 1.
-
-    Up to `exact` rows (counted first) one task agglomerates them all. Beyond, k-means makes `micro` small clusters, their
-    centres are agglomerated with their sizes as weights, and rows follow their centre: not exact, but bounded by `micro`
-    however many rows there are.
+    points: node long, v array<double>, w double; different nodes at different places. Rounds go on while there are more than
+    `few` clusters; the last `few` are agglomerated in one task, however many rows there were. A height is at least those
+    of the merges below it. Ties go to the smaller node.
+    """
+    state = written(points.select("node", "v", F.col("w").cast("double").alias("w"), F.lit(0.0).alias("h"), F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("cost")))
+    merges, rounds = [], 0
+    while state.count() > few:
+        asking = state.select(F.col("node").alias("id"), "v", "w", F.col("nn").isNull().alias("asks"))
+        found = nearest(asking, width, weighted=True, **search).where("id is not null").select(F.col("id").alias("node"), F.col("other").alias("__nn"), F.col("cost").alias("__cost"))
+        first, state = state, written(state.join(found, "node", "left").select("node", "v", "w", "h", F.coalesce("nn", "__nn").alias("nn"), F.coalesce("cost", "__cost").alias("cost")))
+        other = state.select(F.col("node").alias("nn"), F.col("nn").alias("back"), F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("h").alias("h2"))
+        pairs = state.join(other, "nn").where("back = node and node < nn")
+        total = F.col("w") + F.col("w2")
+        centre = F.zip_with("v", "v2", lambda a, b: (a * F.col("w") + b * F.col("w2")) / total)
+        parent = F.xxhash64("node", "nn", F.lit(rounds))
+        pairs = written(pairs.select("node", "nn", parent.alias("parent"), centre.alias("v"), total.alias("w"), F.greatest("cost", "h", "h2").alias("height")))
+        joined = pairs.select(F.explode(F.array("node", "nn")).alias("node"), "parent", "height", F.lit(rounds).alias("round"))
+        merges.append(joined)
+        gone = joined.select("node")
+        stay = state.join(gone, "node", "left_anti")
+        lost = stay.join(gone.withColumnRenamed("node", "nn"), "nn", "left_semi").select("node").withColumn("__lost", F.lit(True))
+        stay = stay.join(lost, "node", "left").select("node", "v", "w", "h", *[F.when(F.col("__lost").isNull(), F.col(c)).alias(c) for c in ("nn", "cost")])
+        born = pairs.select(F.col("parent").alias("node"), "v", "w", F.col("height").alias("h"), F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("cost"))
+        before, state = state, written(stay.unionByName(born))
+        for old in (first, before):
+            forget(old)
+        rounds += 1
+
+    def finish(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        now, h = t.column("node").to_numpy().copy(), t.column("h").to_numpy().copy()
+        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, width)
+        rows = []
+        for n, (i, j, cost) in enumerate(agglomerate(v, t.column("w").to_numpy())):
+            h[i] = max(cost, h[i], h[j])
+            # small numbers, which hashes of 64 bits aren't
+            rows += [(x, n, h[i], rounds + n) for x in (int(now[i]), int(now[j]))]
+            now[i] = n
+        return pa.table([pa.array(list(c), x) for c, x in zip(list(zip(*rows, strict=True)) or [()] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], ["node", "parent", "height", "round"])
+
+    last = state.select("node", "v", "w", "h").groupBy(F.lit(0).alias("__last")).applyInArrow(finish, MERGES)
+    return [*merges, written(last)]
+
+
+def heterogeneous_clusters(df: DataFrame, id_column: str, k: int, features: list[str] | None = None, few: int = 1024, **search: int) -> DataFrame:
+    """(id, cluster) for each row; clusters are numbered from 1, in the order of each cluster's smallest id.
+
+    Ward's method exactly, whatever the number of rows: equal rows are one point with their count as weight, and merges come
+    in rounds of ward_merges(). With at most k different rows each is a cluster. Rows with a null or a value that isn't
+    finite in a feature that varies have a null cluster. An empty table gives no rows.
     """
     features = features or [c for c, t in df.dtypes if c != id_column and t in ("int", "bigint", "float", "double")]
     rows = zscore(df.select(id_column, *[F.col(f).cast("double").alias(f) for f in features]), features)
     kept = [c for c in features if c in rows.columns]
-    kind = dict(rows.dtypes)[id_column]
-    if df.count() <= exact:
-
-        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(id_column, kind="stable")
-            return pd.DataFrame({id_column: pdf[id_column], "cluster": ward(pdf[kept].to_numpy(), np.ones(len(pdf)), k)})
-
-        return rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(cut, f"`{id_column}` {kind}, cluster int")
-    vectors = VectorAssembler(inputCols=kept, outputCol="__v").transform(rows).select(id_column, "__v")
-    model = KMeans(featuresCol="__v", predictionCol="__m", k=micro, seed=seed, maxIter=10).fit(vectors)
-    sizes = model.summary.clusterSizes
-    number = ward(np.array(model.clusterCenters()), np.maximum(np.array(sizes), 1), k)
-    follow = F.element_at(F.array(*[F.lit(int(c)) for c in number]), F.col("__m") + 1)
-    return model.transform(vectors).select(id_column, follow.alias("cluster"))
+    v = F.array(*[F.col(f) + 0.0 for f in kept]) if kept else F.array(F.lit(0.0))  # -0.0 becomes 0.0
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = rows.select(id_column, v.alias("v"))
+    rows = written(rows.select(id_column, F.when(fine, F.col("v")).alias("v"), F.xxhash64("v").alias("node")))
+    points = written(rows.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("w"), F.first("node").alias("node")))
+    if points.groupBy("node").count().where("count > 1").take(1):
+        raise ValueError("two different rows have one hash")
+    merges = ward_merges(points, max(1, len(kept)), few, **search)
+    up = merges[0]
+    for more in merges[1:]:
+        up = up.unionByName(more)
+    # the k - 1 highest merges are undone; of equal heights the later ones, which are above the others
+    undone = up.select("parent", "height", "round").distinct().orderBy(F.col("height").desc(), F.col("round").desc(), "parent").limit(k - 1).select("parent")
+    up = written(up.join(undone, "parent", "left_anti").select("node", "parent"))
+    while True:  # to the parents' parents, until all stand at the top
+        above = up.select(F.col("node").alias("parent"), F.col("parent").alias("__top"))
+        before, up = up, written(up.join(above, "parent", "left").select("node", F.coalesce("__top", "parent").alias("parent"), F.col("__top").isNotNull().alias("moved")))
+        forget(before)
+        if not up.where("moved").take(1):
+            break
+    own = rows.join(up.select("node", "parent"), "node", "left").select(id_column, F.when(F.col("v").isNotNull(), F.coalesce("parent", "node")).alias("top"))
+    first = own.where("top is not null").groupBy("top").agg(F.min(id_column).alias("first"))  # k rows
+    number = first.select("top", F.row_number().over(W.orderBy("first", "top")).alias("cluster"))
+    return own.join(F.broadcast(number), "top", "left").select(id_column, "cluster")
 
 
 def cluster_members(clusters: DataFrame, id_column: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crops, outlines
-from ..functions.runs import bounds, runs_of_groups
+from ..functions.runs import runs_of_groups
 from .density import attach, local_density
 from .lineage import cut
 from .motion import movement
@@ -22,9 +22,10 @@ TEXTURE = ["FOmean", "FOsd", "FOskew", *[f"Cooc{m}{h}" for m in ("01", "12", "02
 MOVEMENT = ["Dis", "Trac", "D2T", "Vel"]
 
 
-def crop_features(image: np.ndarray | None, x: np.ndarray, y: np.ndarray, gap: int = 4) -> list[float | None]:
+def crop_features(image: np.ndarray | None, x: np.ndarray, y: np.ndarray, gap: int = 4, origin: tuple[int, int] = (0, 0), size: tuple[int, int] | None = None) -> list[float | None]:
     """SHAPE, TEXTURE, xpos and ypos of one outline in a normalised frame; TEXTURE is null without an image, and where the
-    outline reaches over its edge."""
+    outline reaches over its edge. image may be a part of the frame, which begins at origin (row, column) and holds the
+    outline; size is then that of the frame."""
     cx, cy = float(x.mean()), float(y.mean())
     left, top = int(x.min()), int(y.min())
     bx, by = (x - left).astype(int), (y - top).astype(int)
@@ -37,9 +38,10 @@ def crop_features(image: np.ndarray | None, x: np.ndarray, y: np.ndarray, gap: i
     length, wide = outlines.extents(x, y)
     area = float(inside.sum())
     shape = [away.mean(), away.var(ddof=1) if n > 1 else None, curv, length, wide, area, area / n**2, length * wide / area, max(length, wide) / (length + wide), *outlines.polygon_features(x, y)]
-    if image is None or top + height > image.shape[0] or left + width > image.shape[1]:
+    rows, columns = size or (image.shape if image is not None else (0, 0))
+    if image is None or top + height > rows or left + width > columns:
         return [*shape, *[None] * len(TEXTURE), cx, cy]
-    part = image[top : top + height, left : left + width]
+    part = image[top - origin[0] : top - origin[0] + height, left - origin[1] : left - origin[1] + width]
     v = part[inside]
     one = crops.halve(part, TAP)
     two = crops.enlarge(crops.halve(one, TAP), 4, part.shape)
@@ -51,33 +53,57 @@ def crop_features(image: np.ndarray | None, x: np.ndarray, y: np.ndarray, gap: i
     return [*shape, *texture, cx, cy]
 
 
-def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame, keys: list[str] | None = None, missing: str = "error", per_group: int = 256) -> DataFrame:
+def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame, keys: list[str] | None = None, missing: str = "error", per_group: int = 256, per_task: int = 1000, tile: int = 256) -> DataFrame:
     """keys, FrameID, SHAPE, TEXTURE, xpos, ypos for each detection with an outline of at least 8 x 8 pixels.
 
-    A frame's image goes once to its objects, not to each of them: images and outlines are dealt by frame and group of about
-    `per_group` outlines and meet there. So a crowded frame is shared by several tasks, and its image moved as often.
-    Each frame needs exactly one image, and each object in a frame exactly one outline name, or a ValueError fails the job;
-    with missing="null" a frame may lack its image. An outline that reaches over the image's edge, and a constant
+    Objects are grouped by the tile of the frame in which their box begins, about `per_group` to a group. Of a frame's image only
+    the part around a group's boxes goes to it; so what moves follows the area of the boxes, and a crowded frame is shared by
+    several tasks. Each frame needs exactly one image, and each object in a frame exactly one outline name, or the job
+    fails; with missing="null" a frame may lack its image. An outline that reaches over the image's edge, and a constant
     or missing image, give nulls in place of textures.
     """
     keys = keys or ["CellID"]
-    named = detections.select(*keys, "FrameID", "ROI_filename").distinct()
-    shapes = clamp(named.join(outlines_.select("ROI_filename", "coords"), "ROI_filename", "left")).select(*keys, "FrameID", "ROI_filename", "coords")
-    groups = shapes.groupBy("FrameID").agg(F.ceil(F.count(F.lit(1)) / float(per_group)).cast("int").alias("__n"))
-    shapes = shapes.join(groups, "FrameID").withColumn("__g", F.pmod(F.xxhash64(*keys), F.col("__n")).cast("int")).drop("__n")
-    images = frames.select(F.col("frame_id").alias("FrameID"), "height", "width", "pixels").join(groups, "FrameID")
-    images = images.withColumn("__g", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    named = detections.groupBy(*keys, "FrameID").agg(F.min("ROI_filename").alias("ROI_filename"), F.max("ROI_filename").alias("__other"))
+    fault = F.raise_error(F.concat(F.lit("an object in frame "), F.col("FrameID").cast("string"), F.lit(" has several outline names"))).cast("string")
+    named = named.withColumn("ROI_filename", F.when(F.col("ROI_filename") == F.col("__other"), F.col("ROI_filename")).when(F.col("ROI_filename").isNotNull(), fault)).drop("__other")
+    shapes = clamp(named.join(outlines_.select("ROI_filename", "coords"), "ROI_filename")).select(*keys, "FrameID", "ROI_filename", "coords").where("size(coords) > 0")
+    low = {a: F.floor(F.array_min(F.col("coords")[a])).cast("int") for a in "xy"}
+    high = {a: F.floor(F.array_max(F.col("coords")[a])).cast("int") for a in "xy"}
+    shapes = shapes.withColumns({"__tx": F.floor(low["x"] / tile).cast("int"), "__ty": F.floor(low["y"] / tile).cast("int")})
+    box = [F.min(low["x"]).alias("left"), F.min(low["y"]).alias("top"), F.max(high["x"]).alias("right"), F.max(high["y"]).alias("bottom")]
+    groups = shapes.groupBy("FrameID", "__tx", "__ty").agg(F.ceil(F.count(F.lit(1)) / float(per_group)).cast("int").alias("__n"), *box)
+    shapes = shapes.join(groups.select("FrameID", "__tx", "__ty", "__n"), ["FrameID", "__tx", "__ty"]).withColumn("__g", F.pmod(F.xxhash64(*keys), F.col("__n")).cast("int")).drop("__n")
+    parts_ = groups.groupBy("FrameID").agg(F.collect_list(F.struct("__tx", "__ty", "__n", "left", "top", "right", "bottom")).alias("parts"))  # as many as a frame has tiles
+    kind = dict(shapes.dtypes)["FrameID"]
+    images = frames.select(F.col("frame_id").cast(kind).alias("FrameID"), "height", "pixels").join(parts_, "FrameID")
+    fields = ["FrameID", "__tx", "__ty", "__g", "height", "width", "left", "top", "wide", "low", "high", "pixels"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                height = b.column("height")[i].as_py()
+                grid = b.column("pixels")[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(height, -1)
+                lo, hi = (float(grid.min()), float(grid.max())) if grid.size else (0.0, 0.0)
+                for p in b.column("parts")[i].as_py():
+                    own = grid[p["top"] : p["bottom"] + 1, p["left"] : p["right"] + 1]
+                    n = p["__n"]
+                    row = [p["__tx"], p["__ty"], None, height, grid.shape[1], p["left"], p["top"], own.shape[1], lo, hi, own.ravel()]
+                    types = [pa.int32()] * 8 + [pa.float64()] * 2 + [pa.list_(pa.float64())]
+                    columns = [pa.array(range(n), pa.int32()) if x is None else pa.array([x] * n, t) for x, t in zip(row, types, strict=True)]
+                    first = b.column("FrameID").take(pa.array([i] * n))
+                    yield pa.RecordBatch.from_arrays([first, *columns], fields)
+
+    images = images.mapInArrow(part, f"FrameID {kind}, __tx int, __ty int, __g int, height int, width int, `left` int, top int, wide int, low double, high double, pixels array<double>")
     both = images.withColumn("__kind", F.lit(0)).unionByName(shapes.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
-    # the number is given so that few bytes aren't put into few tasks: the work is in the arithmetic
-    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartition(parts, "FrameID", "__g").sortWithinPartitions("FrameID", "__g", "__kind", *keys, "ROI_filename")
+    # the number is given, as the work is in the arithmetic, not in the bytes: about per_task objects for each
+    tasks = max(frames.sparkSession.sparkContext.defaultParallelism, -(-detections.count() // per_task))
+    group = ["FrameID", "__tx", "__ty", "__g"]
+    both = both.repartition(tasks, *group).sortWithinPartitions(*group, "__kind", *keys)
     names = [*SHAPE, *TEXTURE, "xpos", "ypos"]
 
     def crop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in runs_of_groups(batches, ["FrameID", "__g"]):
+        for table, at in runs_of_groups(batches, group):
             kind, frame = (table.column(c).to_numpy() for c in ("__kind", "FrameID"))
-            same = np.zeros(table.num_rows, dtype=bool)
-            same[bounds(table, ["FrameID", "__kind", *keys])[:-1]] = True  # the first row of each object
             (px, py), ends = _points(table.column("coords").combine_chunks())
             pixels = table.column("pixels").combine_chunks()
             own, rows = [], []
@@ -87,18 +113,17 @@ def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame,
                     continue
                 if m - i > 1 or (m == i and missing != "null"):
                     raise ValueError(f"frame {frame[i]} has {m - i} images, not one")
-                if not same[m:j].all():
-                    raise ValueError(f"an object in frame {frame[i]} has several outline names")
-                grid = None
+                grid, origin, size = None, (0, 0), (0, 0)
                 if m > i:
-                    grid = pixels[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(table.column("height")[i].as_py(), -1)
-                    lo, hi = grid.min(), grid.max()
-                    grid = (grid - lo) * 255.0 / (hi - lo) if hi > lo else None
+                    height, width, left, top, wide, lo, hi = (table.column(c)[i].as_py() for c in ("height", "width", "left", "top", "wide", "low", "high"))
+                    origin, size = (top, left), (height, width)
+                    if hi > lo and wide:
+                        grid = (pixels[i].values.to_numpy(zero_copy_only=False).reshape(-1, wide) - lo) * 255.0 / (hi - lo)
                 for k in range(m, j):
                     x, y = px[ends[k] : ends[k + 1]], py[ends[k] : ends[k + 1]]
-                    if len(x) and min(np.ptp(x), np.ptp(y)) + 1 >= LEAST:
+                    if min(np.ptp(x), np.ptp(y)) + 1 >= LEAST:
                         own.append(k)
-                        rows.append(crop_features(grid, x, y))
+                        rows.append(crop_features(grid, x, y, origin=origin, size=size))
             if rows:
                 values = np.array(rows, dtype=float)  # None becomes NaN, and that a null
                 first = [table.column(c).combine_chunks().take(pa.array(own)) for c in (*keys, "FrameID")]

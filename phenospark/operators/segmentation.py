@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import written
+from .neighbours import nearest
 from .separation import union_labelled
+from .trees import grow, votes
 
 ERROR, CORRECT = "segerror", "correct"
 
@@ -26,55 +25,21 @@ def nearest_same_class(minority: DataFrame, features: list[str], k: int, most: i
     """__h, features, __n, and __near: each different row once, how many rows are equal to it, and the features of the k
     nearest other rows of one of them: its copies, then others by distance, ties by __id.
 
-    Exact at every size: blocks of at most about `most` different rows are compared with all blocks, each pair of blocks in
-    a task of its own, and the k best of all blocks kept. Distances that aren't numbers count as the largest.
+    Exact at every size, by nearest(): blocks of at most about `most` different rows, and of them only those that can hold
+    a nearer row than those found. Distances that aren't numbers count as the largest.
     """
     points = minority.groupBy(*features).agg(F.count(F.lit(1)).alias("__n")).withColumn("__h", F.xxhash64(*features)).withColumn("__id", F.xxhash64("__h", F.lit(1)))
-    points = points.persist()
-    different = points.count()
-    tables = max(1, -(-different // most))
-    asking = max(tables, min(16, -(-different // 1000)))  # small tables have few blocks, but tasks enough
-    block = [F.pmod("__h", F.lit(n)).cast("int") for n in (asking, tables)]
-    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (asking, tables)]
-    # under other names: the same columns on both sides of a cogroup are ambiguous
-    asked = [f"__v{i}" for i in range(len(features))]
-    asks = points.select(F.col("__id").alias("__q"), *[F.col(f).alias(v) for f, v in zip(features, asked, strict=True)], block[0].alias("__a"), every[1].alias("__b"))
-    held = points.select("__id", "__n", *features, block[1].alias("__b"), every[0].alias("__a"))
-
-    def matrix(t: pa.Table, names: list[str]) -> np.ndarray:
-        return np.column_stack([t.column(f).to_numpy().astype(float) for f in names])
-
-    def pair(asks: pa.Table, held: pa.Table) -> pa.Table:
-        held = held.sort_by("__id")
-        ids, own, v, table = held.column("__id").to_numpy(), asks.column("__q").to_numpy(), matrix(asks, asked), matrix(held, features)
-        found = []
-        step = max(1, 4_000_000 // max(1, len(ids)))
-        for lo in range(0, len(own) if len(ids) else 0, step):
-            d = np.zeros((len(own[lo : lo + step]), len(ids)))
-            for f in range(len(features)):
-                d += (v[lo : lo + step, f, None] - table[None, :, f]) ** 2
-            d = np.nan_to_num(d, copy=False, nan=np.finfo(float).max, posinf=np.finfo(float).max)
-            d[ids[None] == own[lo : lo + step, None]] = np.inf
-            border = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-            row, at = np.nonzero((d <= border[:, None]) & np.isfinite(d))
-            order = np.lexsort((at, d[row, at], row))
-            row, at = row[order], at[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            found.append((own[lo + row[keep]], d[row[keep], at[keep]], at[keep]))
-        one, far, at = (np.concatenate(c) if found else np.empty(0, t) for c, t in zip(list(zip(*found, strict=True)) or [()] * 3, (np.int64, float, np.int64), strict=True))
-        near = held.take(pa.array(at, pa.int64()))
-        of = pa.array(table[at].tolist(), pa.list_(pa.float64()))
-        return pa.table([pa.array(one, pa.int64()), pa.array(far, pa.float64()), near.column("__id"), near.column("__n"), of], ["__id", "__d", "__o", "__c", "__f"])
-
-    near = asks.groupBy("__a", "__b").cogroup(held.groupBy("__a", "__b")).applyInArrow(pair, "__id long, __d double, __o long, __c long, __f array<double>")
-    near = near.withColumn("__r", F.row_number().over(W.partitionBy("__id").orderBy("__d", "__o"))).where(F.col("__r") <= k)
+    points = written(points.withColumn("__v", F.array(*features)))
+    found = nearest(points.select(F.col("__id").alias("id"), F.col("__v").alias("v"), F.lit(1.0).alias("w"), F.lit(True).alias("asks")), len(features), k, most=most)
+    held = points.select(F.col("__id").alias("other"), F.col("__n").alias("__c"), F.col("__v").alias("__f"))
+    near = found.where("id is not null").select(F.col("id").alias("__id"), F.col("rank").alias("__r"), "other").join(held, "other")
     near = near.groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("__r", "__c", "__f"))).alias("__others"))
     others = F.coalesce(F.flatten(F.transform("__others", lambda o: F.array_repeat(o["__f"], F.least(o["__c"], F.lit(k)).cast("int")))), F.array().cast("array<array<double>>"))
     copies = F.array_repeat(F.array(*features), F.least(F.col("__n") - 1, F.lit(k)).cast("int"))
     return points.join(near, "__id", "left").select("__h", *features, "__n", F.slice(F.concat(copies, others), 1, k).alias("__near"))
 
 
-def oversample(minority: DataFrame, features: list[str], times: int = 1, k: int = 3, seed: int = 0, most: int = 20_000) -> DataFrame:
+def oversample(minority: DataFrame, features: list[str], times: int = 1, k: int = 3, seed: int = 0, most: int = 8192) -> DataFrame:
     """Synthetic rows between each row and one of its k nearest of the same class, `times` for each row.
 
     Neighbour and place are drawn by a hash of the row, so that the result doesn't depend on partitions. Equal rows are
@@ -138,35 +103,26 @@ def undersample(majority: DataFrame, n: int, draw: int, seed: int = 0) -> DataFr
     return drawn.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__w").cast("int")))).select(*majority.columns)
 
 
-def tree_votes(errors: DataFrame, correct: DataFrame, test: DataFrame, id_column: str = "CellID", trees: int = 10, times: int = 1, seed: int = 0, at_once: int = 4) -> DataFrame:
+def tree_votes(errors: DataFrame, correct: DataFrame, test: DataFrame, id_column: str = "CellID", trees: int = 10, times: int = 1, seed: int = 0, at_once: int = 4, **rule: float) -> DataFrame:
     """`test`'s id and votes: how many of the trees call the row an error. Each tree is fitted on the minority with its
-    synthetic rows and as many rows of the majority. The test rows are scored in one pass by all trees."""
+    synthetic rows and as many rows of the majority, all trees together by grow(), which takes `rule`. A test row without a
+    number for a feature has the vote of the node that asks for it; every row has a vote."""
     features = [c for c in errors.columns if c != id_column]
     few, many, small, large = training_set(errors, correct, id_column, times, seed)
-    few, many = folded(few).persist(), folded(many).persist()
+    few, many = written(folded(few)), written(folded(many))
     n, have = (t.agg(F.coalesce(F.sum("__w"), F.lit(0))).first()[0] for t in (few, many))
     if n > have:
         raise ValueError(f"cannot draw {n} of the {have} rows of the class {large!r} without replacement")
-    assemble = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="skip")
-
-    def fit(draw: int):
-        both = few.withColumn("__y", F.lit(float(small == ERROR))).unionByName(lowest(many, n, draw, seed).withColumn("__y", F.lit(float(large == ERROR))))
-        # as many partitions as the counted rows need, dealt by their values and sorted: the same tree in every run
-        parts = max(1, 2 * n // 100_000)
-        data = assemble.transform(both.repartition(parts, *features, "__y").sortWithinPartitions(*features, "__y"))
-        return DecisionTreeClassifier(impurity="entropy", labelCol="__y", weightCol="__w", featuresCol="__features", predictionCol=f"__p{draw}", rawPredictionCol=f"__r{draw}", probabilityCol=f"__q{draw}", seed=seed + draw).fit(data)
-
-    try:
-        with ThreadPoolExecutor(at_once) as pool:  # small fits: their latency overlaps
-            models = list(pool.map(fit, range(trees)))
-    finally:
-        few.unpersist()
-        many.unpersist()
-    out = assemble.transform(test.select(id_column, *[F.col(f).cast("double").alias(f) for f in features]))
-    for i, model in enumerate(models):
-        out = model.transform(out).drop(f"__r{i}", f"__q{i}")
-    votes = sum((F.col(f"__p{i}") for i in range(1, trees)), F.col("__p0"))
-    return out.select(id_column, votes.cast("int").alias("votes"))
+
+    def drawn(draw: int) -> DataFrame:
+        return lowest(many, n, draw, seed).select(*features, "__w", F.lit(int(large == ERROR)).alias("y"), F.lit(draw).alias("tree"))
+
+    with ThreadPoolExecutor(at_once) as pool:  # small jobs: their latency overlaps
+        rows = list(pool.map(drawn, range(trees)))
+    both = few.select(*features, "__w", F.lit(int(small == ERROR)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    for more in rows:
+        both = both.unionByName(more)
+    return votes(test, id_column, features, grow(both.withColumnRenamed("__w", "w"), features, **rule))
 
 
 def segmentation_errors(errors: DataFrame, correct: DataFrame, test: DataFrame, id_column: str = "CellID", trees: int = 10, proportion: float = 0.7, times: int = 1, seed: int = 0) -> DataFrame:

@@ -21,16 +21,19 @@ def separation_scores(df: DataFrame, group: str, one, two, features: list[str] |
 
     Within: the pooled sample variance; between: the groups' squared distances to the pooled mean, over the same degrees of
     freedom. A feature with a null in either group has no score, neither has one without variance within. Scores from
-    `threshold` up are kept. One pass with partial aggregation: what is shuffled is a row for each feature and task.
+    `threshold` up are kept. One pass with partial aggregation: what is shuffled is a row for each task.
     """
     features = features or [c for c, t in df.dtypes if c != group and t in ("int", "bigint", "float", "double")]
     both = df.where(F.col(group).isin(one, two)).select((F.col(group) == one).alias("__one"), *[F.col(c).cast("double").alias(c) for c in features])
-    long = both.unpivot(["__one"], features, "VarName", "value")
-    aggs = [F.count(F.lit(1)).alias("n"), F.count("value").alias("known")]
-    for k, mine in ((1, F.col("__one")), (2, ~F.col("__one"))):
-        v = F.when(mine, F.col("value"))
-        aggs += [F.count(v).alias(f"n{k}"), F.avg(v).alias(f"m{k}"), F.var_samp(v).alias(f"v{k}")]
-    stats = long.groupBy("VarName").agg(*aggs).where("n = known")
+    # an aggregate for each feature, of the two groups apart: rows aren't multiplied by the number of features
+    each = []
+    for c in features:
+        aggs = [F.count(F.lit(1)).alias("n"), F.count(c).alias("known")]
+        for k, mine in ((1, F.col("__one")), (2, ~F.col("__one"))):
+            v = F.when(mine, F.col(c))
+            aggs += [F.count(v).alias(f"n{k}"), F.avg(v).alias(f"m{k}"), F.var_samp(v).alias(f"v{k}")]
+        each.append(F.struct(F.lit(c).alias("VarName"), *aggs))
+    stats = both.agg(F.array(*each).alias("all")).select(F.inline("all")).where("n = known")
     freedom = "(n1 + n2 - 2)"
     within = F.expr(f"try_divide((n1 - 1) * v1 + (n2 - 1) * v2, {freedom})")
     stats = stats.withColumn("m", F.expr("(n1 * m1 + n2 * m2) / (n1 + n2)"))

@@ -91,17 +91,34 @@ def fill_gaps(series_: DataFrame, keys: list[str], max_gap: int | None = None) -
     return each.select(*keys, "feature", F.col("__t").alias("FrameID"), value.alias("value"))
 
 
-def wavelets(filled: DataFrame, keys: list[str]) -> DataFrame:
-    """Of gap-filled series: asc and des (sums of the positive and of the other coefficients over their number) and max of
-    the Haar details at each level; null for a level with fewer than two coefficients, the tail of an odd length is left out.
-
-    Level L is the difference of the two halves' sums of each block of 2**L frames, times a constant. Blocks of the
-    highest level are gathered once, and all levels read from them.
+def wavelets(series_: DataFrame, keys: list[str]) -> DataFrame:
+    """Of series whose gaps count as filled linearly: asc and des (sums of the positive and of the other coefficients over
+    their number) and max of the Haar details at each level; null for a level with fewer than two coefficients, the tail of an
+    odd length is left out.
+
+    Level L is the difference of the two halves' sums of each block of 2**L frames, times a constant. No frame of a gap gets a
+    row: a block that lies whole on the line between two observed rows has the same coefficient as its neighbours there,
+    the slope times minus the square of half its length, so these are counted. The other blocks, which hold an observed
+    row or end at one, are gathered, at most two for each observed row; all levels are read from those of the highest.
     """
     width = 2**LEVELS
+    order = W.partitionBy(*keys, "feature").orderBy("FrameID")
     first = F.min("FrameID").over(W.partitionBy(*keys, "feature"))
-    placed = filled.select(*keys, "feature", "value", (F.col("FrameID") - first).alias("k"))
-    block = placed.groupBy(*keys, "feature", F.floor(F.col("k") / width).alias("b")).agg(*[F.max(F.when(F.col("k") % width == i, F.col("value"))).alias(f"v{i}") for i in range(width)])
+    ahead = series_.select(*keys, "feature", "value", (F.col("FrameID").cast("long") - first).alias("k"), (F.lead("FrameID").over(order).cast("long") - first).alias("to"), F.lead("value").over(order).alias("then"))
+    slope = F.try_divide(F.col("then") - F.col("value"), (F.col("to") - F.col("k")).cast("double"))
+    # a row holds from its frame on to the one before the next row's
+    line = ahead.withColumns({"slope": F.coalesce(slope, F.lit(0.0)), "end": F.coalesce(F.col("to"), F.col("k") + 1), "b": F.floor(F.col("k") / width), "last": F.floor((F.coalesce(F.col("to"), F.col("k") + 1) - 1) / width)})
+    own = F.struct(F.col("b").alias("block"), F.greatest(F.col("last") - F.col("b") - 1, F.lit(0)).alias("between"))
+    ends = F.when(F.col("last") > F.col("b"), F.struct(F.col("last").alias("block"), F.lit(0).cast("long").alias("between")))
+    line = line.select(*keys, "feature", "value", "k", "end", "slope", F.inline(F.array_compact(F.array(own, ends))))
+
+    def at(i: int) -> Column:
+        t = F.col("block") * width + i
+        return F.max(F.when((t >= F.col("k")) & (t < F.col("end")), F.col("value") + (t - F.col("k")) * F.col("slope"))).alias(f"v{i}")
+
+    # of the rows in a block only the last can have blocks of its line to itself
+    alone = [F.sum("between").alias("between"), F.max(F.when(F.col("between") > 0, F.col("slope"))).alias("slope")]
+    block = line.groupBy(*keys, "feature", "block").agg(*[at(i) for i in range(width)], *alone)
 
     def details(level: int) -> list[Column]:
         half, scale = 2 ** (level - 1), TAP * (TAP / 2**0.5) ** (level - 1)
@@ -113,12 +130,13 @@ def wavelets(filled: DataFrame, keys: list[str]) -> DataFrame:
 
     columns = []
     for level in range(1, LEVELS + 1):
-        d = details(level)
-        n = F.sum(reduce(Column.__add__, [v.isNotNull().cast("int") for v in d]))
+        d, half = details(level), 2 ** (level - 1)
+        same = F.lit(-TAP * (TAP / 2**0.5) ** (level - 1) * half * half) * F.col("slope")
+        many = F.col("between") * (width // (2 * half))
+        n = F.sum(reduce(Column.__add__, [v.isNotNull().cast("int") for v in d]) + many)
         for name, keep in (("asc", lambda v: v > 0), ("des", lambda v: v <= 0)):
-            columns.append(F.when(n >= 2, F.sum(total(d, keep)) / n).alias(f"l{level}_{name}"))
-        most = F.max(F.greatest(*d) if len(d) > 1 else d[0])
-        columns.append(F.when(n >= 2, most).alias(f"l{level}_max"))
+            columns.append(F.when(n >= 2, F.sum(total(d, keep) + F.when(keep(same), same * many).otherwise(0.0)) / n).alias(f"l{level}_{name}"))
+        columns.append(F.when(n >= 2, F.max(F.greatest(*d, same))).alias(f"l{level}_max"))
     return block.groupBy(*keys, "feature").agg(*columns)
 
 
@@ -146,7 +164,7 @@ def track_variables(df: DataFrame, features: list[str] | None = None, keys: list
     if len(features) >= wide_from:
         return _by_helper(rows, features, keys)
     long = long_form(rows, features, keys)
-    per_feature = observed(long, keys).join(wavelets(fill_gaps(long, keys), keys), [*keys, "feature"])
+    per_feature = observed(long, keys).join(wavelets(long, keys), [*keys, "feature"])
     return widen(per_feature, features, keys, STATS).join(trajectory_area(rows, keys), keys)
 
 

@@ -30,9 +30,14 @@ def by_track(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def keep_long_tracks(df: DataFrame, min_frames: int, keys: list[str] | None = None) -> DataFrame:
-    """Rows of tracks with at least `min_frames` rows (rows count, not the span). Rows without an id form one track."""
-    n = F.count(F.lit(1)).over(W.partitionBy(*(keys or ["CellID"])))
-    return df.withColumn("__n", n).where(F.col("__n") >= min_frames).drop("__n")
+    """Rows of tracks with at least `min_frames` rows (rows count, not the span). Rows without an id form one track.
+
+    Tracks are counted by partial sums, and the list of the long ones is joined back; so the rows of one track, such as all
+    that have no id, need not meet in a task.
+    """
+    track = F.struct(*(keys or ["CellID"]))  # equal where ids are null, too
+    long = df.groupBy(track.alias("__track")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_frames).select("__track")
+    return df.withColumn("__of", track).join(long, F.col("__of") == F.col("__track"), "left_semi").drop("__of")
 
 
 def in_order(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from phenospark.functions import crops, outlines, runs
 from phenospark.operators import classify, cluster, features, segmentation, shape, texture
 from phenospark.sources import frames as frame_source
 from phenospark.sources import outlines as outline_source
-from phenospark.sources import tracking, viewer
+from phenospark.sources import files, tracking, viewer
 
 
 def square(n=10):
@@ -307,10 +307,65 @@ def test_forest_grows_beyond_32_leaves(spark):
 
 def test_ward_clusters(spark):
     df = spark.range(90).selectExpr("id", "id % 3 * 10 + rand(1) a", "id % 3 * 7 + rand(2) b").cache()
-    for exact in (1000, 10):
-        got = cluster.heterogeneous_clusters(df, "id", 3, exact=exact, micro=20).collect()
+    for few in (1000, 10):
+        got = cluster.heterogeneous_clusters(df, "id", 3, few=few).collect()
         groups_ = {}
         for r in got:
             groups_.setdefault(r["cluster"], set()).add(r["id"] % 3)
         assert len(got) == 90 and sorted(map(len, groups_.values())) == [1, 1, 1]
     assert cluster.cluster_members(cluster.heterogeneous_clusters(df, "id", 3), "id").count() == 3
+
+
+def test_farthest_pair_by_hull_is_that_of_all_pairs():
+    rng = np.random.default_rng(0)
+    for t in range(400):
+        n, k = int(rng.integers(1, 60)), int(rng.integers(1, 9))
+        x, y = (rng.integers(0, k, n).astype(float) if t % 2 else rng.normal(size=n) for _ in "xy")
+        assert outlines.farthest_pair(x, y) == outlines.farthest_pair(x, y, few=0)
+    t = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
+    assert sorted(outlines.farthest_pair(5 * np.cos(t), 3 * np.sin(t))) == [0, 50_000]
+
+
+def test_region_files_are_written_and_read(spark, tmp_path):
+    for source in (files.RegionFiles, files.PhaseFiles):
+        spark.dataSource.register(source)
+    rows = [(f"{f}-{c}", [(10 * c + i, f + i % 3) for i in range(c)]) for f in range(4) for c in range(1, 30)]
+    df = spark.createDataFrame(rows, "ROI_filename string, coords array<struct<x:int,y:int>>").repartition(5)
+    path = str(tmp_path / "regions")
+    df.write.format("regions").mode("append").save(path)
+    want = sorted((n, len(c), c) for n, c in rows)
+    for got in (spark.read.format("regions").option("partitionBytes", 100_000).load(path), outline_source.read_outlines(spark, path)):
+        assert sorted((r["ROI_filename"], r["n"], [tuple(p) for p in r["coords"]]) for r in got.collect()) == want
+    assert spark.read.format("regions").option("partitionBytes", 100_000).load(path).rdd.getNumPartitions() > 3
+    df.limit(3).write.format("regions").mode("overwrite").save(path)
+    assert spark.read.format("regions").load(path).count() == 3
+    with pytest.raises(Exception, match="no file can have the name"):
+        df.withColumn("ROI_filename", F.lit("a/b")).write.format("regions").mode("append").save(path)
+    assert spark.read.format("regions").load(path).count() == 3  # nothing of a failed job
+    with pytest.raises(ValueError, match="holds at most"):
+        files.encode([-1], [0])
+
+
+def test_filters_leave_region_files_unopened(spark, tmp_path):
+    spark.dataSource.register(files.RegionFiles)
+    (tmp_path / "a.roi").write_bytes(files.encode([1, 2, 3], [4, 5, 6]))
+    (tmp_path / "b.roi").write_bytes(b"not a region")
+    reader = files.FilteringRegionReader({"path": str(tmp_path)})
+    list(reader.pushFilters([files.EqualTo(("ROI_filename",), "a"), files.In(("other",), (1,))]))
+    (part,) = reader.partitions()
+    assert [r for b in reader.read(part) for r in b.to_pylist()] == [{"ROI_filename": "a", "n": 3, "coords": [{"x": 1, "y": 4}, {"x": 2, "y": 5}, {"x": 3, "y": 6}]}]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert spark.read.format("regions").option("pushFilters", "true").load(str(tmp_path)).where("ROI_filename = 'a'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert [list(files.RegionReader({"path": str(tmp_path / "none")}).partitions()[0].paths)] == [[]]
+
+
+def test_tracking_tables_are_written_and_read(spark, tmp_path):
+    spark.dataSource.register(files.PhaseFiles)
+    rows = [(f, c, f"{f}-{c}", f + c / 7, None if c == 3 else c / 3) for f in range(1, 6) for c in range(5)]
+    df = spark.createDataFrame(rows, files.PHASE).repartition(3)
+    df.write.format("phase").mode("append").save(str(tmp_path / "t"))
+    got = tracking.read_phase(spark, str(tmp_path / "t" / "part-*"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,84 @@ def test_ensemble_votes(spark):
     runs = [spark.createDataFrame(x, "CellID int") for x in ([(1,), (2,)], [(1,)], [(3,)], [(1,)])]
     assert rows(segmentation.ensemble(runs), "CellID") == [(1,)]
     assert rows(segmentation.ensemble(runs[:2]), "CellID") == [(1,), (2,)]
+
+
+def moves(spark):
+    """Tracks of all lengths, one without an id that holds a third of all rows, and rows that share a frame."""
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 3 == 0 else int(rng.integers(0, 40)), int(f), *map(float, rng.normal(size=2).round(3))) for i, f in enumerate(rng.permutation(3000))]
+    return spark.createDataFrame(rows, "CellID int, FrameID int, xpos double, ypos double")
+
+
+@pytest.mark.parametrize("most", [7, 100, 900])
+def test_movement_by_ranges_is_movement(spark, most):
+    df = moves(spark)
+    one, two = ({(r["CellID"], r["FrameID"]): (r["Dis"], r["Trac"], r["D2T"], r["Vel"]) for r in motion.movement(df, 0.5, most=m).collect()} for m in (10**6, most))
+    assert one.keys() == two.keys() and len(one) == 3000
+    assert all(a == pytest.approx(two[k]) for k, a in one.items())
+
+
+def test_movement_spreads_a_track_over_tasks(spark):
+    df = moves(spark).withColumn("FrameID", F.lit(3))  # all in one frame: cut by hashes
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = motion.movement(df, most=50)
+        by_task = [r["count"] for r in out.where("CellID is null").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(by_task) > 1 and max(by_task) < 1000
+    assert out.count() == 3000 and out.where("CellID is null and Trac > 1000").count() > 0
+
+
+def test_long_tracks_with_and_without_ids(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (2, None), (2, None), (2, "b")], "CellID int, video string")
+    assert sorted(map(tuple, tracks.keep_long_tracks(df, 2, ["video", "CellID"]).collect()), key=repr) == [(2, None), (2, None), (None, "a"), (None, "a")]
+    plan = tracks.keep_long_tracks(df, 2)._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+@pytest.mark.parametrize("wide_from", [99, 1])
+def test_wavelets_across_wide_gaps_are_those_of_filled_series(spark, wide_from):
+    rng = np.random.default_rng(1)
+    rows = []
+    for cell, gap in enumerate((1, 2, 9, 70, 300)):
+        frame = int(rng.integers(0, 50))
+        for _ in range(12):
+            rows.append((cell, frame, *map(float, rng.normal(size=3))))
+            frame += int(rng.integers(1, gap + 1))
+    df = spark.createDataFrame(rows, "CellID int, FrameID int, xpos double, ypos double, v double")
+    got = {r["CellID"]: r for r in timeseries.track_variables(df, ["v"], wide_from=wide_from).collect()}
+    for cell in range(5):
+        f, v = (np.array([r[i] for r in rows if r[0] == cell]) for i in (1, 4))
+        whole = np.interp(np.arange(f[0], f[-1] + 1), f, v)
+        for level in range(1, timeseries.LEVELS + 1):
+            half = 2 ** (level - 1)
+            n = len(whole) // (2 * half)
+            d = whole[: n * 2 * half].reshape(n, 2, half).sum(axis=2) @ [1, -1] * timeseries.TAP * (timeseries.TAP / 2**0.5) ** (level - 1)
+            want = (d[d > 0].sum() / n, d[d <= 0].sum() / n, d.max()) if n >= 2 else (None, None, None)
+            assert [got[cell][f"v_l{level}_{s}"] for s in ("asc", "des", "max")] == pytest.approx(list(want), abs=1e-9), (cell, level)
+
+
+@pytest.mark.parametrize("wide_from", [99, 1])
+def test_a_track_of_two_rows_far_apart(spark, wide_from):
+    df = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 100_000_000, 1.0, 1.0, 1e8)], "CellID int, FrameID int, xpos double, ypos double, v double")
+    r = timeseries.track_variables(df, ["v"], wide_from=wide_from).first()
+    # a slope of 1: all coefficients are minus the constant times the square of half a block
+    scale = [timeseries.TAP * (timeseries.TAP / 2**0.5) ** (n - 1) for n in (1, 2, 3)]
+    assert [r[f"v_l{n}_des"] for n in (1, 2, 3)] == pytest.approx([-c * 4**i for i, c in enumerate(scale)])
+    assert r["v_l1_asc"] == 0 and r["v_l3_max"] == pytest.approx(-scale[2] * 16) and r["v_asc"] == pytest.approx(1e8 / 100_000_001)
+
+
+def test_density_of_clustered_frames_looks_at_few_rows(spark):
+    rng = np.random.default_rng(4)
+    v = np.vstack([rng.normal(size=(700, 2)) * 3 + c for c in ((0, 0), (40, 10), (-30, 25))] + [rng.uniform(-80, 80, (200, 2)), np.zeros((3, 2))])
+    rad = rng.choice([0.1, 0.3, 0.5], len(v))
+    df = spark.createDataFrame([(i % 2, i, float(x), float(y), float(r)) for i, ((x, y), r) in enumerate(zip(v, rad, strict=True))], "FrameID int, CellID int, xpos double, ypos double, Rad double")
+    near = density.candidates(df, ["CellID"], ["FrameID"], 6.0, "xpos", "ypos", "Rad", 1.0, 16)
+    looked, hits = near.count(), near.where("__d < __reach").count()
+    assert looked <= 3 * hits
+    got = {r["CellID"]: r["dens"] for r in density.local_density(df, crowd=16).collect()}
+    for i in range(0, len(v), 7):
+        d = np.hypot(*(v[i % 2 :: 2] - v[i]).T)
+        own = d[(d > 0) & (d < 6 * rad[i])]
+        assert got[i] == pytest.approx((1 / own).sum())
