@@ -664,3 +664,45 @@ def test_pieces_of_much_the_same_length(low, high, n, most):
         assert sum(lengths) <= 1024
         np.add.at(used, list(lengths), k)
     assert (used == counts).all() and packing.lower_bound(counts, 1024) <= sum(k for _, k in found) <= most
+
+
+def buckets_by_hand(text, bits):
+    """The hashed n-grams of a text, one at a time, in whole numbers."""
+    s, mask, out = " " + " ".join((text or "").lower().split()) + " ", 2**32 - 1, set()
+    for i in range(len(s)):
+        h = ord(s[i])
+        for n in range(2, 6):
+            if i + n > len(s):
+                break
+            h = (h * 0x9E3779B1 + ord(s[i + n - 1])) & mask
+            if n >= 3:
+                x = h ^ (h >> 15) ^ (n * 0x3C6EF372 & mask)
+                x = x * 0x85EBCA6B & mask
+                x = (x ^ x >> 13) * 0xC2B2AE35 & mask
+                out.add(x >> (32 - bits))
+    return out
+
+
+def test_toxicity_scores_are_those_of_the_method_by_hand(spark):
+    bits, rng = 9, random.Random(6)
+    texts_ = [" ".join(rng.choice(["calm", "kind", "word", "tree", "Böse", "vile", "mean"][: 4 if i % 3 else 7]) for _ in range(rng.randrange(0, 9))) for i in range(70)] + [None, ""]
+    y = np.array([int(any(w in t for w in ("Böse", "vile", "mean"))) if t else i % 2 for i, t in enumerate(texts_)])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int"), features=toxicity.Features(bits=bits))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
+
+    here = np.zeros((len(texts_), 2**bits))
+    for i, t in enumerate(texts_):
+        here[i, sorted(buckets_by_hand(t, bits))] = 1
+    one, zero = here[y == 1].sum(0), here[y == 0].sum(0)
+    ratio = np.log((one + 1) / ((y == 1).sum() + 2)) - np.log((zero + 1) / ((y == 0).sum() + 2))
+    ratio[one + zero < 3] = 0
+    x = np.column_stack([here * ratio, np.ones(len(y))])
+    keep = np.append(np.full(2**bits, 3.0), 0.0)  # the intercept isn't held back
+    w = np.zeros(x.shape[1])
+    for _ in range(60):  # Newton's steps
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(keep + 1e-12), x.T @ (p - y) + keep * w)
+    want = 1 / (1 + np.exp(-x @ w))
+    assert [got[i] for i in range(len(y))] == pytest.approx(want.tolist(), abs=2e-3)
+    assert want[y == 1].mean() > want[y == 0].mean() + 0.3
