@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crops import HARALICK
@@ -453,6 +453,22 @@ def outline_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return large.select(F.col("ROI_filename").cast("long").alias("vec_id"), *extent)
 
 
+CLAMPED = """WITH points AS (SELECT vec_id, greatest(round(40 + (20 + 10 * e[i + 1]) * cos(2 * pi() * i / 64))::INT - (vec_id % 50)::INT, 0) AS x, greatest(round(40 + (20 + 10 * e[i + 1]) * sin(2 * pi() * i / 64))::INT - (vec_id % 40)::INT, 0) AS y
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(64)) AS i FROM embeddings)),
+box AS (SELECT vec_id, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM points GROUP BY vec_id) SELECT vec_id, width, height FROM box WHERE width >= 30 AND height >= 35"""
+
+
+@query(CLAMPED)
+def outline_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines moved over the image's edge, whose negative coordinates become 0, as far as they stay large enough."""
+    _, outlines, _ = data.painted_frames(spark, sf_dir)
+    own = outlines.select(F.col("ROI_filename").cast("long").alias("vec_id"), "coords")
+    moved = F.transform("coords", lambda p: F.struct((p["x"] - (F.col("vec_id") % 50).cast("int")).alias("x"), (p["y"] - (F.col("vec_id") % 40).cast("int")).alias("y")))
+    kept = tracks.clamp(own.withColumn("coords", moved))
+    extent = {n: F.array_max(F.col("coords")[a]) - F.array_min(F.col("coords")[a]) + 1 for a, n in (("x", "width"), ("y", "height"))}
+    return tracks.large_enough(kept, 30).withColumns(extent).where("height >= 35").select("vec_id", "width", "height")
+
+
 POLYGON = f"""WITH RECURSIVE {data.OUTLINES}, o AS (SELECT vec_id, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys FROM points GROUP BY vec_id),
 f AS (SELECT vec_id, list_position(d, list_max(d)) - 1 AS far FROM (SELECT vec_id, list_transform(range(1, 65), lambda i: (xs[i] - xs[1]) ** 2 + (ys[i] - ys[1]) ** 2) AS d FROM o)),
 sides AS (SELECT vec_id, 0::BIGINT AS a, far::BIGINT AS b, far::BIGINT AS stop FROM f UNION ALL SELECT vec_id, far, 0, 63 FROM f),
@@ -492,6 +508,27 @@ def seg_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.undersample(correct, errors.count(), draw=1)
 
 
+NEIGHBOURS = f"""WITH v AS (SELECT n_chars::DOUBLE AS a, coalesce(len(regexp_extract_all(text, '[0-9]')), 0)::DOUBLE AS b, coalesce(len(regexp_extract_all(text, '[A-Z]')), 0)::DOUBLE AS c FROM documents JOIN labels USING (doc_id) WHERE quality = 0),
+g AS (SELECT a, b, c, count(*) AS n FROM v GROUP BY ALL),
+pairs AS (SELECT g.*, sqrt((g.a - h.a) ** 2 + (g.b - h.b) ** 2 + (g.c - h.c) ** 2) AS d, CASE WHEN g.a = h.a AND g.b = h.b AND g.c = h.c THEN h.n - 1 ELSE h.n END AS m FROM g, g h),
+near AS (SELECT a, b, c, n, list(d ORDER BY d) AS ds FROM (SELECT a, b, c, n, d, unnest(range(least(m, 3))) AS i FROM pairs) GROUP BY ALL)
+SELECT a AS n_chars, b AS n_digits, c AS n_upper, n, {R('ds[1]', 'd1')}, {R('ds[2]', 'd2')}, {R('ds[3]', 'd3')} FROM near"""
+
+
+@query(NEIGHBOURS)
+def seg_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the three nearest others of each different document of low quality are: what oversampling draws from."""
+    names = ["n_chars", "n_digits", "n_upper"]
+    errors = data.judged_documents(spark, sf_dir)[0].select(*names)
+    near = segmentation.nearest_same_class(errors, names, 3, most=256)
+
+    def away(i: int) -> Column:
+        p = F.get("__near", F.lit(i))
+        return F.sqrt(sum((F.pow(F.get(p, F.lit(j)) - F.col(f), F.lit(2.0)) for j, f in enumerate(names)), F.lit(0.0))).alias(f"d{i + 1}")
+
+    return rounded(near.select(*names, F.col("__n").alias("n"), *map(away, range(3))), "d1", "d2", "d3")
+
+
 FIRST_SPLIT = """WITH rows AS (SELECT n_chars::DOUBLE AS a, coalesce(len(regexp_extract_all(text, '[0-9]')), 0)::DOUBLE AS b, (quality = 0)::INT AS y FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
 v AS (SELECT 0 AS tree, 0 AS feature, a AS value, y FROM rows UNION ALL SELECT 1, 1, b, y FROM rows UNION ALL SELECT 2, 0, a, y FROM rows UNION ALL SELECT 2, 1, b, y FROM rows),
 c AS (SELECT tree, feature, value, count(*) AS n, sum(y) AS o FROM v WHERE value IS NOT NULL GROUP BY ALL),
