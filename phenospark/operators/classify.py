@@ -114,7 +114,7 @@ def rbf_svm(train: DataFrame, test: DataFrame, label: str, features: list[str],
     if len(names) != 2:
         raise ValueError(f"two classes are needed, not {names}")
     gamma = 1.0 / len(features)
-    fine = [F.coalesce(~F.isnan(F.col(f).cast("double")), F.lit(False)) for f in features]
+    fine = [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features]
     whole = reduce(Column.__and__, fine)
     doubles = [F.col(f).cast("double").alias(f) for f in features]
     picked = numbered.where(whole).select(*doubles).distinct().orderBy(F.xxhash64(*features, F.lit(seed)), *features).limit(4 * components).toArrow()

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.stats import divide
 
 
+#: So many long tracks, a row of some 50 bytes each, are broadcast.
+MOST_SENT = 100_000
+
+
 def movement(df: DataFrame, framerate: float = 1.0, keys: list[str] | None = None, x: str = "xpos", y: str = "ypos", most: int = 1_000_000) -> DataFrame:
     """Adds Dis, Trac, D2T and Vel to a table of positions.
 
@@ -47,6 +51,8 @@ def _by_ranges(df: DataFrame, long: DataFrame, keys: list[str], x: str, y: str,
     """The same with the tracks of `long` cut into ranges of about `most` rows."""
     rows = df.withColumn("__t", F.struct(*keys))  # equal where ids are null, too
     cuts = long.select(F.struct(*keys).alias("__of"), "__n", "__lo", "__hi")
+    if cuts.count() <= MOST_SENT:  # else the rows are shuffled by track for this join, which Spark can split where a track is large
+        cuts = F.broadcast(cuts)
     rows = rows.join(cuts, F.col("__t") == F.col("__of"), "left").drop("__of")
     span = F.col("__hi") - F.col("__lo") + 1
     width = F.greatest(F.floor(span * most / F.col("__n")), F.lit(1))

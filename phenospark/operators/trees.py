@@ -90,7 +90,7 @@ def best_splits(state: DataFrame, least: int) -> DataFrame:
     key = ["tree", "node", "feature"]
     values = state.select("tree", "node", "y", "w", F.posexplode(F.arrays_zip("x", "bins")).alias("feature", "v")).select(*key, "y", "w", F.col("v.x").alias("value"), F.col("v.bins").alias("bin"))
     values = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = written(values.groupBy(*key, "bin", "value").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("ones")))
+    counts = values.groupBy(*key, "bin", "value").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("ones"))
     ranges = counts.groupBy(*key, "bin").agg(F.sum("n").alias("n_bin"), F.sum("ones").alias("ones_bin"), F.min("value").alias("first"))
     along = W.partitionBy(*key).orderBy("bin")
     before, everything = along.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*key)
