@@ -193,7 +193,7 @@ def tables(sf):
     return c
 
 
-@pytest.mark.parametrize("name", ["op11_licence_scan", "op12_collocations", "op13_lexical_search"])
+@pytest.mark.parametrize("name", ["op11_licence_scan", "op12_collocations", "op13_lexical_search", "near_vectors_planted"])
 def test_query_against_sql(spark, sf, tables, name):
     df = entry.queries()[name](spark, sf)
     want = tables.sql(entry.oracle_sql()[name])
