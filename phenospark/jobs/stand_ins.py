@@ -89,7 +89,8 @@ def painted_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     detections = e.select(F.col("vec_id").cast("int").alias("FrameID"), F.col("label").alias("CellID"), F.col("vec_id").cast("string").alias("ROI_filename"))
     shapes = e.select(F.col("vec_id").cast("string").alias("ROI_filename"), coords.alias("coords"))
     pixels = F.expr("transform(sequence(0, 9215), p -> cast(embedding[pmod(p * 7 + p div 96, 64)] as double))")
-    frames = e.select(F.col("vec_id").cast("int").alias("frame_id"), F.lit(96).alias("height"), F.lit(96).alias("width"), pixels.alias("pixels"))
+    # few bytes become many: dealt before, so that images are painted by many tasks
+    frames = e.repartition(2 * spark.sparkContext.defaultParallelism, "vec_id").select(F.col("vec_id").cast("int").alias("frame_id"), F.lit(96).alias("height"), F.lit(96).alias("width"), pixels.alias("pixels"))
     return detections, shapes, frames
 
 
@@ -123,7 +124,7 @@ def crowded_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
             out.append(image.ravel())
         return pd.Series(out)
 
-    grouped = e.groupBy("FrameID").agg(F.collect_list(F.struct("CellID", "embedding")).alias("tiles"))
+    grouped = e.repartition(2 * spark.sparkContext.defaultParallelism, "FrameID").groupBy("FrameID").agg(F.collect_list(F.struct("CellID", "embedding")).alias("tiles"))
     frames = grouped.select(F.col("FrameID").alias("frame_id"), F.lit(rows * TILE).alias("height"), F.lit(ROW * TILE).alias("width"), paint("tiles").alias("pixels"))
     return detections, shapes, frames
 

@@ -80,23 +80,26 @@ def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame,
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out: list[list] = [[] for _ in fields]
             for i in range(b.num_rows):
                 height = b.column("height")[i].as_py()
                 grid = b.column("pixels")[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(height, -1)
                 lo, hi = (float(grid.min()), float(grid.max())) if grid.size else (0.0, 0.0)
                 for p in b.column("parts")[i].as_py():
                     own = grid[p["top"] : p["bottom"] + 1, p["left"] : p["right"] + 1]
-                    n = p["__n"]
-                    row = [p["__tx"], p["__ty"], None, height, grid.shape[1], p["left"], p["top"], own.shape[1], lo, hi, own.ravel()]
-                    types = [pa.int32()] * 8 + [pa.float64()] * 2 + [pa.list_(pa.float64())]
-                    columns = [pa.array(range(n), pa.int32()) if x is None else pa.array([x] * n, t) for x, t in zip(row, types, strict=True)]
-                    first = b.column("FrameID").take(pa.array([i] * n))
-                    yield pa.RecordBatch.from_arrays([first, *columns], fields)
+                    for g in range(p["__n"]):
+                        for column, v in zip(out, (i, p["__tx"], p["__ty"], g, height, grid.shape[1], p["left"], p["top"], own.shape[1], lo, hi, own.ravel()), strict=True):
+                            column.append(v)
+            if out[0]:
+                ends = pa.array(np.cumsum([0, *map(len, out[-1])]), pa.int32())
+                columns = [pa.array(c, t) for c, t in zip(out[1:-1], [pa.int32()] * 8 + [pa.float64()] * 2, strict=True)]
+                pixels = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out[-1])))
+                yield pa.RecordBatch.from_arrays([b.column("FrameID").take(pa.array(out[0])), *columns, pixels], fields)
 
     images = images.mapInArrow(part, f"FrameID {kind}, __tx int, __ty int, __g int, height int, width int, `left` int, top int, wide int, low double, high double, pixels array<double>")
     both = images.withColumn("__kind", F.lit(0)).unionByName(shapes.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
     # the number is given, as the work is in the arithmetic, not in the bytes: about per_task objects for each
-    tasks = max(frames.sparkSession.sparkContext.defaultParallelism, -(-detections.count() // per_task))
+    tasks = max(4 * frames.sparkSession.sparkContext.defaultParallelism, -(-detections.count() // per_task))
     group = ["FrameID", "__tx", "__ty", "__g"]
     both = both.repartition(tasks, *group).sortWithinPartitions(*group, "__kind", *keys)
     names = [*SHAPE, *TEXTURE, "xpos", "ypos"]

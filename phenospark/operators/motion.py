@@ -7,10 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import divide
-
-
-#: So many long tracks, a row of some 50 bytes each, are broadcast.
-MOST_SENT = 100_000
+from .tracks import without_id
 
 
 def movement(df: DataFrame, framerate: float = 1.0, keys: list[str] | None = None, x: str = "xpos", y: str = "ypos", most: int = 1_000_000) -> DataFrame:
@@ -20,14 +17,14 @@ def movement(df: DataFrame, framerate: float = 1.0, keys: list[str] | None = Non
     ratio, 0 where there is no path yet. Vel: framerate * step / frames since the row before; before the first row stands
     frame 0 (so a first row in frame 0 has none). Rows of a track in one frame stand in any order.
 
-    One window specification, so one sort for all four. Tracks are counted first: where one has more than `most` rows (such
-    as that of all rows without an id), tracks are cut into ranges of frames, and of one frame's rows by their hashes; what
-    a range needs from those before it is carried over in a second step.
+    One window specification, so one sort for all four. A tracked object is in one task. Rows without an id, which count as one
+    track and can be any number, are cut into ranges of about `most` rows by their frames, and of one frame by their hashes;
+    what a range needs from those before it is carried over in a second step.
     """
     keys = keys or ["CellID"]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("FrameID").cast("long").alias("__lo"), F.max("FrameID").cast("long").alias("__hi"))
-    long = sizes.where(F.col("__n") > most)
-    out = _by_track(df, keys, x, y) if not long.take(1) else _by_ranges(df, long, keys, x, y, most)
+    rest = df.where(without_id(keys))
+    out = _by_track(df.where(~without_id(keys)), keys, x, y)
+    out = out.unionByName(_by_ranges(rest, keys, x, y, most).select(*out.columns))
     out = out.withColumn("D2T", F.coalesce(divide(F.col("Dis"), F.col("Trac")), F.lit(0.0)))
     out = out.withColumn("Vel", divide(F.lit(float(framerate)) * F.col("__step"), F.col("__gap").cast("double")))
     return out.select(*[c for c in df.columns if c not in ("Dis", "Trac", "D2T", "Vel")], "Dis", "Trac", "D2T", "Vel")
@@ -47,18 +44,17 @@ def _by_track(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return out.withColumn("Trac", F.sum("__step").over(so_far))
 
 
-def _by_ranges(df: DataFrame, long: DataFrame, keys: list[str], x: str, y: str, most: int) -> DataFrame:
-    """The same with the tracks of `long` cut into ranges of about `most` rows."""
+def _by_ranges(df: DataFrame, keys: list[str], x: str, y: str, most: int) -> DataFrame:
+    """The same with tracks cut into ranges of about `most` rows."""
     rows = df.withColumn("__t", F.struct(*keys))  # equal where ids are null, too
-    cuts = long.select(F.struct(*keys).alias("__of"), "__n", "__lo", "__hi")
-    if cuts.count() <= MOST_SENT:  # else the rows are shuffled by track for this join, which Spark can split where a track is large
-        cuts = F.broadcast(cuts)
-    rows = rows.join(cuts, F.col("__t") == F.col("__of"), "left").drop("__of")
+    cuts = rows.groupBy(F.col("__t").alias("__of")).agg(F.count(F.lit(1)).alias("__n"), F.min("FrameID").cast("long").alias("__lo"), F.max("FrameID").cast("long").alias("__hi"))
+    rows = rows.join(cuts, F.col("__t") == F.col("__of")).drop("__of")
     span = F.col("__hi") - F.col("__lo") + 1
     width = F.greatest(F.floor(span * most / F.col("__n")), F.lit(1))
     parts = F.greatest(F.ceil(F.col("__n") / (span * most)), F.lit(1))
     at = F.struct(F.coalesce(F.floor((F.col("FrameID") - F.col("__lo")) / width), F.lit(0)).alias("range"), F.coalesce(F.pmod(F.xxhash64(x, y), parts), F.lit(0)).alias("part"))
-    rows = rows.withColumn("__at", at).drop("__n", "__lo", "__hi")
+    # dealt by range: what the join above may have dealt by track would do for the windows below, in one task
+    rows = rows.withColumn("__at", at).drop("__n", "__lo", "__hi").repartition("__t", "__at")
     inside = W.partitionBy("__t", "__at").orderBy("FrameID", x, y)
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumns({"__step": _away(F.col(x) - F.lag(x).over(inside), F.col(y) - F.lag(y).over(inside)), "__before": F.lag("FrameID").over(inside), "__i": F.row_number().over(inside)})

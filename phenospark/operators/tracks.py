@@ -6,7 +6,9 @@ track; where several videos are stacked, give ["video", "CellID"].
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,15 +31,26 @@ def by_track(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.repartition(*(keys or ["CellID"]))
 
 
+def without_id(keys: list[str]) -> Column:
+    """Whether a row belongs to no tracked object. Such rows, spots that were never linked, can be any number; a tracked
+    object has about a row for each frame of its video."""
+    return reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+
+
 def keep_long_tracks(df: DataFrame, min_frames: int, keys: list[str] | None = None) -> DataFrame:
     """Rows of tracks with at least `min_frames` rows (rows count, not the span). Rows without an id form one track.
 
-    Tracks are counted by partial sums, and the list of the long ones is joined back; so the rows of one track, such as all
-    that have no id, need not meet in a task.
+    Tracked objects are counted where they are dealt to; rows without an id are counted by partial sums, and the count is joined back, so they
+    need not meet in a task.
     """
-    track = F.struct(*(keys or ["CellID"]))  # equal where ids are null, too
-    long = df.groupBy(track.alias("__track")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_frames).select("__track")
-    return df.withColumn("__of", track).join(long, F.col("__of") == F.col("__track"), "left_semi").drop("__of")
+    keys = keys or ["CellID"]
+    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    tracked = df.where(~without_id(keys)).withColumn("__n", n).where(F.col("__n") >= min_frames).drop("__n")
+    track = F.struct(*keys)  # equal where ids are null
+    rest = df.where(without_id(keys))
+    long = rest.groupBy(track.alias("__track")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_frames).select("__track")
+    rest = rest.withColumn("__of", track).join(long, F.col("__of") == F.col("__track"), "left_semi").drop("__of")
+    return tracked.unionByName(rest)
 
 
 def in_order(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
