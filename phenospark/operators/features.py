@@ -21,6 +21,9 @@ SHAPE = ["Rad", "VfC", "Curv", "Len", "Wid", "Area", "A2B", "Box", "Rect", "poly
 TEXTURE = ["FOmean", "FOsd", "FOskew", *[f"Cooc{m}{h}" for m in ("01", "12", "02") for h in crops.HARALICK], *[f"IQ{i}" for i in range(1, 10)]]
 MOVEMENT = ["Dis", "Trac", "D2T", "Vel"]
 
+#: Parts of images are handed on when they hold so many pixels.
+MOST_PIXELS = 2_000_000
+
 
 def crop_features(image: np.ndarray | None, x: np.ndarray, y: np.ndarray, gap: int = 4, origin: tuple[int, int] = (0, 0), size: tuple[int, int] | None = None) -> list[float | None]:
     """SHAPE, TEXTURE, xpos and ypos of one outline in a normalised frame; TEXTURE is null without an image, and where the
@@ -66,7 +69,8 @@ def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame,
     named = detections.groupBy(*keys, "FrameID").agg(F.min("ROI_filename").alias("ROI_filename"), F.max("ROI_filename").alias("__other"))
     fault = F.raise_error(F.concat(F.lit("an object in frame "), F.col("FrameID").cast("string"), F.lit(" has several outline names"))).cast("string")
     named = named.withColumn("ROI_filename", F.when(F.col("ROI_filename") == F.col("__other"), F.col("ROI_filename")).when(F.col("ROI_filename").isNotNull(), fault)).drop("__other")
-    shapes = clamp(named.join(outlines_.select("ROI_filename", "coords"), "ROI_filename")).select(*keys, "FrameID", "ROI_filename", "coords").where("size(coords) > 0")
+    # an array's length is no part of Spark's estimate of a table's size, so outlines and images would be sent whole to every executor
+    shapes = clamp(named.join(outlines_.select("ROI_filename", "coords").hint("merge"), "ROI_filename")).select(*keys, "FrameID", "ROI_filename", "coords").where("size(coords) > 0")
     low = {a: F.floor(F.array_min(F.col("coords")[a])).cast("int") for a in "xy"}
     high = {a: F.floor(F.array_max(F.col("coords")[a])).cast("int") for a in "xy"}
     shapes = shapes.withColumns({"__tx": F.floor(low["x"] / tile).cast("int"), "__ty": F.floor(low["y"] / tile).cast("int")})
@@ -75,12 +79,19 @@ def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame,
     shapes = shapes.join(groups.select("FrameID", "__tx", "__ty", "__n"), ["FrameID", "__tx", "__ty"]).withColumn("__g", F.pmod(F.xxhash64(*keys), F.col("__n")).cast("int")).drop("__n")
     parts_ = groups.groupBy("FrameID").agg(F.collect_list(F.struct("__tx", "__ty", "__n", "left", "top", "right", "bottom")).alias("parts"))  # as many as a frame has tiles
     kind = dict(shapes.dtypes)["FrameID"]
-    images = frames.select(F.col("frame_id").cast(kind).alias("FrameID"), "height", "pixels").join(parts_, "FrameID")
+    images = frames.select(F.col("frame_id").cast(kind).alias("FrameID"), "height", "pixels").hint("merge").join(parts_, "FrameID")
     fields = ["FrameID", "__tx", "__ty", "__g", "height", "width", "left", "top", "wide", "low", "high", "pixels"]
 
+    def whole(out: list[list], frame: pa.Array) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *map(len, out[-1])]), pa.int32())
+        columns = [pa.array(c, t) for c, t in zip(out[1:-1], [pa.int32()] * 8 + [pa.float64()] * 2, strict=True)]
+        pixels = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out[-1])))
+        return pa.RecordBatch.from_arrays([frame.take(pa.array(out[0])), *columns, pixels], fields)
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in fields]
+            held = 0
             for i in range(b.num_rows):
                 height = b.column("height")[i].as_py()
                 grid = b.column("pixels")[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(height, -1)
@@ -90,11 +101,12 @@ def frame_crops(frames: DataFrame, detections: DataFrame, outlines_: DataFrame,
                     for g in range(p["__n"]):
                         for column, v in zip(out, (i, p["__tx"], p["__ty"], g, height, grid.shape[1], p["left"], p["top"], own.shape[1], lo, hi, own.ravel()), strict=True):
                             column.append(v)
+                        held += own.size
+                        if held >= MOST_PIXELS:
+                            yield whole(out, b.column("FrameID"))
+                            out, held = [[] for _ in fields], 0
             if out[0]:
-                ends = pa.array(np.cumsum([0, *map(len, out[-1])]), pa.int32())
-                columns = [pa.array(c, t) for c, t in zip(out[1:-1], [pa.int32()] * 8 + [pa.float64()] * 2, strict=True)]
-                pixels = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out[-1])))
-                yield pa.RecordBatch.from_arrays([b.column("FrameID").take(pa.array(out[0])), *columns, pixels], fields)
+                yield whole(out, b.column("FrameID"))
 
     images = images.mapInArrow(part, f"FrameID {kind}, __tx int, __ty int, __g int, height int, width int, `left` int, top int, wide int, low double, high double, pixels array<double>")
     both = images.withColumn("__kind", F.lit(0)).unionByName(shapes.withColumn("__kind", F.lit(1)), allowMissingColumns=True)

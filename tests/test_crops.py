@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phenospark.functions import crops, outlines, runs
+from phenospark.jobs import stand_ins
 from phenospark.operators import classify, cluster, features, segmentation, shape, texture
 from phenospark.sources import frames as frame_source
 from phenospark.sources import outlines as outline_source
@@ -369,3 +370,16 @@ def test_tracking_tables_are_written_and_read(spark, tmp_path):
     df.write.format("phase").mode("append").save(str(tmp_path / "t"))
     got = tracking.read_phase(spark, str(tmp_path / "t" / "part-*"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
+
+
+def test_images_are_not_sent_whole_to_every_executor(spark):
+    """500 images of 74 kB whose table Spark estimates at a few kB; none of the small tables beside it needs over 32 MB to be broadcast."""
+    folder, key = "/root/testdata/sf0.01", "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(key, "40m")
+    try:
+        detections, outlines_, frames = stand_ins.painted_frames(spark, folder)
+        assert features.frame_crops(frames, detections, outlines_).count() == 500
+        detections, outlines_, frames = stand_ins.crowded_frames(spark, folder)
+        assert features.frame_crops(frames, detections, outlines_).count() == 500
+    finally:
+        spark.conf.unset(key)
