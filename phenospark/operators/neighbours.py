@@ -47,11 +47,44 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances, summed feature by feature, so that both rows of a pair get the same; not a number counts as the largest."""
     d = np.zeros((len(a), len(b)))
+    step = max(1, 16_384 // max(1, len(b)))  # what fits a core's own memory
+    gap = np.empty((step, len(b)))
+    for lo in range(0, len(a), step):
+        some = d[lo : lo + step]
+        g = gap[: len(some)]
+        for f in range(a.shape[1]):
+            np.subtract(a[lo : lo + step, f, None], b[None, :, f], out=g)
+            np.multiply(g, g, out=g)
+            np.add(some, g, out=some)
+    return np.nan_to_num(d, copy=False, nan=np.finfo(float).max, posinf=np.finfo(float).max)
+
+
+def squared_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """squared() of the rows of two tables one by one, to the last bit."""
+    d = np.zeros(len(a))
     for f in range(a.shape[1]):
-        d += (a[:, f, None] - b[None, :, f]) ** 2
+        d += (a[:, f] - b[:, f]) ** 2
     return np.nan_to_num(d, copy=False, nan=np.finfo(float).max, posinf=np.finfo(float).max)
 
 
+def roughly(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(squared distances by one product of matrices, for each row of a how far they can be from squared() at most); None where
+    numbers are too large or no numbers. Both tables are moved to where b is, so that the error goes with the rows' spread."""
+    if not (len(a) and len(b) and a.shape[1]):
+        return None
+    with np.errstate(invalid="ignore", over="ignore"):
+        middle = b.mean(axis=0)
+        a, b = a - middle, b - middle
+        aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+        if not max(aa.max(), bb.max()) < 1e150:
+            return None
+    d = a @ b.T
+    d *= -2
+    d += aa[:, None]
+    d += bb[None]
+    return d, 16 * (a.shape[1] + 8) * np.finfo(float).eps * (aa + bb.max()) + np.finfo(float).tiny
+
+
 def factor(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray | float:
     """What a squared distance counts for two weights: the rise of the sum of squares when both are joined."""
     return a * b / (a + b)
@@ -60,9 +93,10 @@ def factor(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray | float:
 def _nearest_pivot(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cell, far = np.zeros(len(v), dtype=np.int64), np.zeros(len(v))
     for lo in range(0, len(v), step := max(1, 2_000_000 // max(1, len(pivots)))):
-        d = squared(v[lo : lo + step], pivots)
-        cell[lo : lo + step] = d.argmin(axis=1)
-        far[lo : lo + step] = np.sqrt(d.min(axis=1))
+        some = v[lo : lo + step]
+        near = roughly(some, pivots)
+        cell[lo : lo + step] = (squared(some, pivots) if near is None else near[0]).argmin(axis=1)
+        far[lo : lo + step] = np.sqrt(squared_pairs(some, pivots[cell[lo : lo + step]]))
     return cell, far
 
 
@@ -133,19 +167,30 @@ class _Search:
         """Compare the rows of these numbers with all points of a cell. ids must be in order."""
         for lo in range(0, len(rows), step := max(1, 1_000_000 // max(1, len(ids)))):
             own = rows[lo : lo + step]
-            d = squared(self.v[own], v)
-            self.computed += d.size
+            self.computed += len(own) * len(ids)
+            k = min(self.k, len(ids))
+            near = roughly(self.v[own], v)
+            d, off = (squared(self.v[own], v), np.zeros(len(own))) if near is None else near
             if self.weighted:
                 d *= factor(self.w[own, None], w[None])
-            d[self.ids[own, None] == ids[None]] = np.inf
-            k = min(self.k, len(ids))
-            border = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], self.limit[own])
-            r, at = np.nonzero((d <= border[:, None]) & np.isfinite(d))
+                off = off * factor(self.w[own], w.max()) * (1 + 1e-9)  # a factor grows with both weights
+            at = np.minimum(np.searchsorted(ids, self.ids[own]), len(ids) - 1)
+            same = np.flatnonzero(ids[at] == self.ids[own])
+            d[same, at[same]] = np.inf
+            best = d.min(axis=1) if k == 1 else np.partition(d, k - 1, axis=1)[:, k - 1]
+            r, at = np.nonzero((d <= np.minimum(best + 2 * off, self.limit[own] + off)[:, None]) & (d < np.inf))
+            cost = d[r, at]
+            if near is not None:  # rough distances have only left out what can't be among the k best
+                cost = squared_pairs(self.v[own[r]], v[at])
+                if self.weighted:
+                    cost *= factor(self.w[own[r]], w[at])
+                keep = cost <= self.limit[own[r]]
+                r, at, cost = r[keep], at[keep], cost[keep]
             if len(r) == 0:
                 continue
             touched = np.unique(r)
             old = own[touched]
-            cost = np.concatenate([self.cost[old].ravel(), d[r, at]])
+            cost = np.concatenate([self.cost[old].ravel(), cost])
             other = np.concatenate([self.other[old].ravel(), ids[at]])
             of = np.concatenate([np.repeat(touched, self.k), r])
             order = np.lexsort((other, cost, of))
@@ -174,10 +219,21 @@ def _look(search: _Search, cells: Cells, ids: np.ndarray, v: np.ndarray, w: np.n
     ends = np.append(first[1:], len(cell))
     away = np.sqrt(squared(search.v, cells.pivots[own]))
     bounds = np.column_stack([search.least(away[:, j], cells.near[c], cells.far[c], cells.light[c]) for j, c in enumerate(own)])
-    for j in np.argsort(bounds.min(axis=0), kind="stable"):
-        rows = np.flatnonzero(bounds[:, j] <= search.limit)
+    turn, i, together = np.argsort(bounds.min(axis=0), kind="stable"), 0, 1
+    sizes = ends - first
+    while i < len(turn):
+        # cells that nearly the same rows look into are shown at once, but for the first one, which gives them their limits
+        some = turn[i : i + together]
+        wanted = bounds[:, some] <= search.limit[:, None]
+        asked = np.logical_or.accumulate(wanted, axis=1).sum(axis=0) * np.cumsum(sizes[some])
+        close = np.cumsum(wanted.sum(axis=0) * sizes[some]) >= 0.9 * asked
+        n = int(np.argmin(close)) if not close.all() else len(some)
+        rows = np.flatnonzero(wanted[:, :n].any(axis=1))
         if len(rows):
-            search.see(rows, ids[first[j] : ends[j]], v[first[j] : ends[j]], w[first[j] : ends[j]])
+            shown = np.concatenate([np.arange(first[j], ends[j]) for j in some[:n]])
+            shown = shown[np.argsort(ids[shown])] if n > 1 else shown
+            search.see(rows, ids[shown], v[shown], w[shown])
+        i, together = i + n, 32
 
 
 def nearest(points: DataFrame, width: int, k: int = 1, weighted: bool = False, per_cell: int = 64, most: int = 8192) -> DataFrame:

@@ -1,5 +1,7 @@
 """Exact neighbours, Ward's method and trees against brute force, at sizes where several blocks, rounds and ranges are needed."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -202,3 +204,31 @@ def test_machine_on_landmarks_is_the_kernel_machine(spark):
     got = {r["id"]: r["SVM"] for r in classify.rbf_svm(train, test, "y", ["a", "b", "c", "d"]).select("id", "SVM").collect()}
     agree = np.mean([(got[i] == "p") == want[i] for i in range(1500)])
     assert agree >= 0.99 and got[-1] is None
+
+
+def test_rough_distances_leave_the_neighbours_exact():
+    """Far from zero, with equal rows, ties and weights: the same neighbours and costs, to the last bit, as by all distances."""
+    rng = np.random.default_rng(7)
+    for k, weighted, shift in ((1, True, 0.0), (3, False, 1e6), (4, True, -50.0)):
+        v = np.round(rng.normal(size=(600, 24)), 1) + shift
+        v[300:330] = v[0]
+        ids, w = np.arange(600) * 3, rng.integers(1, 90, 600).astype(float)
+        search = neighbours._Search(ids[:200], v[:200], w[:200], k, weighted)
+        for part in np.array_split(np.arange(600), 5):
+            search.see(np.arange(200), ids[part], v[part], w[part])
+        d = neighbours.squared(v[:200], v) * (neighbours.factor(w[:200, None], w[None]) if weighted else 1.0)
+        d[np.arange(200), np.arange(200)] = np.inf
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        assert (search.other == ids[best]).all() and (search.cost == np.take_along_axis(d, best, 1)).all()
+
+
+def test_distances_take_a_product_of_matrices():
+    """4,000 x 4,000 distances of 64 features take a small part of what summing them feature by feature does."""
+    v = np.random.default_rng(8).normal(size=(4000, 64))
+    search = neighbours._Search(np.arange(4000), v, np.ones(4000), 1, True)
+    start = time.process_time()
+    search.see(np.arange(4000), np.arange(4000), v, np.ones(4000))
+    took = time.process_time() - start
+    start = time.process_time()
+    neighbours.squared(v[:400], v)
+    assert took < 10 * (time.process_time() - start) / 2
