@@ -383,3 +383,9 @@ def test_images_are_not_sent_whole_to_every_executor(spark):
         assert features.frame_crops(frames, detections, outlines_).count() == 500
     finally:
         spark.conf.unset(key)
+
+
+def test_features_of_texts_are_counted_once(spark, sf):
+    """What trees read many times doesn't read a text again."""
+    for df in stand_ins.judged_documents(spark, sf):
+        assert df.count() and not any("documents" in f for f in df.inputFiles())
