@@ -103,14 +103,15 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     reps = cut(reps.select("rep", "copies", "v").mapInArrow(hash_, f"rep long, copies long, v {kind}, keys array<int>"))
     members = reps.select("rep", F.posexplode("keys").alias("t", "key"))
     dealt = blocks_of_groups(members, ["t", "key"], "rep", block).join(reps, "rep")
-    dealt = dealt.select("t", "key", "lo", "hi", "own", "rep", "copies", "v", "keys", F.size("v").alias("dim"))
+    dealt = dealt.select("t", "key", "lo", "hi", "own", "rep", "copies", "v", F.slice("keys", 1, F.col("t")).alias("keys"), F.size("v").alias("dim"))  # of the keys those of earlier tables
     # vectors of another length are in another cell but for a chance of 2**-32; the sort keeps them apart
     dealt = dealt.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "dim", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs_of_groups(batches, ["t", "key", "lo", "hi", "dim"]):
             t, lo, hi, own, rep, copies, dim = (table.column(c).to_numpy() for c in ("t", "lo", "hi", "own", "rep", "copies", "dim"))
-            keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)
+            flat_keys = table.column("keys").combine_chunks().flatten().to_numpy()
+            first = np.cumsum(t) - t
             flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             ends = np.cumsum(dim)
             members, counts, roots = [], [], []
@@ -120,7 +121,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 v = flat[ends[i] - dim[i] : ends[j - 1]].reshape(j - i, -1)
                 v = v / np.abs(v).max(axis=1, keepdims=True)
                 v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                ask = apart(keys[i:j, : t[i]])
+                keys = flat_keys[first[i] : first[i] + (j - i) * t[i]].reshape(j - i, t[i])
+                ask = apart(keys)
                 near = v[ask] @ v.T >= cosine
                 near[np.arange(len(ask)), ask] = False
                 if lo[i] != hi[i]:
@@ -135,7 +137,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 x, y = np.concatenate([x, y[once]]), np.concatenate([y, x[once]])
                 new = np.ones(len(x), dtype=bool)
                 for e in range(t[i]):
-                    new &= keys[i + x, e] != keys[i + y, e]
+                    new &= keys[x, e] != keys[y, e]
                 count = np.bincount(x[new], weights=copies[i + y[new]], minlength=j - i).astype(np.int64)
                 root = np.arange(j - i)
                 while True:  # smallest number that links reach inside the block
