@@ -306,6 +306,18 @@ def test_forest_grows_beyond_32_leaves(spark):
     assert sum(r["y"] == r["RF"] for r in got) / len(got) > 0.95
 
 
+def test_forest_keeps_the_nodes_that_rows_have_reached(spark, monkeypatch):
+    asked, plain = [], classify.RandomForestClassifier
+    df = groups(spark)
+
+    def votes(**changed):
+        monkeypatch.setattr(classify, "RandomForestClassifier", lambda **k: asked.append(k) or plain(**k | changed))
+        return sorted(tuple(r) for r in classify.random_forest(df, df, "class", ["a", "b"], trees=10).select("CellID", "RF").collect())
+
+    assert votes() == votes(cacheNodeIds=False)  # the same forest
+    assert asked[0].get("cacheNodeIds") is True
+
+
 def test_ward_clusters(spark):
     df = spark.range(90).selectExpr("id", "id % 3 * 10 + rand(1) a", "id % 3 * 7 + rand(2) b").cache()
     for few in (1000, 10):
