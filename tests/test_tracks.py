@@ -219,3 +219,27 @@ def test_density_of_clustered_frames_looks_at_few_rows(spark):
         d = np.hypot(*(v[i % 2 :: 2] - v[i]).T)
         own = d[(d > 0) & (d < 6 * rad[i])]
         assert got[i] == pytest.approx((1 / own).sum())
+
+
+@pytest.mark.parametrize("blocks_from", (1, 400, 10_000))
+def test_density_of_crowded_frames_by_blocks(spark, blocks_from):
+    rng = np.random.default_rng(5)
+    v = np.round(np.vstack([rng.normal(size=(500, 2)) * 4, rng.uniform(-60, 60, (300, 2)), np.zeros((3, 2))]), 1)
+    frame, rad = rng.choice([0, 0, 0, 1], len(v)), rng.choice([0.0, 0.5, 1.0, 3.0], len(v))
+    df = spark.createDataFrame([(int(f), i, float(x), float(y), float(r)) for i, (f, (x, y), r) in enumerate(zip(frame, v, rad, strict=True))] + [(0, 900, None, 1.0, 1.0)], "FrameID int, CellID int, xpos double, ypos double, Rad double")
+    got = {r["CellID"]: r["dens"] for r in density.local_density(df, blocks_from=blocks_from).collect()}
+    assert len(got) == len(v) + 1 and got[900] == 0
+    for i in range(len(v)):
+        d = np.hypot(*(v[frame == frame[i]] - v[i]).T)
+        assert got[i] == pytest.approx((1 / d[(d > 0) & (d < 6 * rad[i])]).sum())
+    spot = df.selectExpr("FrameID", "xpos __x", "ypos __y", "Rad * 6 __reach")
+    cut = density.crowded_density(spot, ["FrameID"], 1.0, most_looks=16, most_places=32)  # many blocks to a cell
+    assert {(r["__x"], r["__y"]): r["dens"] for r in cut.where("FrameID = 0 and __reach = 18").collect()} == pytest.approx({tuple(v[i]): got[i] for i in range(len(v)) if frame[i] == 0 and rad[i] == 3})
+
+
+def test_copies_in_a_frame_make_no_pairs(spark):
+    df = spark.range(20_000).selectExpr("1 FrameID", "id CellID", "cast(id % 4 as double) xpos", "0.0D ypos", "1.0D Rad")
+    spot = df.selectExpr("FrameID", "xpos __x", "ypos __y", "Rad * 6 __reach")
+    got = sorted((r["__x"], r["dens"]) for r in density.crowded_density(spot, ["FrameID"], 1.0).collect())
+    assert got == [(i, pytest.approx(5000 * sum(1 / abs(i - j) for j in range(4) if j != i))) for i in range(4)]
+    assert {(r["xpos"], round(r["dens"], 6)) for r in density.local_density(df).collect()} == {(x, round(d, 6)) for x, d in got}
