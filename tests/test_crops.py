@@ -318,6 +318,27 @@ def test_forest_keeps_the_nodes_that_rows_have_reached(spark, monkeypatch):
     assert asked[0].get("cacheNodeIds") is True
 
 
+def test_one_file_is_dealt_to_all_cores(spark, monkeypatch):
+    fits, df = [], groups(spark).coalesce(1)
+    for kind in (classify.RandomForestClassifier, classify.LinearSVC):
+        monkeypatch.setattr(kind, "fit", lambda self, rows, plain=kind.fit: fits.append(rows.rdd.getNumPartitions()) or plain(self, rows))
+    out = classify.classify(df, df, "class", ["a", "b"], "segerror", "correct", trees=3)
+    assert len(fits) == 2 and min(fits) >= 4
+    assert out.rdd.getNumPartitions() >= 4
+
+
+def test_machine_says_what_sparks_own_model_says(spark, monkeypatch):
+    rng, models = np.random.default_rng(3), []
+    rows = [(i, float(a), float(b), "in" if a * a + b * b < 1 else "out") for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y string")
+    monkeypatch.setattr(classify.LinearSVC, "fit", lambda self, lifted, plain=classify.LinearSVC.fit: models.append((m := plain(self, lifted), lifted)) or m)
+    got = classify.rbf_svm(df, df, "y", ["a", "b"], components=20).groupBy("y", "SVM").count().collect()
+    model, lifted = models[0]
+    own = model.transform(lifted).groupBy("__y", "__p").count().collect()
+    names = ["in", "out"]
+    assert {(r["y"], r["SVM"]): r["count"] for r in got} == {(names[int(r["__y"])], names[int(r["__p"])]): r["count"] for r in own}
+
+
 def test_ward_clusters(spark):
     df = spark.range(90).selectExpr("id", "id % 3 * 10 + rand(1) a", "id % 3 * 7 + rand(2) b").cache()
     for few in (1000, 10):
