@@ -2,9 +2,9 @@
 
 A few rows are pivots; every row belongs to the cell of the pivot nearest to it and knows how far that is. A cell's rows lie
 between two distances from its pivot, so a row that is d from the pivot is at least d minus the larger and the smaller minus
-d away from all of them. Cells that lie together form blocks of bounded size. A row first looks in its own block; the k-th best
-found there then says which other blocks, and which cells of them, can hold anything better. Where rows form no
-clusters nothing is pruned, and every block meets every other.
+d away from all of them. Cells that lie together form blocks of bounded size, and blocks that lie together form places. A row
+first looks in its own block; the k-th best found there then says which places, and which cells of them, can hold anything
+as near. Where rows form no clusters nothing is pruned: shares of the rows that ask meet every place, each pair in a task of its own.
 """
 
 from __future__ import annotations
@@ -14,21 +14,26 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import written
 
 #: Bounds of what reaches the driver: pivots, and a row of bounds for each block and cell.
 MOST_PIVOTS = 1024
+#: A place has as many blocks at most, and so many blocks' rows ask there in one task.
+WIDE, SHARE = 8, 12
+#: Distances are looked through in tables of as many columns and numbers.
+COLUMNS, TABLE = 2048, 1 << 20
 
 FOUND = "id long, rank int, other long, cost double, computed long"
+LISTS = "id long, other array<long>, cost array<double>, computed long"
 
 
 @dataclass
 class Cells:
-    """Pivots; for each cell its rows' smallest and largest distance from the pivot and smallest weight, and its block; and in
-    how many parts each block is split."""
+    """Pivots; for each cell its rows' smallest and largest distance from the pivot and smallest weight, its block and its place;
+    and in how many parts each block and each place is split."""
 
     pivots: np.ndarray
     near: np.ndarray
@@ -36,6 +41,8 @@ class Cells:
     light: np.ndarray
     block: np.ndarray
     parts: np.ndarray
+    place: np.ndarray
+    place_parts: np.ndarray
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -114,35 +121,90 @@ def _blocks(centres: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
     return block
 
 
-def cells_of(points: DataFrame, width: int, n: int, per_cell: int, most: int) -> tuple[DataFrame, Cells]:
-    """(the points with __cell, __far, __block and __part, the cells). Pivots are rows with the lowest hashes of their ids, at most
-    MOST_PIVOTS; they say only where rows are looked for."""
+def pivots_of(points: DataFrame, width: int, n: int, per_cell: int) -> np.ndarray:
+    """Rows with the lowest hashes of their ids, at most MOST_PIVOTS; they say only where rows are looked for."""
     wanted = int(min(MOST_PIVOTS, max(1, n // per_cell)))
     rows = points.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 4.0 * wanted / max(1, n)))) if wanted < n else points
     picked = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(wanted).select("v").toArrow()
     pivots = matrix(picked.column(0), width) if picked.num_rows else np.zeros((1, width))
     pivots = pivots[np.isfinite(pivots).all(axis=1)]
-    pivots = pivots if len(pivots) else np.zeros((1, width))
+    return pivots if len(pivots) else np.zeros((1, width))
+
+
+def with_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """The points with __cell, the number of the nearest pivot, and __far, how far that is."""
+    width = pivots.shape[1]
 
     @F.pandas_udf("struct<cell:int,far:double>")
-    def place(v: pd.Series) -> pd.DataFrame:
+    def at(v: pd.Series) -> pd.DataFrame:
         cell, far = _nearest_pivot(np.array([np.asarray(x, dtype=float) for x in v]).reshape(len(v), width), pivots)
         return pd.DataFrame({"cell": cell.astype(np.int32), "far": far})
 
-    placed = written(points.withColumn("__at", place("v")).select("*", F.col("__at.cell").alias("__cell"), F.col("__at.far").alias("__far")).drop("__at"))
+    return points.withColumn("__at", at("v")).select("*", F.col("__at.cell").alias("__cell"), F.col("__at.far").alias("__far")).drop("__at")
+
+
+def cells_of(placed: DataFrame, pivots: np.ndarray, most: int) -> Cells:
+    """The cells of with_cells(), with blocks of about `most` rows; a place is a twelfth of the rows, one block at least and WIDE at most."""
     stats = placed.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.min("__far").alias("near"), F.max("__far").alias("far"), F.min("w").alias("light")).collect()
     k = len(pivots)
-    rows_, near, far, light = np.zeros(k), np.full(k, np.inf), np.full(k, -np.inf), np.ones(k)
+    rows, near, far, light = np.zeros(k), np.full(k, np.inf), np.full(k, -np.inf), np.ones(k)
     for r in stats:
         c = r["__cell"]
-        rows_[c], near[c], far[c], light[c] = r["n"], r["near"], r["far"], r["light"]
-    block = _blocks(pivots, rows_, most)
-    parts = np.maximum(1, np.ceil(np.bincount(block, weights=rows_) / most)).astype(int)
-    cells = Cells(pivots, near, far, light, block, parts)
-    table = F.array(*map(F.lit, block.tolist()))
-    sizes = F.array(*map(F.lit, parts.tolist()))
-    placed = placed.withColumn("__block", F.element_at(table, F.col("__cell") + 1))
-    return placed.withColumn("__part", F.pmod(F.xxhash64("id", F.lit(6)), F.element_at(sizes, F.col("__block") + 1)).cast("int")), cells
+        rows[c], near[c], far[c], light[c] = r["n"], r["near"], r["far"], r["light"]
+    block = _blocks(pivots, rows, most)
+    in_block = np.bincount(block, weights=rows)
+    wide = min(max(rows.sum() / 12, most), WIDE * most)
+    place, n, held = np.zeros(len(in_block), dtype=np.int64), 0, 0.0
+    for b, more in enumerate(in_block):  # blocks of neighbouring numbers lie together
+        n, held = (n + 1, more) if held and held + more > wide else (n, held + more)
+        place[b] = n
+    parts = np.maximum(1, np.ceil(in_block / most)).astype(int)
+    place_parts = np.maximum(1, np.ceil(np.bincount(place, weights=in_block) / wide)).astype(int)
+    return Cells(pivots, near, far, light, block, parts, place[block], place_parts)
+
+
+class _Shown:
+    """Points that rows are compared with, moved to where they are, so that the error of a rough distance goes with their spread."""
+
+    def __init__(self, v: np.ndarray, middle: np.ndarray | float):
+        self.v, self.middle = v, middle
+        with np.errstate(invalid="ignore", over="ignore"):
+            self.b = v - middle
+            self.bb = np.einsum("ij,ij->i", self.b, self.b)
+        self.largest = self.bb.max() if len(v) else np.inf
+        self.small = np.column_stack([self.b, self.bb, np.ones(len(v))]).astype(np.float32).T if self.largest < 1e30 else None
+
+    def table(self, asks: np.ndarray) -> _Table:
+        return _Table(self, asks)
+
+
+class _Table:
+    """Squared distances between rows and shown points, by one product of matrices in single precision where numbers allow it."""
+
+    def __init__(self, shown: _Shown, asks: np.ndarray):
+        self.shown, self.asks = shown, asks
+        with np.errstate(invalid="ignore", over="ignore"):
+            self.a = asks - shown.middle
+            self.aa = np.einsum("ij,ij->i", self.a, self.a)
+        largest = np.maximum(shown.largest, self.aa.max()) if len(asks) else np.inf  # which keeps what is no number
+        #: whether distances() sums, or multiplies in double precision, whatever is asked of it
+        self.exact = not 1e-20 < largest < 1e30
+        self.small = None if self.exact else np.column_stack([-2 * self.a, np.ones(len(asks)), self.aa]).astype(np.float32)
+        self.rough = largest < 1e150
+
+    def distances(self, lo: int, hi: int, exact: bool) -> tuple[np.ndarray, np.ndarray, float]:
+        """(squared distances from points lo to hi, for each row how far they can be from squared() at most, the precision)."""
+        if self.small is not None and not exact:
+            eps = float(np.finfo(np.float32).eps)
+            return self.small @ self.shown.small[:, lo:hi], 4 * (self.a.shape[1] + 8) * eps * (self.aa + self.shown.largest), eps
+        eps = float(np.finfo(float).eps)
+        if not self.rough:
+            return squared(self.asks, self.shown.v[lo:hi]), np.zeros(len(self.asks)), eps
+        d = self.a @ self.shown.b[lo:hi].T
+        d *= -2
+        d += self.aa[:, None]
+        d += self.shown.bb[None, lo:hi]
+        return d, 16 * (self.a.shape[1] + 8) * eps * (self.aa + self.shown.largest) + np.finfo(float).tiny, eps
 
 
 class _Search:
@@ -165,27 +227,25 @@ class _Search:
 
     def see(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         """Compare the rows of these numbers with all points of a cell. ids must be in order."""
-        for lo in range(0, len(rows), step := max(1, 1_000_000 // max(1, len(ids)))):
+        middle = v.mean(axis=0) if len(v) else 0.0
+        shown = _Shown(v, middle)
+        opened = not np.isfinite(self.limit[rows]).all()
+        columns = max(1, len(ids) if opened else min(len(ids), COLUMNS))
+        for lo in range(0, len(rows), step := max(1, TABLE // columns)):
             own = rows[lo : lo + step]
             self.computed += len(own) * len(ids)
-            k = min(self.k, len(ids))
-            near = roughly(self.v[own], v)
-            d, off = (squared(self.v[own], v), np.zeros(len(own))) if near is None else near
+            asks = self.v[own]
+            table = shown.table(asks)
+            same = np.minimum(np.searchsorted(ids, self.ids[own]), len(ids) - 1)
+            mine = np.flatnonzero(ids[same] == self.ids[own])
+            some = [self._candidates(own, table, mine, same[mine], w, c, min(c + columns, len(ids))) for c in range(0, len(ids), columns)]
+            r, at = (np.concatenate(x) for x in zip(*some, strict=True))
+            # rough distances have only left out what can't be among the k best
+            cost = squared_pairs(asks[r], v[at])
             if self.weighted:
-                d *= factor(self.w[own, None], w[None])
-                off = off * factor(self.w[own], w.max()) * (1 + 1e-9)  # a factor grows with both weights
-            at = np.minimum(np.searchsorted(ids, self.ids[own]), len(ids) - 1)
-            same = np.flatnonzero(ids[at] == self.ids[own])
-            d[same, at[same]] = np.inf
-            best = d.min(axis=1) if k == 1 else np.partition(d, k - 1, axis=1)[:, k - 1]
-            r, at = np.nonzero((d <= np.minimum(best + 2 * off, self.limit[own] + off)[:, None]) & (d < np.inf))
-            cost = d[r, at]
-            if near is not None:  # rough distances have only left out what can't be among the k best
-                cost = squared_pairs(self.v[own[r]], v[at])
-                if self.weighted:
-                    cost *= factor(self.w[own[r]], w[at])
-                keep = cost <= self.limit[own[r]]
-                r, at, cost = r[keep], at[keep], cost[keep]
+                cost *= factor(self.w[own[r]], w[at])
+            keep = cost <= self.limit[own[r]]
+            r, at, cost = r[keep], at[keep], cost[keep]
             if len(r) == 0:
                 continue
             touched = np.unique(r)
@@ -200,19 +260,65 @@ class _Search:
             self.cost[own[of[keep]], place[keep]], self.other[own[of[keep]], place[keep]] = cost[keep], other[keep]
             self.limit[old] = np.minimum(self.limit[old], self.cost[old, self.k - 1])
 
+    def _candidates(self, own: np.ndarray, table: _Table, mine: np.ndarray, same: np.ndarray, w: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of own, point) of all pairs of points lo to hi that can be among the k best, and of few others. mine: rows of own which
+        are the points `same` themselves."""
+        wa, wb = self.w[own], w[lo:hi]
+        alike = not self.weighted or wb.min() == wb.max()
+        for exact in (False, True):
+            d, off, eps = table.distances(lo, hi, exact)
+            limit = self.limit[own]
+            if self.weighted and alike:
+                limit = limit / factor(wa, wb[0])
+            elif self.weighted:
+                d /= np.add.outer((1 / wa).astype(d.dtype), (1 / wb).astype(d.dtype))
+                off = off * factor(wa, wb.max())  # a factor grows with both weights
+            inside = (same >= lo) & (same < hi)
+            d[mine[inside], same[inside] - lo] = np.inf
+            opened = ~np.isfinite(limit)
+            if opened.any():
+                k = min(self.k, hi - lo)
+                limit = limit.copy()
+                limit[opened] = np.partition(d[opened], k - 1, axis=1)[:, k - 1] + off[opened]
+            most = float(np.finfo(d.dtype).max)
+            with np.errstate(over="ignore"):
+                limit = np.minimum((limit + off) * (1 + 16 * eps), most).astype(d.dtype)
+            hit = np.flatnonzero(d <= limit[:, None])
+            if exact or table.exact or len(hit) <= 4096 + 4 * self.k * len(own):
+                break  # else the table's numbers are too rough for how near these rows lie
+        r, at = np.divmod(hit, hi - lo)
+        return r, at + lo
+
     def found(self) -> pa.Table:
-        """FOUND; `computed` stands in the first row alone, a row without a neighbour if need be."""
-        r, j = np.nonzero(np.isfinite(self.cost))
-        n = len(r)
-        if n == 0 and self.computed:
-            return pa.table([pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.float64())] + [pa.array([self.computed], pa.int64())], ["id", "rank", "other", "cost", "computed"])
-        computed = np.zeros(n, dtype=np.int64)
+        """LISTS, a row for each row that has found anything; `computed` stands in the first alone, with a null id if need be."""
+        n = np.isfinite(self.cost).sum(axis=1)
+        r = np.flatnonzero(n)
+        ids = pa.array(self.ids[r], pa.int64())
+        if len(r) == 0:
+            if not self.computed:
+                return nothing(LISTS)
+            ids, n, r = pa.array([None], pa.int64()), np.zeros(1, dtype=np.int64), np.zeros(0 if len(self.ids) == 0 else 1, dtype=np.int64)
+        else:
+            n = n[r]
+        keep = np.isfinite(self.cost[r])
+        computed = np.zeros(len(ids), dtype=np.int64)
         computed[:1] = self.computed
-        return pa.table([pa.array(self.ids[r], pa.int64()), pa.array(j, pa.int32()), pa.array(self.other[r, j], pa.int64()), pa.array(self.cost[r, j]), pa.array(computed)], ["id", "rank", "other", "cost", "computed"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        return pa.table([ids, pa.ListArray.from_arrays(ends, pa.array(self.other[r][keep], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(self.cost[r][keep])), pa.array(computed)], ["id", "other", "cost", "computed"])
+
+
+def _of(numbers: np.ndarray, at: Column) -> Column:
+    """numbers[at], for a column of places."""
+    return F.element_at(F.expr(f"array({', '.join(map(str, numbers.tolist()))})"), at + 1)
+
 
+def nothing(schema: str) -> pa.Table:
+    return pa.table([pa.array([], {"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}[x.split()[1]]) for x in schema.split(", ")], [x.split()[0] for x in schema.split(", ")])
 
-def _look(search: _Search, cells: Cells, ids: np.ndarray, v: np.ndarray, w: np.ndarray, cell: np.ndarray) -> None:
-    """Show the points of a block to the search, cell by cell, the nearest cells of each group of rows first."""
+
+def _look(search: _Search, cells: Cells, ids: np.ndarray, v: np.ndarray, w: np.ndarray, cell: np.ndarray, seen: np.ndarray | None = None) -> None:
+    """Show the points of a block or place to the search, cell by cell, the nearest cells of each group of rows first. seen: for each
+    row of the search a cell that it knows."""
     order = np.lexsort((ids, cell))
     ids, v, w, cell = ids[order], v[order], w[order], cell[order]
     own, first = np.unique(cell, return_index=True)
@@ -220,20 +326,103 @@ def _look(search: _Search, cells: Cells, ids: np.ndarray, v: np.ndarray, w: np.n
     away = np.sqrt(squared(search.v, cells.pivots[own]))
     bounds = np.column_stack([search.least(away[:, j], cells.near[c], cells.far[c], cells.light[c]) for j, c in enumerate(own)])
     turn, i, together = np.argsort(bounds.min(axis=0), kind="stable"), 0, 1
+    if seen is not None:
+        bounds[seen[:, None] == own[None]] = np.nan
     sizes = ends - first
     while i < len(turn):
-        # cells that nearly the same rows look into are shown at once, but for the first one, which gives them their limits
+        # cells that nearly the same rows look into are shown at once, ever more of them as the limits come down
         some = turn[i : i + together]
         wanted = bounds[:, some] <= search.limit[:, None]
         asked = np.logical_or.accumulate(wanted, axis=1).sum(axis=0) * np.cumsum(sizes[some])
         close = np.cumsum(wanted.sum(axis=0) * sizes[some]) >= 0.9 * asked
         n = int(np.argmin(close)) if not close.all() else len(some)
-        rows = np.flatnonzero(wanted[:, :n].any(axis=1))
+        n = max(n, 1)
+        if seen is None:
+            rows, hide = np.flatnonzero(wanted[:, :n].any(axis=1)), None
+        else:  # rows that know one of the cells must not see it again
+            known = np.isin(seen, own[some[:n]])
+            rows, hide = np.flatnonzero(wanted[:, :n].any(axis=1) & ~known), np.flatnonzero(wanted[:, :n].any(axis=1) & known)
+        shown = np.concatenate([np.arange(first[j], ends[j]) for j in some[:n]])
         if len(rows):
-            shown = np.concatenate([np.arange(first[j], ends[j]) for j in some[:n]])
-            shown = shown[np.argsort(ids[shown])] if n > 1 else shown
-            search.see(rows, ids[shown], v[shown], w[shown])
-        i, together = i + n, 32
+            at = shown[np.argsort(ids[shown])] if n > 1 else shown
+            search.see(rows, ids[at], v[at], w[at])
+        if hide is not None and len(hide) and n > 1:
+            for c in np.unique(seen[hide]):
+                at = shown[cell[shown] != c]
+                at = at[np.argsort(ids[at])]
+                search.see(hide[seen[hide] == c], ids[at], v[at], w[at])
+        i, together = i + n, min(32, 2 * together)
+
+
+def lists(placed: DataFrame, cells: Cells, width: int, n: int, asking: int, k: int, weighted: bool, most: int) -> DataFrame:
+    """LISTS: for each of the n points (id, v, w, asks, __cell, __far) with `asks`, `asking` at most, its k nearest others, nearest
+    first, ties by smaller id. A point without others has no row; rows with a null id hold but `computed`."""
+    block = _of(cells.block, F.col("__cell"))
+    placed = placed.select("id", "v", "w", "asks", "__cell", block.alias("__block"))
+    part = F.pmod(F.xxhash64("id", F.lit(6)), _of(cells.parts, F.col("__block"))).cast("int")
+
+    def inside(t: pa.Table) -> _Search | None:
+        ids, v, w, cell = t.column("id").to_numpy(), matrix(t.column("v"), width), t.column("w").to_numpy(), t.column("__cell").to_numpy()
+        own = np.flatnonzero(t.column("asks").to_numpy(zero_copy_only=False).astype(bool))
+        if len(own) == 0:
+            return None
+        search = _Search(ids[own], v[own], w[own], k, weighted)
+        for c in np.unique(cell[own]):
+            mine = np.flatnonzero(cell == c)
+            mine = mine[np.argsort(ids[mine])]
+            search.see(np.flatnonzero(cell[own] == c), ids[mine], v[mine], w[mine])
+        _look(search, cells, ids, v, w, cell, cell[own])
+        return search
+
+    in_block = placed.withColumn("__part", part).groupBy("__block", "__part")
+    if len(cells.parts) == 1 and cells.parts[0] == 1:
+        return in_block.applyInArrow(lambda t: s.found() if (s := inside(t)) else nothing(LISTS), LISTS)
+
+    limited = "id long, v array<double>, w double, limit double, computed long"
+
+    def limits(t: pa.Table) -> pa.Table:
+        search = inside(t)
+        if search is None:
+            return t.select(["id", "v", "w"]).slice(0, 0).append_column("limit", pa.array([], pa.float64())).append_column("computed", pa.array([], pa.int64()))
+        t = t.filter(t.column("asks")).select(["id", "v", "w"])
+        computed = np.zeros(t.num_rows, dtype=np.int64)
+        computed[:1] = search.computed
+        return t.append_column("limit", pa.array(search.limit)).append_column("computed", pa.array(computed))
+
+    asks = in_block.applyInArrow(limits, limited)
+    first = np.concatenate([[0], np.cumsum(cells.place_parts)])
+
+    @F.pandas_udf("array<int>")
+    def where(v: pd.Series, w: pd.Series, limit: pd.Series) -> pd.Series:
+        v, limit = np.array([np.asarray(x, dtype=float) for x in v]).reshape(len(w), width), limit.to_numpy(dtype=float)
+        search = _Search(np.arange(len(w)), v, w.to_numpy(dtype=float), k, weighted)
+        away = np.sqrt(squared(v, cells.pivots))
+        bounds = np.full((len(w), len(cells.place_parts)), np.inf)
+        for c in np.flatnonzero(cells.far >= 0):
+            bounds[:, cells.place[c]] = np.minimum(bounds[:, cells.place[c]], search.least(away[:, c], cells.near[c], cells.far[c], cells.light[c]))
+        visit = np.repeat(bounds <= limit[:, None], cells.place_parts, axis=1)
+        return pd.Series([np.flatnonzero(x).astype(np.int32) for x in visit])
+
+    shares = max(1, -(-asking // (SHARE * most)))
+    share = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(shares)).cast("int")
+    asks = asks.select("id", "v", "w", "limit", "computed", share.alias("__share"), F.posexplode(where("v", "w", "limit")).alias("__n", "__to"))
+    asks = asks.withColumn("computed", F.when(F.col("__n") == 0, F.col("computed")).otherwise(0)).drop("__n")
+    place = _of(cells.place, F.col("__cell"))
+    to = _of(first, place) + F.pmod(F.xxhash64("id", F.lit(7)), _of(cells.place_parts, place))
+    held = placed.select("id", "v", "w", "__cell", to.cast("int").alias("__to"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("__share"))
+
+    def outside(asks: pa.Table, held: pa.Table) -> pa.Table:
+        if asks.num_rows == 0 or held.num_rows == 0:
+            return nothing(LISTS)
+        search = _Search(asks.column("id").to_numpy(), matrix(asks.column("v"), width), asks.column("w").to_numpy(), k, weighted, asks.column("limit").to_numpy())
+        search.computed = int(asks.column("computed").to_numpy().sum())
+        _look(search, cells, held.column("id").to_numpy(), matrix(held.column("v"), width), held.column("w").to_numpy(), held.column("__cell").to_numpy())
+        return search.found()
+
+    found = asks.groupBy("__to", "__share").cogroup(held.groupBy("__to", "__share")).applyInArrow(outside, LISTS)
+    # each place has given its k best; of these the k best of all
+    best = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("cost", "other")))), 1, k)
+    return found.groupBy("id").agg(best.alias("b"), F.sum("computed").alias("computed")).select("id", F.col("b.other").alias("other"), F.col("b.cost").alias("cost"), "computed")
 
 
 def nearest(points: DataFrame, width: int, k: int = 1, weighted: bool = False, per_cell: int = 64, most: int = 8192) -> DataFrame:
@@ -246,74 +435,9 @@ def nearest(points: DataFrame, width: int, k: int = 1, weighted: bool = False, p
     """
     points = written(points.select("id", "v", F.col("w").cast("double").alias("w"), "asks"))
     n = points.count()
-    placed, cells = cells_of(points, width, n, per_cell, most)
-    row = ["id", "v", "w", "asks", "__cell"]
-
-    def parts(t: pa.Table) -> tuple[np.ndarray, ...]:
-        return t.column("id").to_numpy(), matrix(t.column("v"), width), t.column("w").to_numpy(), t.column("__cell").to_numpy()
-
-    def inside(t: pa.Table) -> pa.Table:
-        ids, v, w, cell = parts(t)
-        asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        out = []
-        for c in np.unique(cell[asks]):  # rows of one cell look at the same cells
-            own = np.flatnonzero(asks & (cell == c))
-            search = _Search(ids[own], v[own], w[own], k, weighted)
-            mine = cell == c
-            search.see(np.arange(len(own)), *(x[mine][np.argsort(ids[mine])] for x in (ids, v, w)))
-            rest = ~mine
-            if rest.any():
-                _look(search, cells, ids[rest], v[rest], w[rest], cell[rest])
-            out.append(search.found())
-        return pa.concat_tables(out) if out else pa.table([pa.array([], x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64())], ["id", "rank", "other", "cost", "computed"])
-
-    first = placed.select(*row, "__block", "__part").groupBy("__block", "__part").applyInArrow(inside, FOUND)
-    everywhere = [(int(b), p) for b in range(len(cells.parts)) for p in range(cells.parts[b])]
-    if len(everywhere) == 1:
-        return first
-    first = written(first)
-    limits = first.where(F.col("rank") == k - 1).select("id", F.col("cost").alias("__limit"))
-    asking = placed.where("asks").join(limits, "id", "left")
-
-    @F.pandas_udf("array<int>")
-    def others(v: pd.Series, w: pd.Series, block: pd.Series, part: pd.Series, limit: pd.Series) -> pd.Series:
-        v, limit = np.array([np.asarray(x, dtype=float) for x in v]).reshape(len(w), width), limit.fillna(np.inf).to_numpy()
-        search = _Search(np.arange(len(w)), v, w.to_numpy(dtype=float), k, weighted)
-        away = np.sqrt(squared(v, cells.pivots))
-        held = np.flatnonzero(cells.far >= 0)
-        bounds = np.full((len(w), len(cells.parts)), np.inf)
-        for c in held:
-            bounds[:, cells.block[c]] = np.minimum(bounds[:, cells.block[c]], search.least(away[:, c], cells.near[c], cells.far[c], cells.light[c]))
-        visit = bounds <= limit[:, None]
-        where = [(n, b, p) for n, (b, p) in enumerate(everywhere)]
-        return pd.Series([[n for n, b, p in where if visit[i, b] and (b, p) != (block.iloc[i], part.iloc[i])] for i in range(len(w))])
-
-    asks = asking.select("id", "v", "w", "__limit", F.explode(others("v", "w", "__block", "__part", "__limit")).alias("__to"))
-    # rows of a place that very many ask are split over as many tasks
-    asks = asks.withColumn("__share", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(max(1, n // (4 * most)))).cast("int"))
-    number = F.create_map(*[x for i, (b, p) in enumerate(everywhere) for x in (F.lit(b * 1_000_000 + p), F.lit(i))]) if len(everywhere) <= 4096 else None
-    if number is None:
-        places = points.sparkSession.createDataFrame([(i, b, p) for i, (b, p) in enumerate(everywhere)], "__to int, __block int, __part int")
-        held = placed.join(F.broadcast(places), ["__block", "__part"])
-    else:
-        held = placed.withColumn("__to", number[F.col("__block") * 1_000_000 + F.col("__part")])
-    shares = F.explode(F.sequence(F.lit(0), F.lit(max(1, n // (4 * most)) - 1)))
-    held = held.select(F.col("id").alias("__id"), F.col("v").alias("__v"), F.col("w").alias("__w"), F.col("__cell").alias("__c"), "__to", shares.alias("__share"))
-
-    def outside(asks: pa.Table, held: pa.Table) -> pa.Table:
-        if asks.num_rows == 0 or held.num_rows == 0:
-            return pa.table([pa.array([], x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64())], ["id", "rank", "other", "cost", "computed"])
-        limit = asks.column("__limit").to_numpy(zero_copy_only=False).astype(float)
-        search = _Search(asks.column("id").to_numpy(), matrix(asks.column("v"), width), asks.column("w").to_numpy(), k, weighted, np.where(np.isnan(limit), np.inf, limit))
-        _look(search, cells, held.column("__id").to_numpy(), matrix(held.column("__v"), width), held.column("__w").to_numpy(), held.column("__c").to_numpy())
-        return search.found()
-
-    more = asks.groupBy("__to", "__share").cogroup(held.groupBy("__to", "__share")).applyInArrow(outside, FOUND)
-    both = first.unionByName(more)
-    # each place has given its k best; of these the k best of all
-    best = F.slice(F.array_sort(F.collect_list(F.struct("cost", "other"))), 1, k)
-    ranked = both.where("id is not null").groupBy("id").agg(best.alias("b"), F.sum("computed").alias("computed"))
-    ranked = ranked.select("id", F.posexplode("b").alias("rank", "x"), "computed")
-    ranked = ranked.select("id", "rank", F.col("x.other").alias("other"), F.col("x.cost").alias("cost"), F.when(F.col("rank") == 0, F.col("computed")).otherwise(F.lit(0)).cast("long").alias("computed"))
-    silent = both.where("id is null").select("id", "rank", "other", "cost", "computed")
-    return ranked.unionByName(silent)
+    pivots = pivots_of(points, width, n, per_cell)
+    placed = written(with_cells(points, pivots))
+    found = lists(placed, cells_of(placed, pivots, most), width, n, n, k, weighted, most)
+    one = F.posexplode_outer(F.arrays_zip("other", "cost")).alias("rank", "x")
+    rows = found.select("id", one, "computed")
+    return rows.select("id", "rank", F.col("x.other").alias("other"), F.col("x.cost").alias("cost"), F.when(F.coalesce("rank", F.lit(0)) == 0, F.col("computed")).otherwise(F.lit(0)).cast("long").alias("computed"))

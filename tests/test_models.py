@@ -232,3 +232,42 @@ def test_distances_take_a_product_of_matrices():
     start = time.process_time()
     neighbours.squared(v[:400], v)
     assert took < 10 * (time.process_time() - start) / 2
+
+
+def test_ward_asks_few_clusters_again(spark, monkeypatch):
+    """Clusters whose nearest is joined go on with their lists: all searches together take less than 2.3 n^2 distances, not 3 n^2."""
+    asked, search = [], cluster.lists
+
+    def counted(placed, cells, width, n, asking, *more):
+        asked.append(n * asking)
+        return search(placed, cells, width, n, asking, *more)
+
+    monkeypatch.setattr(cluster, "lists", counted)
+    v = np.random.default_rng(12).normal(size=(600, 16))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "id long, " + ", ".join(f"e{i} double" for i in range(16)))
+    out = {r["id"]: r["cluster"] for r in cluster.heterogeneous_clusters(df, "id", 7, few=150, per_cell=16, most=128).collect()}
+    assert [out[i] for i in range(600)] == cluster.ward((v - v.mean(0)) / v.std(0, ddof=1), np.ones(600), 7).tolist()
+    assert len(asked) > 3 and sum(asked) < 2.3 * 600**2
+
+
+def test_rounds_in_a_task_are_ward():
+    rng = np.random.default_rng(13)
+    v, w = rng.normal(size=(700, 5)), rng.integers(1, 9, 700).astype(float)
+    one, rounds = cluster.agglomerate(v, w), cluster.in_rounds(v, w)
+    assert sorted(x[2] for x in one) == sorted(x[2] for x in rounds)
+    grid = np.array([(i, j) for i in range(15) for j in range(15)], float)  # nothing but ties
+    assert len(cluster.in_rounds(grid, np.ones(225))) == 224
+
+
+def test_single_precision_leaves_the_neighbours_exact():
+    """Groups far from each other, whose rows lie nearer together than single precision tells."""
+    rng = np.random.default_rng(14)
+    v = (rng.normal(size=(8, 6)) * 1e4)[rng.integers(0, 8, 1600)] + rng.normal(size=(1600, 6)) * 1e-3
+    ids, w = np.arange(1600), rng.integers(1, 4, 1600).astype(float)
+    search = neighbours._Search(ids, v, w, 5, True)
+    for part in np.array_split(ids, 3):
+        search.see(ids, part, v[part], w[part])
+    d = neighbours.squared(v, v) * neighbours.factor(w[:, None], w[None])
+    np.fill_diagonal(d, np.inf)
+    best = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert (search.other == best).all() and (search.cost == np.take_along_axis(d, best, 1)).all()
