@@ -163,11 +163,30 @@ def cells_of(placed: DataFrame, pivots: np.ndarray, most: int) -> Cells:
     return Cells(pivots, near, far, light, block, parts, place[block], place_parts)
 
 
+def _hits(found: np.ndarray) -> np.ndarray:
+    """np.flatnonzero() of a table with few hits, eight places at a time."""
+    flat = np.ascontiguousarray(found).ravel()
+    whole = len(flat) // 8 * 8
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    row, at = np.nonzero(flat[:whole].reshape(-1, 8)[eights])
+    return np.concatenate([eights[row] * 8 + at, whole + np.flatnonzero(flat[whole:])])
+
+
+def _away(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the distances from pivots, no farther apart than rounding."""
+    near = roughly(v, pivots)
+    if near is None:
+        exact = np.sqrt(squared(v, pivots))
+        return exact, exact
+    d, off = near
+    return np.sqrt(np.maximum(d - off[:, None], 0)), np.sqrt(np.maximum(d + off[:, None], 0))
+
+
 class _Shown:
     """Points that rows are compared with, moved to where they are, so that the error of a rough distance goes with their spread."""
 
     def __init__(self, v: np.ndarray, middle: np.ndarray | float):
-        self.v, self.middle = v, middle
+        self.v, self.middle, self.free = v, middle, None
         with np.errstate(invalid="ignore", over="ignore"):
             self.b = v - middle
             self.bb = np.einsum("ij,ij->i", self.b, self.b)
@@ -177,6 +196,12 @@ class _Shown:
     def table(self, asks: np.ndarray) -> _Table:
         return _Table(self, asks)
 
+    def room(self, rows: int, columns: int) -> np.ndarray:
+        """Room for a table, the same for each."""
+        if self.free is None or self.free.size < rows * columns:
+            self.free = np.empty(rows * columns, dtype=np.float32)
+        return self.free[: rows * columns].reshape(rows, columns)
+
 
 class _Table:
     """Squared distances between rows and shown points, by one product of matrices in single precision where numbers allow it."""
@@ -196,7 +221,8 @@ class _Table:
         """(squared distances from points lo to hi, for each row how far they can be from squared() at most, the precision)."""
         if self.small is not None and not exact:
             eps = float(np.finfo(np.float32).eps)
-            return self.small @ self.shown.small[:, lo:hi], 4 * (self.a.shape[1] + 8) * eps * (self.aa + self.shown.largest), eps
+            d = self.shown.room(len(self.asks), hi - lo)
+            return np.matmul(self.small, self.shown.small[:, lo:hi], out=d), 4 * (self.a.shape[1] + 8) * eps * (self.aa + self.shown.largest), eps
         eps = float(np.finfo(float).eps)
         if not self.rough:
             return squared(self.asks, self.shown.v[lo:hi]), np.zeros(len(self.asks)), eps
@@ -217,12 +243,12 @@ class _Search:
         self.limit = np.full(len(ids), np.inf) if cost is None else cost.copy()
         self.computed = 0
 
-    def least(self, to_pivot: np.ndarray, near: float, far: float, light: float) -> np.ndarray:
-        """The least that any row between two distances from a pivot can cost rows that are to_pivot away from it."""
+    def least(self, to_pivot: np.ndarray, at_most: np.ndarray, near: float, far: float, light: float) -> np.ndarray:
+        """The least that any row between two distances from a pivot can cost rows that are to_pivot, or up to at_most, away from it."""
         with np.errstate(invalid="ignore", over="ignore"):
             # rounding of the distances must not prune what is just as near
-            d = np.maximum(np.maximum(to_pivot - far, near - to_pivot) - 1e-9 * (to_pivot + far), 0) ** 2
-            d = np.where(np.isfinite(to_pivot) & (to_pivot < 1e150) & (far < 1e150), d, 0.0)
+            d = np.maximum(np.maximum(to_pivot - far, near - at_most) - 1e-9 * (at_most + far), 0) ** 2
+            d = np.where(np.isfinite(at_most) & (at_most < 1e150) & (far < 1e150), d, 0.0)
         return d * factor(self.w, light) if self.weighted else d
 
     def see(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
@@ -283,7 +309,7 @@ class _Search:
             most = float(np.finfo(d.dtype).max)
             with np.errstate(over="ignore"):
                 limit = np.minimum((limit + off) * (1 + 16 * eps), most).astype(d.dtype)
-            hit = np.flatnonzero(d <= limit[:, None])
+            hit = _hits(d <= limit[:, None])
             if exact or table.exact or len(hit) <= 4096 + 4 * self.k * len(own):
                 break  # else the table's numbers are too rough for how near these rows lie
         r, at = np.divmod(hit, hi - lo)
@@ -323,8 +349,8 @@ def _look(search: _Search, cells: Cells, ids: np.ndarray, v: np.ndarray, w: np.n
     ids, v, w, cell = ids[order], v[order], w[order], cell[order]
     own, first = np.unique(cell, return_index=True)
     ends = np.append(first[1:], len(cell))
-    away = np.sqrt(squared(search.v, cells.pivots[own]))
-    bounds = np.column_stack([search.least(away[:, j], cells.near[c], cells.far[c], cells.light[c]) for j, c in enumerate(own)])
+    away, at_most = _away(search.v, cells.pivots[own])
+    bounds = np.column_stack([search.least(away[:, j], at_most[:, j], cells.near[c], cells.far[c], cells.light[c]) for j, c in enumerate(own)])
     turn, i, together = np.argsort(bounds.min(axis=0), kind="stable"), 0, 1
     if seen is not None:
         bounds[seen[:, None] == own[None]] = np.nan
@@ -396,10 +422,10 @@ def lists(placed: DataFrame, cells: Cells, width: int, n: int, asking: int, k: i
     def where(v: pd.Series, w: pd.Series, limit: pd.Series) -> pd.Series:
         v, limit = np.array([np.asarray(x, dtype=float) for x in v]).reshape(len(w), width), limit.to_numpy(dtype=float)
         search = _Search(np.arange(len(w)), v, w.to_numpy(dtype=float), k, weighted)
-        away = np.sqrt(squared(v, cells.pivots))
+        away, at_most = _away(v, cells.pivots)
         bounds = np.full((len(w), len(cells.place_parts)), np.inf)
         for c in np.flatnonzero(cells.far >= 0):
-            bounds[:, cells.place[c]] = np.minimum(bounds[:, cells.place[c]], search.least(away[:, c], cells.near[c], cells.far[c], cells.light[c]))
+            bounds[:, cells.place[c]] = np.minimum(bounds[:, cells.place[c]], search.least(away[:, c], at_most[:, c], cells.near[c], cells.far[c], cells.light[c]))
         visit = np.repeat(bounds <= limit[:, None], cells.place_parts, axis=1)
         return pd.Series([np.flatnonzero(x).astype(np.int32) for x in visit])
 
